@@ -1 +1,183 @@
-"""(filled in below)"""
+"""Filters and lookups.
+
+Point lookups of the modelled service are re-aimed as bulk lookups: a table
+of requested ids joined to the entity table, so one job answers any number
+of requests.  Filters are plain predicates that Catalyst pushes into the
+parquet scan where the column is a raw one.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petrograph.functions.exprs import ts_ntz
+from petrograph.plans.registry import query
+from petrograph.sources.tables import read_table
+from petrograph.sources.views import country_dim, v_country, v_event, v_prediction, v_price
+
+
+# -- generic building blocks ----------------------------------------------------
+def match_all(filters: dict) -> Column:
+    """AND of null-safe equalities; an empty filter keeps every row."""
+    return reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.lit(v)) for k, v in filters.items()], F.lit(True))
+
+
+def in_range(col: str, lo: str, hi: str) -> Column:
+    """Both ends inclusive, on zone-less timestamps."""
+    return (F.col(col) >= ts_ntz(lo)) & (F.col(col) <= ts_ntz(hi))
+
+
+def has_member(arr: str, value: str) -> Column:
+    """``array.includes``: always a boolean (NULL elements never match)."""
+    return F.coalesce(F.array_contains(F.col(arr), F.lit(value)), F.lit(False))
+
+
+def country_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requested country ids: NATION_(user_id % 30); 25..29 do not exist."""
+    return read_table(spark, d, "events", "event_id", "user_id").select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("NATION_"), (F.col("user_id") % 30).cast("string")).alias("id"))
+
+
+_REQ_SQL = "SELECT event_id AS request_id, 'NATION_' || CAST(user_id % 30 AS VARCHAR) AS id FROM events"
+
+
+# -- queries ----------------------------------------------------------------------
+@query("country_by_id", "F1", sql=f"""
+SELECT r.request_id, r.id, c.id IS NOT NULL AS found, c.name, c.code
+FROM ({_REQ_SQL}) r LEFT JOIN v_country c ON r.id = c.id""")
+def country_by_id(spark: SparkSession, d: str) -> DataFrame:
+    dim = F.broadcast(country_dim(spark, d).select(F.col("id").alias("cid"), "name", "code"))
+    return (country_requests(spark, d).join(dim, F.col("id") == F.col("cid"), "left")
+            .select("request_id", "id", F.col("cid").isNotNull().alias("found"), "name", "code"))
+
+
+@query("country_ids_missing", "F2", sql=f"""
+SELECT r.request_id, r.id FROM ({_REQ_SQL}) r WHERE NOT EXISTS (SELECT 1 FROM v_country c WHERE c.id = r.id)""")
+def country_ids_missing(spark: SparkSession, d: str) -> DataFrame:
+    return country_requests(spark, d).join(F.broadcast(country_dim(spark, d).select("id")), "id", "left_anti")
+
+
+@query("country_by_filter", "F3", sql="SELECT * FROM v_country WHERE region = 'ASIA'")
+def country_by_filter(spark: SparkSession, d: str, filters: dict | None = None) -> DataFrame:
+    return v_country(spark, d).where(match_all({"region": "ASIA"} if filters is None else filters))
+
+
+@query("events_by_date_range", "F4", sql="""
+SELECT id, ts, title, severity FROM v_event
+WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""")
+def events_by_date_range(spark: SparkSession, d: str,
+                         lo: str = "2024-01-05 00:00:00", hi: str = "2024-01-20 00:00:00") -> DataFrame:
+    return v_event(spark, d).where(in_range("ts", lo, hi)).select("id", "ts", "title", "severity")
+
+
+@query("events_by_country", "F5", sql="""
+SELECT id, ts, title FROM v_event WHERE coalesce(list_contains(countries, 'NATION_3'), false)""")
+def events_by_country(spark: SparkSession, d: str, country: str = "NATION_3") -> DataFrame:
+    return v_event(spark, d).where(has_member("countries", country)).select("id", "ts", "title")
+
+
+@query("events_by_severity", "F6", sql="SELECT id, ts, title, severity FROM v_event WHERE severity = 'high'")
+def events_by_severity(spark: SparkSession, d: str, severity: str = "high") -> DataFrame:
+    return v_event(spark, d).where(F.col("severity") == severity).select("id", "ts", "title", "severity")
+
+
+def prices_between(spark: SparkSession, d: str, lo: str, hi: str, price_type: str | None) -> DataFrame:
+    df = v_price(spark, d).where(in_range("ts", lo, hi))
+    if price_type:
+        df = df.where(F.col("price_type") == price_type)
+    return df
+
+
+@query("prices_historical", "F7", sql="""
+SELECT * FROM v_price WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1998-12-31' AND price_type = 'Brent'""")
+def prices_historical(spark: SparkSession, d: str) -> DataFrame:
+    return prices_between(spark, d, "1997-01-01 00:00:00", "1998-12-31 00:00:00", "Brent")
+
+
+@query("prices_historical_all_types", "F7", sql="""
+SELECT * FROM v_price WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1998-12-31'""")
+def prices_historical_all_types(spark: SparkSession, d: str) -> DataFrame:
+    return prices_between(spark, d, "1997-01-01 00:00:00", "1998-12-31 00:00:00", None)
+
+
+@query("prediction_explanation", "F8", sql="""
+SELECT id, CAST(len(primary_factors) AS BIGINT) AS n_factors,
+       array_to_string(list_transform(primary_factors, lambda x: x.factor), ',') AS factors,
+       array_to_string(key_events, ',') AS key_events,
+       array_to_string(affected_countries, ',') AS affected_countries
+FROM v_prediction""")
+def prediction_explanation(spark: SparkSession, d: str) -> DataFrame:
+    p = v_prediction(spark, d, nested=True)
+    return p.select("id", F.size("primary_factors").cast("long").alias("n_factors"),
+                    F.concat_ws(",", F.transform("primary_factors", lambda x: x["factor"])).alias("factors"),
+                    F.concat_ws(",", "key_events").alias("key_events"),
+                    F.concat_ws(",", "affected_countries").alias("affected_countries"))
+
+
+@query("predictions_by_horizon", "F9", sql="""
+SELECT id, ts, horizon, price, confidence, trend FROM v_prediction WHERE horizon = '24h'""")
+def predictions_by_horizon(spark: SparkSession, d: str, horizon: str = "24h") -> DataFrame:
+    return (v_prediction(spark, d).where(F.col("horizon") == horizon)
+            .select("id", "ts", "horizon", "price", "confidence", "trend"))
+
+
+def entity_requests(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, kind, key): one country, one event, one prediction per events row."""
+    e = read_table(spark, d, "events", "event_id", "user_id")
+    base = F.col("event_id").alias("request_id")
+    return (e.select(base, F.lit("country").alias("kind"),
+                     F.concat(F.lit("NATION_"), (F.col("user_id") % 30).cast("string")).alias("key"))
+            .unionByName(e.select(base, F.lit("event").alias("kind"),
+                                  (F.col("user_id") * 67).cast("string").alias("key")))
+            .unionByName(e.select(base, F.lit("prediction").alias("kind"),
+                                  F.col("event_id").cast("string").alias("key"))))
+
+
+@query("entity_lookup", "F10", sql="""
+WITH r AS (
+  SELECT event_id AS request_id, 'country' AS kind, 'NATION_' || CAST(user_id % 30 AS VARCHAR) AS key FROM events
+  UNION ALL SELECT event_id, 'event', CAST(user_id * 67 AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'prediction', CAST(event_id AS VARCHAR) FROM events)
+SELECT r.request_id, r.kind, r.key, c.id IS NOT NULL AS found, c.name AS label
+FROM r LEFT JOIN v_country c ON r.kind = 'country' AND r.key = c.id WHERE r.kind = 'country'
+UNION ALL
+SELECT r.request_id, r.kind, r.key, e.id IS NOT NULL, e.title
+FROM r LEFT JOIN v_event e ON r.kind = 'event' AND r.key = CAST(e.id AS VARCHAR) WHERE r.kind = 'event'
+UNION ALL
+SELECT r.request_id, r.kind, r.key, p.id IS NOT NULL, p.horizon
+FROM r LEFT JOIN v_prediction p ON r.kind = 'prediction' AND r.key = CAST(p.id AS VARCHAR) WHERE r.kind = 'prediction'
+""")
+def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Store-style getters by id for three kinds; absent ids give found=false."""
+    req = entity_requests(spark, d)
+    targets = {
+        # country dimension is bounded (25 rows): broadcast; the others are
+        # fact-sized and join by shuffle (AQE may still pick broadcast).
+        "country": F.broadcast(country_dim(spark, d).select(F.col("id").alias("tid"), F.col("name").alias("label"))),
+        "event": v_event(spark, d).select(F.col("id").cast("string").alias("tid"), F.col("title").alias("label")),
+        "prediction": v_prediction(spark, d).select(F.col("id").cast("string").alias("tid"),
+                                                    F.col("horizon").alias("label")),
+    }
+    parts = [req.where(F.col("kind") == kind).join(t, F.col("key") == F.col("tid"), "left")
+             .select("request_id", "kind", "key", F.col("tid").isNotNull().alias("found"), "label")
+             for kind, t in targets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("search_entities", "F11", sql="""
+SELECT * FROM (
+  SELECT 'event' AS kind, CAST(id AS VARCHAR) AS id, title AS text FROM v_event
+  UNION ALL SELECT 'country', id, name FROM v_country) s
+WHERE contains(lower(text), lower('ERROR'))""")
+def search_entities(spark: SparkSession, d: str, q: str = "ERROR") -> DataFrame:
+    """Case-insensitive literal substring search over event titles and country names."""
+    ents = (v_event(spark, d).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"),
+                                     F.col("title").alias("text"))
+            .unionByName(country_dim(spark, d).select(F.lit("country").alias("kind"), "id",
+                                                      F.col("name").alias("text"))))
+    return ents.where(F.lower("text").contains(q.lower()))

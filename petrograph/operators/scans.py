@@ -1 +1,94 @@
-"""(filled in below)"""
+"""Scans, latest-row lookups and snapshot sources/sinks."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petrograph.plans.registry import query
+from petrograph.plans.storage import scratch_path
+from petrograph.sources.views import v_country, v_event, v_prediction, v_price
+
+
+@query("scan_countries", "S1", sql="SELECT * FROM v_country")
+def scan_countries(spark: SparkSession, d: str) -> DataFrame:
+    return v_country(spark, d)
+
+
+@query("scan_events", "S2", sql="""
+SELECT id, ts, title, event_type, severity, sentiment, immediate, array_to_string(countries, ',') AS countries
+FROM v_event""")
+def scan_events(spark: SparkSession, d: str) -> DataFrame:
+    return v_event(spark, d).withColumn("countries", F.concat_ws(",", "countries"))
+
+
+@query("scan_prices", "S3", sql="SELECT * FROM v_price")
+def scan_prices(spark: SparkSession, d: str) -> DataFrame:
+    return v_price(spark, d)
+
+
+def latest_by(df: DataFrame, keys: list[str], value_cols: list[str],
+              order_cols: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+    """Latest row per key by (ts, id) via ``max_by``.
+
+    A hash aggregate with partial (map-side) aggregation: each task ships one
+    candidate per key, so even a key holding a third of the rows costs one
+    row per task in the shuffle.
+    """
+    order = F.struct(*order_cols)
+    best = F.max_by(F.struct(*value_cols), order).alias("_best")
+    grouped = df.groupBy(*keys).agg(best) if keys else df.agg(best)
+    return grouped.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in value_cols])
+
+
+@query("latest_prediction", "S4", sql="""
+SELECT horizon, arg_max(id, (ts, id)) AS id, arg_max(ts, (ts, id)) AS ts, arg_max(price, (ts, id)) AS price,
+       arg_max(confidence, (ts, id)) AS confidence, arg_max(trend, (ts, id)) AS trend
+FROM v_prediction GROUP BY horizon""")
+def latest_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """Latest prediction per time horizon."""
+    return latest_by(v_prediction(spark, d), ["horizon"], ["id", "ts", "price", "confidence", "trend"])
+
+
+def _counts(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("entity"), "n")
+             for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_COUNTS_SQL = """
+SELECT 'country' AS entity, count(*) AS n FROM v_country
+UNION ALL SELECT 'event', count(*) FROM v_event
+UNION ALL SELECT 'price', count(*) FROM v_price
+UNION ALL SELECT 'prediction', count(*) FROM v_prediction"""
+
+
+def _snapshot_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"country": v_country(spark, d), "event": v_event(spark, d),
+            "price": v_price(spark, d), "prediction": v_prediction(spark, d, nested=True)}
+
+
+@query("snapshot_counts", "S5", sql=_COUNTS_SQL)
+def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The four entity loads in one plan; any read error fails the whole job."""
+    return _counts(spark, _snapshot_frames(spark, d))
+
+
+def write_snapshot(frames: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Replace-whole-collection writes (``mode('overwrite')``), one folder each."""
+    paths = {}
+    for name, df in frames.items():
+        path = f"{root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        paths[name] = path
+    return paths
+
+
+@query("snapshot_write", "S6", sql=_COUNTS_SQL)
+def snapshot_write(spark: SparkSession, d: str) -> DataFrame:
+    """Write the entity snapshot to the shared folder, return counts read back."""
+    root = scratch_path(spark, "snapshot")
+    paths = write_snapshot(_snapshot_frames(spark, d), root)
+    return _counts(spark, {k: spark.read.parquet(p) for k, p in paths.items()})
