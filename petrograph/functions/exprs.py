@@ -26,7 +26,10 @@ def round_fixed(x, n: int) -> Column:
     """
     x = _c(x)
     p = 10 ** n
-    return (F.signum(x) * F.floor(F.abs(x) * p + 0.5) / p).cast("double")
+    y = F.abs(x) * p + 0.5
+    # y - (y % 1) is floor(y) for y >= 0, kept in DOUBLE (floor() would go
+    # through BIGINT and overflow for large sums).
+    return (F.signum(x) * (y - y % F.lit(1.0)) / p).cast("double")
 
 
 def _scaled(x: Column, n: int) -> Column:

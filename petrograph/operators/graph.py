@@ -1 +1,280 @@
-"""(filled in below)"""
+"""Typed country-event-price graph as node and edge tables, and the
+questions asked of it (G1-G13, J2-J4, A3, A4).
+
+Nodes are one flat table (variant fields nullable) keyed by prefixed ids
+('c:', 'e:', 'p:') because raw ids are only unique per kind.  All graph work
+is one hop of joins or aggregations; every event links to the single price
+node, so anything keyed on an endpoint aggregates with map-side partial
+aggregation (a few rows per task reach the hub's reducer) or joins with AQE
+skew splitting enabled.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petrograph import schemas as S
+from petrograph.functions import exprs as X
+from petrograph.functions import sqltext as Q
+from petrograph.operators.sequences import ordinal_index
+from petrograph.plans.registry import query
+from petrograph.sources.views import v_country, v_country_event_edge, v_event, v_event_price_edge, v_tick
+
+NODE_COLS = ["id", "label", "type", "size", "colour", "code", "oil_production", "severity", "immediate", "price"]
+EDGE_COLS = ["id", "source", "target", "weight", "type"]
+
+
+# -- nodes ---------------------------------------------------------------------------
+def country_nodes(spark: SparkSession, d: str) -> DataFrame:
+    c = v_country(spark, d)
+    return c.select(F.concat(F.lit("c:"), "id").alias("id"), F.col("name").alias("label"),
+                    F.lit("country").alias("type"),
+                    (F.lit(S.COUNTRY_NODE_BASE_SIZE) + X.or_zero("oil_production") / 1e6).alias("size"),
+                    F.lit(S.COUNTRY_NODE_COLOUR).alias("colour"), "code", "oil_production")
+
+
+def event_nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = v_event(spark, d)
+    return e.select(F.concat(F.lit("e:"), F.col("id").cast("string")).alias("id"),
+                    X.label_prefix("title").alias("label"), F.lit("event").alias("type"),
+                    (F.lit(S.EVENT_NODE_BASE_SIZE)
+                     + F.coalesce(F.col("immediate") * S.EVENT_NODE_IMPACT_SCALE, F.lit(0.0))).alias("size"),
+                    X.event_node_colour("severity").alias("colour"), "severity", "immediate")
+
+
+def price_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The current-price node: the latest WTI tick (a global ``max_by``)."""
+    t = v_tick(spark, d).where(F.col("price_type") == "WTI")
+    return t.agg(F.max_by("price", F.struct("ts", "id")).alias("price")).select(
+        F.lit(S.PRICE_NODE_ID).alias("id"), F.lit(S.PRICE_NODE_LABEL).alias("label"),
+        F.lit("price_point").alias("type"), F.lit(S.PRICE_NODE_SIZE).alias("size"),
+        F.lit(S.PRICE_NODE_COLOUR).alias("colour"), "price")
+
+
+def graph_nodes_df(spark: SparkSession, d: str) -> DataFrame:
+    parts = [country_nodes(spark, d), event_nodes(spark, d), price_nodes(spark, d)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*NODE_COLS)
+
+
+def graph_edges_df(spark: SparkSession, d: str) -> DataFrame:
+    return v_country_event_edge(spark, d).select(*EDGE_COLS).unionByName(
+        v_event_price_edge(spark, d).select(*EDGE_COLS))
+
+
+@query("country_nodes", "G1", sql="SELECT id, label, type, size, colour, code, oil_production FROM g_nodes "
+                                  "WHERE type = 'country'")
+def q_country_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return country_nodes(spark, d)
+
+
+@query("event_nodes", "G2", sql="SELECT id, label, type, size, colour, severity, immediate FROM g_nodes "
+                                "WHERE type = 'event'")
+def q_event_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return event_nodes(spark, d)
+
+
+@query("price_nodes", "G3", sql="SELECT id, label, type, size, colour, price FROM g_nodes "
+                                "WHERE type = 'price_point'")
+def q_price_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return price_nodes(spark, d)
+
+
+@query("graph_nodes", "G4 U1", sql="SELECT * FROM g_nodes")
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph_nodes_df(spark, d)
+
+
+def type_rank(t: Column) -> Column:
+    return F.when(t == "country", 0).when(t == "event", 1).otherwise(2)
+
+
+@query("node_ordinals", "G5", sql="""
+SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'country' THEN 0 WHEN 'event' THEN 1 ELSE 2 END, id) - 1
+       AS ordinal
+FROM g_nodes""")
+def node_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """0-based position in (kind, id) order, computed without a global window."""
+    n = graph_nodes_df(spark, d).select("id", "type").withColumn("_r", type_rank(F.col("type")))
+    return ordinal_index(n, [F.col("_r"), F.col("id")]).select("id", "type", "ordinal")
+
+
+# -- edges ---------------------------------------------------------------------------
+@query("country_event_edges", "G6", sql=f"""
+SELECT id, source, target, weight, type, 1 + weight * 3 AS width, {Q.strength_band('weight')} AS band
+FROM v_country_event_edge""")
+def country_event_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = v_country_event_edge(spark, d)
+    return e.select(*EDGE_COLS, (1 + F.col("weight") * 3).alias("width"), X.strength_band("weight").alias("band"))
+
+
+@query("event_price_edges", "G7", sql="""
+SELECT id, source, target, weight, type, 1 + weight * 2 AS width FROM v_event_price_edge""")
+def event_price_edges(spark: SparkSession, d: str) -> DataFrame:
+    return v_event_price_edge(spark, d).select(*EDGE_COLS, (1 + F.col("weight") * 2).alias("width"))
+
+
+@query("graph_edges", "G8 U1", sql="SELECT * FROM g_edges")
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph_edges_df(spark, d)
+
+
+@query("graph_elements", "G9 U1", sql="""
+SELECT 'node' AS element, id, coalesce(label, '') AS label, type, NULL AS source, NULL AS target,
+       CAST(NULL AS DOUBLE) AS weight, size, code, severity, immediate, price FROM g_nodes
+UNION ALL
+SELECT 'edge', id, '', type, source, target, weight, NULL, NULL, NULL, NULL, NULL FROM g_edges""")
+def graph_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges in one element list; payload fields that would clash
+    with id/label/type are dropped, a missing label becomes ''."""
+    nodes = graph_nodes_df(spark, d).select(
+        F.lit("node").alias("element"), "id", F.coalesce("label", F.lit("")).alias("label"), "type",
+        "size", "code", "severity", "immediate", "price")
+    edges = graph_edges_df(spark, d).select(
+        F.lit("edge").alias("element"), "id", F.lit("").alias("label"), "type", "source", "target", "weight")
+    return nodes.unionByName(edges, allowMissingColumns=True)
+
+
+def effective_weight(w) -> Column:
+    """``weight || 0.5``: missing, NaN or 0 becomes 0.5."""
+    return X.or_default(w, S.DEFAULT_EDGE_WEIGHT)
+
+
+@query("edge_effective_weight", "G11", sql=f"""
+SELECT id, weight, {Q.or_default('weight', 0.5)} AS eff_weight,
+       greatest(1.0, {Q.or_default('weight', 0.5)} * 2.0 * 3) AS width,
+       {Q.strength_band(Q.or_default('weight', 0.5))} AS band
+FROM g_edges""")
+def edge_effective_weight(spark: SparkSession, d: str, edge_width: float = S.DEFAULT_EDGE_WIDTH_SETTING) -> DataFrame:
+    w = effective_weight("weight")
+    return graph_edges_df(spark, d).select(
+        "id", "weight", w.alias("eff_weight"),
+        F.greatest(F.lit(1.0), w * F.lit(edge_width) * 3).alias("width"), X.strength_band(w).alias("band"))
+
+
+# -- endpoint joins ----------------------------------------------------------------------
+def endpoint_flags(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
+    """Add ``src_hit`` / ``dst_hit``: is the endpoint in ``node_ids``?
+
+    Two left joins against a unique id set (no row multiplication, no
+    ``distinct``); the hub target only skews the probe side, which AQE's
+    skew-join handling splits.
+    """
+    ids = node_ids.select(F.col("id").alias("_nid")).distinct()
+    s = ids.select(F.col("_nid").alias("_s"))
+    t = ids.select(F.col("_nid").alias("_t"))
+    return (edges.join(s, edges.source == s._s, "left").join(t, edges.target == t._t, "left")
+            .withColumn("src_hit", F.col("_s").isNotNull()).withColumn("dst_hit", F.col("_t").isNotNull())
+            .drop("_s", "_t"))
+
+
+@query("edges_with_endpoints", "J2", sql="""
+SELECT e.id, e.source, e.target, e.weight, s.type AS source_type, s.label AS source_label,
+       t.type AS target_type, t.label AS target_label
+FROM g_edges e JOIN g_nodes s ON e.source = s.id JOIN g_nodes t ON e.target = t.id""")
+def edges_with_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    nodes = graph_nodes_df(spark, d).select("id", "type", "label")
+    s = nodes.select(F.col("id").alias("_sid"), F.col("type").alias("source_type"),
+                     F.col("label").alias("source_label"))
+    t = nodes.select(F.col("id").alias("_tid"), F.col("type").alias("target_type"),
+                     F.col("label").alias("target_label"))
+    e = graph_edges_df(spark, d)
+    return (e.join(s, e.source == s._sid).join(t, e.target == t._tid)
+            .select("id", "source", "target", "weight", "source_type", "source_label",
+                    "target_type", "target_label"))
+
+
+@query("dangling_edges", "J3", sql="""
+SELECT e.id, e.source, e.target, s.id IS NULL AS missing_source, t.id IS NULL AS missing_target
+FROM g_edges e LEFT JOIN g_nodes s ON e.source = s.id LEFT JOIN g_nodes t ON e.target = t.id
+WHERE s.id IS NULL OR t.id IS NULL""")
+def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
+    f = endpoint_flags(graph_edges_df(spark, d), graph_nodes_df(spark, d))
+    return (f.where(~F.col("src_hit") | ~F.col("dst_hit"))
+            .select("id", "source", "target", (~F.col("src_hit")).alias("missing_source"),
+                    (~F.col("dst_hit")).alias("missing_target")))
+
+
+def incident_edges(spark: SparkSession, d: str, node_type: str) -> DataFrame:
+    nodes = graph_nodes_df(spark, d).where(F.col("type") == node_type).select("id")
+    f = endpoint_flags(graph_edges_df(spark, d), nodes)
+    return f.where(F.col("src_hit") | F.col("dst_hit")).select(*EDGE_COLS)
+
+
+_INCIDENT_SQL = """
+SELECT e.* FROM g_edges e
+WHERE EXISTS (SELECT 1 FROM g_nodes n WHERE n.type = '{t}' AND n.id = e.source)
+   OR EXISTS (SELECT 1 FROM g_nodes n WHERE n.type = '{t}' AND n.id = e.target)"""
+
+
+@query("incident_edges_by_node_type", "J4", sql=_INCIDENT_SQL.format(t="country"))
+def incident_edges_by_node_type(spark: SparkSession, d: str, node_type: str = "country") -> DataFrame:
+    return incident_edges(spark, d, node_type)
+
+
+@query("subgraph_by_node_type", "G12", sql=f"""
+SELECT 'node' AS element, id FROM g_nodes WHERE type = 'country'
+UNION ALL
+SELECT 'edge', id FROM ({_INCIDENT_SQL.format(t='country')}) x""")
+def subgraph_by_node_type(spark: SparkSession, d: str, node_type: str = "country") -> DataFrame:
+    """'all' keeps everything; otherwise nodes of the type and every incident edge."""
+    nodes = graph_nodes_df(spark, d)
+    edges = graph_edges_df(spark, d)
+    if node_type == "all":
+        return (nodes.select(F.lit("node").alias("element"), "id")
+                .unionByName(edges.select(F.lit("edge").alias("element"), "id")))
+    return (nodes.where(F.col("type") == node_type).select(F.lit("node").alias("element"), "id")
+            .unionByName(incident_edges(spark, d, node_type).select(F.lit("edge").alias("element"), "id")))
+
+
+@query("node_incident_edges", "G13", sql="""
+SELECT node, count(*) AS n_edges, sum(weight) AS weight_sum FROM (
+  SELECT id, source AS node, weight FROM g_edges
+  UNION ALL SELECT id, target, weight FROM g_edges WHERE target <> source) x
+GROUP BY node""")
+def node_incident_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Per node: number and total weight of touching edges (self-loops once).
+
+    Partial aggregation before the shuffle keeps the hub price node cheap.
+    """
+    e = graph_edges_df(spark, d)
+    ends = e.select("weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_edges"),
+                                    X.round_fixed(F.sum("weight"), 9).alias("weight_sum"))
+
+
+@query("graph_stats", "A3", sql=f"""
+SELECT (SELECT count(*) FROM g_nodes) AS n_nodes, (SELECT count(*) FROM g_edges) AS n_edges,
+       (SELECT {Q.round_fixed('avg(weight)', 9)} FROM g_edges) AS avg_weight,
+       (SELECT count(*) FROM g_nodes WHERE severity IN ('critical', 'high')) AS high_impact_events""")
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Node / edge counts, mean weight and high-impact events, computed.
+
+    One-row aggregates are combined by a union and a final aggregate rather
+    than a cross join.
+    """
+    nodes = graph_nodes_df(spark, d).agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        F.count_if(F.col("severity").isin("critical", "high")).alias("high_impact_events"))
+    edges = graph_edges_df(spark, d).agg(F.count(F.lit(1)).alias("n_edges"),
+                                         F.sum("weight").alias("_wsum"), F.count("weight").alias("_wn"))
+    both = nodes.unionByName(edges, allowMissingColumns=True)
+    return both.agg(F.max("n_nodes").alias("n_nodes"), F.max("n_edges").alias("n_edges"),
+                    X.round_fixed(F.max("_wsum") / F.max("_wn"), 9).alias("avg_weight"),
+                    F.max("high_impact_events").alias("high_impact_events"))
+
+
+@query("edge_strength_histogram", "A4", sql=f"""
+SELECT band, count(*) AS n_edges, {Q.round_fixed('avg(w)', 9)} AS avg_weight, min(w) AS min_weight,
+       max(w) AS max_weight
+FROM (SELECT {Q.or_default('weight', 0.5)} AS w, {Q.strength_band(Q.or_default('weight', 0.5))} AS band
+      FROM g_edges) x GROUP BY band""")
+def edge_strength_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Bands on the effective weight with the code's strict cut-offs."""
+    w = effective_weight("weight")
+    e = graph_edges_df(spark, d).select(w.alias("w"), X.strength_band(w).alias("band"))
+    return e.groupBy("band").agg(F.count(F.lit(1)).alias("n_edges"),
+                                 X.round_fixed(F.avg("w"), 9).alias("avg_weight"),
+                                 F.min("w").alias("min_weight"), F.max("w").alias("max_weight"))

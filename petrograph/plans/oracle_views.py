@@ -76,17 +76,17 @@ FROM v_event WHERE immediate IS NOT NULL""",
 # petrograph.operators.graph).
 VIEWS["g_nodes"] = f"""
 SELECT 'c:' || id AS id, name AS label, 'country' AS type,
-       25.0 + {Q.or_zero('oil_production')} / 1000000.0 AS size,
+       25.0 + {Q.or_zero('oil_production')} / 1000000.0 AS size, '#f97316' AS colour,
        code, oil_production, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS DOUBLE) AS immediate,
        CAST(NULL AS DOUBLE) AS price
 FROM v_country
 UNION ALL
 SELECT 'e:' || CAST(id AS VARCHAR) AS id, {Q.label_prefix('title')} AS label, 'event' AS type,
-       15.0 + coalesce(immediate * 15.0, 0.0) AS size,
+       15.0 + coalesce(immediate * 15.0, 0.0) AS size, {Q.event_node_colour('severity')} AS colour,
        NULL, NULL, severity, immediate, NULL
 FROM v_event
 UNION ALL
-SELECT 'p:current' AS id, 'Current Price' AS label, 'price_point' AS type, 20.0 AS size,
+SELECT 'p:current' AS id, 'Current Price' AS label, 'price_point' AS type, 20.0 AS size, '#10b981' AS colour,
        NULL, NULL, NULL, NULL, arg_max(price, (ts, id)) AS price
 FROM v_tick WHERE price_type = 'WTI'"""
 

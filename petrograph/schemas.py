@@ -24,6 +24,10 @@ STRONG_ABOVE = 0.8
 MEDIUM_ABOVE = 0.6
 EVENT_NODE_COLOURS = (("critical", "#ef4444"), ("high", "#f59e0b"))
 EVENT_NODE_DEFAULT_COLOUR = "#0ea5e9"
+COUNTRY_NODE_COLOUR = "#f97316"
+PRICE_NODE_COLOUR = "#10b981"
+PRICE_NODE_ID = "p:current"
+PRICE_NODE_LABEL = "Current Price"
 COUNTRY_NODE_BASE_SIZE = 25.0
 EVENT_NODE_BASE_SIZE = 15.0
 EVENT_NODE_IMPACT_SCALE = 15.0
