@@ -1 +1,87 @@
-"""(filled in below)"""
+"""Data-quality checks over the declared types (Q1-Q3).
+
+Each check is a conditional count (``count_if``) in a global aggregate with
+partial aggregation; the per-check one-row results are unioned, never
+cross-joined.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from petrograph import schemas as S
+from petrograph.operators.graph import graph_edges_df, graph_nodes_df
+from petrograph.plans.registry import query
+from petrograph.sources.views import country_dim, v_event, v_prediction, v_price, v_tick
+
+
+def _check(df: DataFrame, name: str, bad: Column) -> DataFrame:
+    """(check, n_checked, n_violations); NULL values are not checked."""
+    return df.agg(F.count_if(bad.isNotNull()).alias("n_checked"),
+                  F.count_if(F.coalesce(bad, F.lit(False))).alias("n_violations")).select(
+        F.lit(name).alias("check"), "n_checked", "n_violations")
+
+
+def _outside(c: str, lo: float, hi: float) -> Column:
+    return ~F.col(c).between(lo, hi)
+
+
+@query("dq_ranges", "Q1", sql="""
+SELECT 'sentiment' AS "check", count(sentiment) AS n_checked,
+       count(*) FILTER (WHERE sentiment NOT BETWEEN -1 AND 1) AS n_violations FROM v_event
+UNION ALL SELECT 'edge_weight', count(weight), count(*) FILTER (WHERE weight NOT BETWEEN 0 AND 1) FROM g_edges
+UNION ALL SELECT 'confidence', count(confidence), count(*) FILTER (WHERE confidence NOT BETWEEN 0 AND 1)
+  FROM v_prediction
+UNION ALL SELECT 'factor_impact', count(f.impact), count(*) FILTER (WHERE f.impact NOT BETWEEN -1 AND 1)
+  FROM (SELECT unnest(primary_factors) AS f FROM v_prediction) x""")
+def dq_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Documented ranges: sentiment -1..1, weight 0..1, confidence 0..1, factor impact -1..1."""
+    factors = v_prediction(spark, d, nested=True).select(F.explode("primary_factors").alias("f")).select("f.impact")
+    parts = [_check(v_event(spark, d), "sentiment", _outside("sentiment", -1, 1)),
+             _check(graph_edges_df(spark, d), "edge_weight", _outside("weight", 0, 1)),
+             _check(v_prediction(spark, d), "confidence", _outside("confidence", 0, 1)),
+             _check(factors, "factor_impact", _outside("impact", -1, 1))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _domain_sql(name: str, col: str, view: str, values: tuple[str, ...]) -> str:
+    vals = ", ".join(f"'{v}'" for v in values)
+    return (f"SELECT '{name}' AS \"check\", count({col}) AS n_checked, "
+            f"count(*) FILTER (WHERE {col} NOT IN ({vals})) AS n_violations FROM {view}")
+
+
+_DOMAINS = [
+    ("event_type", "event_type", "v_event", S.EVENT_TYPES),
+    ("severity", "severity", "v_event", S.SEVERITIES),
+    ("price_type", "price_type", "v_price", S.PRICE_TYPES),
+    ("tick_price_type", "price_type", "v_tick", S.PRICE_TYPES),
+    ("node_type", "type", "g_nodes", S.NODE_TYPES),
+    ("edge_type", "type", "g_edges", S.EDGE_TYPES),
+    ("horizon", "horizon", "v_prediction", S.HORIZONS),
+    ("trend", "trend", "v_prediction", S.TRENDS),
+]
+
+
+@query("dq_domains", "Q2", sql="\nUNION ALL\n".join(_domain_sql(*x) for x in _DOMAINS))
+def dq_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Enum-domain violations per column (``isin`` on the declared values)."""
+    frames = {"v_event": v_event(spark, d), "v_price": v_price(spark, d), "v_tick": v_tick(spark, d),
+              "g_nodes": graph_nodes_df(spark, d), "g_edges": graph_edges_df(spark, d),
+              "v_prediction": v_prediction(spark, d)}
+    parts = [_check(frames[view], name, ~F.col(col).isin(*values)) for name, col, view, values in _DOMAINS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("dq_orphan_refs", "Q3", sql="""
+SELECT x.id, x.pos, x.country_id FROM (
+  SELECT id, unnest(countries) AS country_id, generate_subscripts(countries, 1) - 1 AS pos FROM v_event) x
+WHERE NOT EXISTS (SELECT 1 FROM v_country c WHERE c.id = x.country_id)""")
+def dq_orphan_refs(spark: SparkSession, d: str) -> DataFrame:
+    """``events.countries[]`` ids with no country (shown raw by the report)."""
+    ex = v_event(spark, d).select("id", F.posexplode("countries").alias("pos", "country_id"))
+    dim = F.broadcast(country_dim(spark, d).select(F.col("id").alias("country_id")))
+    return ex.join(dim, "country_id", "left_anti").select("id", F.col("pos").cast("long").alias("pos"),
+                                                         "country_id")
