@@ -66,7 +66,11 @@ def event_countries(event_id, user_id):
 
 
 def v_event(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return event_view(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def event_view(e: DataFrame) -> DataFrame:
+    """Events table (batch or streaming) -> geopolitical-event rows."""
     et, v = F.col("event_type"), F.col("value")
     return e.select(
         F.col("event_id").alias("id"),
@@ -97,7 +101,11 @@ def v_price(spark: SparkSession, d: str) -> DataFrame:
 
 def v_tick(spark: SparkSession, d: str) -> DataFrame:
     """Price ticks that overlap the event period (signup events)."""
-    e = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return tick_view(read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def tick_view(e: DataFrame) -> DataFrame:
+    """Events table (batch or streaming) -> price ticks."""
     u = F.col("user_id") % 3
     return (e.where(F.col("event_type") == "signup")
             .select(F.col("event_id").alias("id"), "ts", (50 + F.col("value") / 10).alias("price"),

@@ -1 +1,146 @@
-"""(filled in below)"""
+"""Structured Streaming twins of the batch operators.
+
+Each query reads the events table as a file stream, runs to completion with
+``trigger(availableNow=True)`` into Parquet under the shared checkpoint
+folder (sink and checkpoint both there, so a restarted job resumes), and
+returns the sink read back as a batch DataFrame.  On a live source the same
+``start_*`` builders run with a processing-time trigger instead.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from petrograph.functions import exprs as X
+from petrograph.functions import sqltext as Q
+from petrograph.plans.registry import query
+from petrograph.plans.storage import scratch_path
+from petrograph.sources.tables import table_path
+from petrograph.sources.views import event_view, tick_view
+
+
+def events_stream(spark: SparkSession, d: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream (schema taken from the table, not inferred)."""
+    schema = spark.read.parquet(table_path(d, "events")).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(d)
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain the stream into Parquet under the shared folder and read it back."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    chk = scratch_path(spark, name + "-checkpoint")
+    w = stream.writeStream.option("checkpointLocation", chk).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).outputMode("append").start()
+    else:
+        # complete / update results go through foreachBatch: each batch
+        # replaces the table (complete mode re-emits the whole result).
+        def write_batch(df: DataFrame, _epoch: int) -> None:
+            df.write.mode("overwrite").parquet(out)
+        q = w.foreachBatch(write_batch).outputMode(mode).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(out)
+
+
+# -- T2 / T3: stateless -------------------------------------------------------------------
+def live_feed(events: DataFrame) -> DataFrame:
+    ev = event_view(events)
+    return ev.select("id", "ts", "severity", X.severity_band("severity").alias("severity_colour"),
+                     "immediate", X.impact_band("immediate").alias("impact_band"),
+                     X.pct_text("immediate", 0).alias("impact_pct"))
+
+
+@query("stream_live_feed", "T2", sql=f"""
+SELECT id, ts, severity, {Q.severity_band('severity')} AS severity_colour, immediate,
+       {Q.impact_band('immediate')} AS impact_band, {Q.pct_text('immediate', 0)} AS impact_pct FROM v_event""")
+def stream_live_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Live event monitoring: every event with its severity and impact bands."""
+    return run_available(live_feed(events_stream(spark, d)), "live-feed")
+
+
+def alerts(events: DataFrame) -> DataFrame:
+    ev = event_view(events)
+    return (ev.where((F.col("severity") == "critical") | (F.col("immediate") > 0.7))
+            .select("id", "ts", "title", "severity", "immediate"))
+
+
+@query("stream_alerts", "T3", sql="""
+SELECT id, ts, title, severity, immediate FROM v_event WHERE severity = 'critical' OR immediate > 0.7""")
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """High-impact alerts (ours): critical severity or immediate impact above 0.7."""
+    return run_available(alerts(events_stream(spark, d)), "alerts")
+
+
+# -- T6: windowed counts with a watermark ---------------------------------------------------
+def event_windows(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    ev = event_view(events).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return (ev.withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", window).alias("w"), "severity")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("stream_event_windows", "T6", sql="""
+SELECT date_trunc('day', ts) AS window_start, severity, count(*) AS n FROM v_event GROUP BY 1, 2""")
+def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Daily tumbling counts by severity (1 h watermark, complete mode)."""
+    out = run_available(event_windows(events_stream(spark, d)), "event-windows", mode="complete")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "severity", "n")
+
+
+# -- T1: keyed state ------------------------------------------------------------------------
+_CHANGE_SCHEMA = ("id long, ts timestamp_ntz, price_type string, price double, prev_price double, "
+                  "change_abs double, change_pct double")
+_STATE_SCHEMA = "last_price double"
+
+
+def _round_fixed(x: np.ndarray, n: int) -> np.ndarray:
+    p = 10 ** n
+    return np.sign(x) * np.floor(np.abs(x) * p + 0.5) / p
+
+
+def _price_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per price type: chain this micro-batch's ticks onto the last price seen.
+
+    Rows of one key within one micro-batch arrive in any order, so they are
+    sorted by (ts, id); the micro-batch size (trigger limits) bounds them.
+    """
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="mergesort")
+    prev = pdf["price"].shift(1)
+    if state.exists:
+        prev.iloc[0] = state.get[0]
+    diff = (pdf["price"] - prev).to_numpy(dtype="float64")
+    prev_np = prev.to_numpy(dtype="float64")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pct = np.where(prev_np == 0, np.nan, diff / prev_np * 100)
+    out = pd.DataFrame({"id": pdf["id"], "ts": pdf["ts"], "price_type": key[0], "price": pdf["price"],
+                        "prev_price": prev_np, "change_abs": _round_fixed(diff, 2),
+                        "change_pct": _round_fixed(pct, 2)})
+    state.update((float(pdf["price"].iloc[-1]),))
+    yield out
+
+
+def price_change_stream(events: DataFrame) -> DataFrame:
+    ticks = tick_view(events)
+    return ticks.groupBy("price_type").applyInPandasWithState(
+        _price_step, _CHANGE_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+@query("stream_price_change", "T1", sql=f"""
+SELECT id, ts, price_type, price, prev_price, {Q.round_fixed('price - prev_price', 2)} AS change_abs,
+       {Q.round_fixed('(price - prev_price) / prev_price * 100', 2)} AS change_pct
+FROM (SELECT *, lag(price) OVER (PARTITION BY price_type ORDER BY ts, id) AS prev_price FROM v_tick) t""")
+def stream_price_change(spark: SparkSession, d: str) -> DataFrame:
+    """Real-time tick changes; each tick chains onto the previous one of its type."""
+    return run_available(price_change_stream(events_stream(spark, d)), "price-change")
