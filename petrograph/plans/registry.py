@@ -36,6 +36,6 @@ def query(name: str, ref: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from petrograph.operators import (aggregates, derived, forecast, formats, graph,  # noqa: F401
-                                      lookups, quality, reports, scans, sequences)
+                                      lookups, quality, reports, scans, sequences, throttle)
     from petrograph.streaming import streams  # noqa: F401
     return REGISTRY
