@@ -39,14 +39,19 @@ SELECT {Q.or_zero('(SELECT arg_max(price, (ts, id)) FROM cp)')} AS current_price
        {Q.or_zero('(SELECT arg_max(confidence, (ts, id)) FROM v_prediction)')} AS model_confidence""")
 def dashboard_kpis(spark: SparkSession, d: str) -> DataFrame:
     """Current price and its change, critical events, countries, latest confidence."""
-    latest = current_price(spark, d).agg(
+    return kpis_of(current_price(spark, d), v_event(spark, d), country_dim(spark, d), v_prediction(spark, d))
+
+
+def kpis_of(current: DataFrame, events: DataFrame, countries: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``current``: latest price per type with ``change_pct`` (see ``current_price``)."""
+    latest = current.agg(
         F.max_by(F.struct("price", "change_pct"), F.struct("ts", "id")).alias("_p")).select(
         X.or_zero("_p.price").alias("current_price"), X.or_zero("_p.change_pct").alias("change_pct"))
-    critical = v_event(spark, d).agg(F.count_if(F.col("severity") == "critical").alias("critical_events"))
-    countries = country_dim(spark, d).agg(F.count(F.lit(1)).alias("active_countries"))
-    conf = v_prediction(spark, d).agg(
+    critical = events.agg(F.count_if(F.col("severity") == "critical").alias("critical_events"))
+    n_countries = countries.agg(F.count(F.lit(1)).alias("active_countries"))
+    conf = predictions.agg(
         X.or_zero(F.max_by("confidence", F.struct("ts", "id"))).alias("model_confidence"))
-    return combine_one_row(latest, critical, countries, conf)
+    return combine_one_row(latest, critical, n_countries, conf)
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:

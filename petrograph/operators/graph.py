@@ -29,7 +29,11 @@ EDGE_COLS = ["id", "source", "target", "weight", "type"]
 
 # -- nodes ---------------------------------------------------------------------------
 def country_nodes(spark: SparkSession, d: str) -> DataFrame:
-    c = v_country(spark, d)
+    return country_nodes_of(v_country(spark, d))
+
+
+def country_nodes_of(c: DataFrame) -> DataFrame:
+    """Countries (id, name, code, oil_production) -> country nodes."""
     return c.select(F.concat(F.lit("c:"), "id").alias("id"), F.col("name").alias("label"),
                     F.lit("country").alias("type"),
                     (F.lit(S.COUNTRY_NODE_BASE_SIZE) + X.or_zero("oil_production") / 1e6).alias("size"),
@@ -37,7 +41,11 @@ def country_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = v_event(spark, d)
+    return event_nodes_of(v_event(spark, d))
+
+
+def event_nodes_of(e: DataFrame) -> DataFrame:
+    """Events (id, title, severity, immediate) -> event nodes; no impact -> size 15."""
     return e.select(F.concat(F.lit("e:"), F.col("id").cast("string")).alias("id"),
                     X.label_prefix("title").alias("label"), F.lit("event").alias("type"),
                     (F.lit(S.EVENT_NODE_BASE_SIZE)
@@ -47,7 +55,11 @@ def event_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def price_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The current-price node: the latest WTI tick (a global ``max_by``)."""
-    t = v_tick(spark, d).where(F.col("price_type") == "WTI")
+    return price_node_of(v_tick(spark, d).where(F.col("price_type") == "WTI"))
+
+
+def price_node_of(t: DataFrame) -> DataFrame:
+    """Ticks (id, ts, price) -> the single current-price node."""
     return t.agg(F.max_by("price", F.struct("ts", "id")).alias("price")).select(
         F.lit(S.PRICE_NODE_ID).alias("id"), F.lit(S.PRICE_NODE_LABEL).alias("label"),
         F.lit("price_point").alias("type"), F.lit(S.PRICE_NODE_SIZE).alias("size"),
@@ -55,7 +67,10 @@ def price_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_nodes_df(spark: SparkSession, d: str) -> DataFrame:
-    parts = [country_nodes(spark, d), event_nodes(spark, d), price_nodes(spark, d)]
+    return nodes_of(country_nodes(spark, d), event_nodes(spark, d), price_nodes(spark, d))
+
+
+def nodes_of(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*NODE_COLS)
 
 
@@ -198,8 +213,12 @@ def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incident_edges(spark: SparkSession, d: str, node_type: str) -> DataFrame:
-    nodes = graph_nodes_df(spark, d).where(F.col("type") == node_type).select("id")
-    f = endpoint_flags(graph_edges_df(spark, d), nodes)
+    return incident_edges_of(graph_nodes_df(spark, d), graph_edges_df(spark, d), node_type)
+
+
+def incident_edges_of(nodes: DataFrame, edges: DataFrame, node_type: str) -> DataFrame:
+    """Edges with at least one endpoint among the nodes of ``node_type``."""
+    f = endpoint_flags(edges, nodes.where(F.col("type") == node_type).select("id"))
     return f.where(F.col("src_hit") | F.col("dst_hit")).select(*EDGE_COLS)
 
 
@@ -220,13 +239,15 @@ UNION ALL
 SELECT 'edge', id FROM ({_INCIDENT_SQL.format(t='country')}) x""")
 def subgraph_by_node_type(spark: SparkSession, d: str, node_type: str = "country") -> DataFrame:
     """'all' keeps everything; otherwise nodes of the type and every incident edge."""
-    nodes = graph_nodes_df(spark, d)
-    edges = graph_edges_df(spark, d)
+    return subgraph_of(graph_nodes_df(spark, d), graph_edges_df(spark, d), node_type)
+
+
+def subgraph_of(nodes: DataFrame, edges: DataFrame, node_type: str) -> DataFrame:
     if node_type == "all":
         return (nodes.select(F.lit("node").alias("element"), "id")
                 .unionByName(edges.select(F.lit("edge").alias("element"), "id")))
     return (nodes.where(F.col("type") == node_type).select(F.lit("node").alias("element"), "id")
-            .unionByName(incident_edges(spark, d, node_type).select(F.lit("edge").alias("element"), "id")))
+            .unionByName(incident_edges_of(nodes, edges, node_type).select(F.lit("edge").alias("element"), "id")))
 
 
 @query("node_incident_edges", "G13", sql="""
@@ -239,7 +260,10 @@ def node_incident_edges(spark: SparkSession, d: str) -> DataFrame:
 
     Partial aggregation before the shuffle keeps the hub price node cheap.
     """
-    e = graph_edges_df(spark, d)
+    return incident_counts(graph_edges_df(spark, d))
+
+
+def incident_counts(e: DataFrame) -> DataFrame:
     ends = e.select("weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("node"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_edges"),
                                     X.round_fixed(F.sum("weight"), 9).alias("weight_sum"))
@@ -255,10 +279,14 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     One-row aggregates are combined by a union and a final aggregate rather
     than a cross join.
     """
-    nodes = graph_nodes_df(spark, d).agg(
+    return graph_stats_of(graph_nodes_df(spark, d), graph_edges_df(spark, d))
+
+
+def graph_stats_of(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
+    nodes = nodes_df.agg(
         F.count(F.lit(1)).alias("n_nodes"),
         F.count_if(F.col("severity").isin("critical", "high")).alias("high_impact_events"))
-    edges = graph_edges_df(spark, d).agg(F.count(F.lit(1)).alias("n_edges"),
+    edges = edges_df.agg(F.count(F.lit(1)).alias("n_edges"),
                                          F.sum("weight").alias("_wsum"), F.count("weight").alias("_wn"))
     both = nodes.unionByName(edges, allowMissingColumns=True)
     return both.agg(F.max("n_nodes").alias("n_nodes"), F.max("n_edges").alias("n_edges"),
@@ -273,8 +301,12 @@ FROM (SELECT {Q.or_default('weight', 0.5)} AS w, {Q.strength_band(Q.or_default('
       FROM g_edges) x GROUP BY band""")
 def edge_strength_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Bands on the effective weight with the code's strict cut-offs."""
+    return strength_histogram(graph_edges_df(spark, d))
+
+
+def strength_histogram(edges: DataFrame) -> DataFrame:
     w = effective_weight("weight")
-    e = graph_edges_df(spark, d).select(w.alias("w"), X.strength_band(w).alias("band"))
+    e = edges.select(w.alias("w"), X.strength_band(w).alias("band"))
     return e.groupBy("band").agg(F.count(F.lit(1)).alias("n_edges"),
                                  X.round_fixed(F.avg("w"), 9).alias("avg_weight"),
                                  F.min("w").alias("min_weight"), F.max("w").alias("max_weight"))
