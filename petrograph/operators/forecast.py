@@ -26,6 +26,7 @@ from petrograph.operators.graph import effective_weight, graph_edges_df, graph_n
 from petrograph.operators.sequences import day_bucket, neighbour
 from petrograph.operators.timeseries import asof, trailing_sums
 from petrograph.plans.registry import query
+from petrograph.plans.storage import cut_lineage
 from petrograph.sources.views import v_event, v_prediction, v_tick
 
 HORIZON_SECONDS = {"1h": 3600, "6h": 6 * 3600, "24h": 24 * 3600, "7d": 7 * 86400}
@@ -195,7 +196,10 @@ def fit_gbt(train: DataFrame, seed: int = 42):
 
 
 def _split(spark: SparkSession, d: str):
-    data = training_frame(spark, d)
+    # Checkpointed once: the model fit, its training error and the scoring
+    # all read the same materialised features instead of re-running the
+    # as-of and trailing-window jobs, and a lost executor re-reads it.
+    data = cut_lineage(training_frame(spark, d))
     cut = X.ts_ntz(TRAIN_BEFORE)
     train = data.where((F.col("ts") < cut) & F.col("label").isNotNull())
     test = data.where(F.col("ts") >= cut)

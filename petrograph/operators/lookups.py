@@ -127,15 +127,27 @@ def predictions_by_horizon(spark: SparkSession, d: str, horizon: str = "24h") ->
 
 
 def entity_requests(spark: SparkSession, d: str) -> DataFrame:
-    """(request_id, kind, key): one country, one event, one prediction per events row."""
+    """(request_id, kind, key): one country, one event, one prediction per events row,
+    generated from a single scan."""
     e = read_table(spark, d, "events", "event_id", "user_id")
-    base = F.col("event_id").alias("request_id")
-    return (e.select(base, F.lit("country").alias("kind"),
-                     F.concat(F.lit("NATION_"), (F.col("user_id") % 30).cast("string")).alias("key"))
-            .unionByName(e.select(base, F.lit("event").alias("kind"),
-                                  (F.col("user_id") * 67).cast("string").alias("key")))
-            .unionByName(e.select(base, F.lit("prediction").alias("kind"),
-                                  F.col("event_id").cast("string").alias("key"))))
+    reqs = F.array(
+        F.struct(F.lit("country").alias("kind"),
+                 F.concat(F.lit("NATION_"), (F.col("user_id") % 30).cast("string")).alias("key")),
+        F.struct(F.lit("event").alias("kind"), (F.col("user_id") * 67).cast("string").alias("key")),
+        F.struct(F.lit("prediction").alias("kind"), F.col("event_id").cast("string").alias("key")))
+    return e.select(F.col("event_id").alias("request_id"), F.inline(reqs))
+
+
+def entity_targets(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, key, label) for every country, event and prediction."""
+    return (country_dim(spark, d).select(F.lit("country").alias("kind"), F.col("id").alias("key"),
+                                         F.col("name").alias("label"))
+            .unionByName(v_event(spark, d).select(F.lit("event").alias("kind"),
+                                                  F.col("id").cast("string").alias("key"),
+                                                  F.col("title").alias("label")))
+            .unionByName(v_prediction(spark, d).select(F.lit("prediction").alias("kind"),
+                                                       F.col("id").cast("string").alias("key"),
+                                                       F.col("horizon").alias("label"))))
 
 
 @query("entity_lookup", "F10", sql="""
@@ -153,20 +165,16 @@ SELECT r.request_id, r.kind, r.key, p.id IS NOT NULL, p.horizon
 FROM r LEFT JOIN v_prediction p ON r.kind = 'prediction' AND r.key = CAST(p.id AS VARCHAR) WHERE r.kind = 'prediction'
 """)
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Store-style getters by id for three kinds; absent ids give found=false."""
+    """Store-style getters by id for three kinds; absent ids give found=false.
+
+    One scan generates all requests and one equi-join on (kind, key) answers
+    them against the union of the three entity tables (ids are unique per
+    kind, so no request row is multiplied).
+    """
+    t = entity_targets(spark, d).withColumnRenamed("kind", "_tkind").withColumnRenamed("key", "_tkey")
     req = entity_requests(spark, d)
-    targets = {
-        # country dimension is bounded (25 rows): broadcast; the others are
-        # fact-sized and join by shuffle (AQE may still pick broadcast).
-        "country": F.broadcast(country_dim(spark, d).select(F.col("id").alias("tid"), F.col("name").alias("label"))),
-        "event": v_event(spark, d).select(F.col("id").cast("string").alias("tid"), F.col("title").alias("label")),
-        "prediction": v_prediction(spark, d).select(F.col("id").cast("string").alias("tid"),
-                                                    F.col("horizon").alias("label")),
-    }
-    parts = [req.where(F.col("kind") == kind).join(t, F.col("key") == F.col("tid"), "left")
-             .select("request_id", "kind", "key", F.col("tid").isNotNull().alias("found"), "label")
-             for kind, t in targets.items()]
-    return reduce(DataFrame.unionByName, parts)
+    j = req.join(t, (req.kind == t._tkind) & (req.key == t._tkey), "left")
+    return j.select("request_id", "kind", "key", F.col("_tkey").isNotNull().alias("found"), "label")
 
 
 @query("search_entities", "F11", sql="""

@@ -23,13 +23,17 @@ from petrograph.plans.storage import cut_lineage
 from petrograph.sources.tables import read_table
 from petrograph.sources.views import v_price
 
-DAY = "day"
-
-
 def day_bucket(ts: str = "ts") -> Column:
+    """Day buckets: for series whose timestamps are dates (orders)."""
     return F.to_date(F.col(ts))
 
 
+def hour_bucket(ts: str = "ts") -> Column:
+    """Hour buckets: for sub-second event streams (smaller window partitions;
+    the seed table grows to one row per key and hour, still partially aggregated)."""
+    return F.date_trunc("hour", F.col(ts))
+
+
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str],
               bucket: Column, direction: str = "prev", prefix: str | None = None) -> DataFrame:
     """Add ``<prefix><v>`` = value of the previous (next) row of the same key.
@@ -139,14 +143,14 @@ SELECT event_id AS id, user_id, ts, value,
        lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events""")
 def event_previous_value(spark: SparkSession, d: str) -> DataFrame:
     """``usePrevious`` per user: the prior value, NULL for the first."""
-    return neighbour(_events(spark, d), ["user_id"], ["ts", "id"], ["value"], day_bucket())
+    return neighbour(_events(spark, d), ["user_id"], ["ts", "id"], ["value"], hour_bucket())
 
 
 def debounce(df: DataFrame, key: str, wait_seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     """Keep the last event of each burst: the next event of the key is absent
     or comes ``wait_seconds`` or more later (a call landing before the timer
     fires resets it)."""
-    nxt = neighbour(df, [key], [ts, tie], [ts], day_bucket(ts), direction="next")
+    nxt = neighbour(df, [key], [ts, tie], [ts], hour_bucket(ts), direction="next")
     gap_us = F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"next_{ts}"))
     return nxt.where(F.col(f"next_{ts}").isNull() | (gap_us >= wait_seconds * 1_000_000)).drop(f"next_{ts}")
 
