@@ -4,16 +4,21 @@ dropped until ``limit`` has elapsed since the last one that passed.
 The rule is sequential, so a per-key loop would put a hot key's whole
 history in one task.  Instead:
 
-1. ``next(e)`` = first event of the same key at or after ``ts(e) + limit``,
-   a forward as-of lookup (bucketed, see ``timeseries.asof``);
-2. the events kept are exactly the chain first(key), next(first), ...;
-   it is found by pointer doubling: jump tables J_k = next^(2^k) built by
-   self-joins on the (unique) event id, then the chain expanded top-down
-   from each key's first event.
+1. anchors: an event whose gap to the previous event of its key is at least
+   ``limit`` (or the key's first event) always passes, and the greedy chain
+   that starts at an anchor never skips past the next anchor - so the
+   segments between anchors are independent;
+2. ``next(e)`` = first event of the same key at or after ``ts(e) + limit``,
+   a forward as-of lookup (bucketed, see ``timeseries.asof``); a pointer to
+   an anchor is cut, since that anchor starts its own chain;
+3. the events that pass are the chains anchor, next(anchor), ... found by
+   pointer doubling: jump tables J_k = next^(2^k) built by self-joins on the
+   (unique) event id, then every chain expanded top-down from its anchor.
 
 Every join is on unique event ids, so no key - however hot - lands in one
-task; there are 2(K+1) joins with 2^(K+1) >= the longest chain, and each
-table is checkpointed to the shared folder to cut lineage.
+task.  There are 2(K+1) joins with 2^(K+1) >= the longest chain inside one
+segment (sparse keys need few rounds; a dense hot key needs log2 of its
+chain), and each table is checkpointed to the shared folder to cut lineage.
 """
 
 from __future__ import annotations
@@ -23,36 +28,51 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petrograph.operators.sequences import hour_bucket, neighbour
 from petrograph.operators.timeseries import asof
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
 from petrograph.sources.tables import read_table
 
 
-def _levels(df: DataFrame, key: str, ts: str, limit_seconds: int) -> int:
-    """K such that 2^(K+1) >= the longest possible chain (span / limit + 1)."""
-    span = (df.groupBy(key).agg(F.timestamp_diff("SECOND", F.min(ts), F.max(ts)).alias("s"))
-            .agg(F.max("s").alias("s")).first()["s"]) or 0
-    chain = span // limit_seconds + 1
+def _levels(anchors: DataFrame, key: str, ts: str, limit_seconds: int) -> int:
+    """K with 2^(K+1) >= the longest chain of any segment (span / limit + 1)."""
+    nxt = neighbour(anchors.select(key, ts, "_id"), [key], [ts, "_id"], [ts], hour_bucket(ts),
+                    direction="next", prefix="_na_")
+    span = (nxt.where(F.col(f"_na_{ts}").isNotNull())
+            .agg(F.max(F.timestamp_diff("SECOND", F.col(ts), F.col(f"_na_{ts}"))).alias("s")).first()["s"])
+    tail = (anchors.groupBy(key).agg(F.max(ts).alias("_a")).join(
+        anchors.groupBy(key).agg(F.max("_last").alias("_z")), key)
+        .agg(F.max(F.timestamp_diff("SECOND", F.col("_a"), F.col("_z"))).alias("s")).first()["s"])
+    longest = max(span or 0, tail or 0)
+    chain = longest // limit_seconds + 1
     return max(0, math.ceil(math.log2(max(chain, 1))) - 1)
 
 
 def throttle(df: DataFrame, key: str, limit_seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:
-    base = df.select(key, ts, tie)
+    base = df.select(key, ts, F.col(tie).alias("_id"))
+    prev = neighbour(base, [key], [ts, "_id"], [ts], hour_bucket(ts), prefix="_prev_")
+    gap = F.timestamp_diff("MICROSECOND", F.col(f"_prev_{ts}"), F.col(ts))
+    flagged = prev.withColumn("_anchor", F.col(f"_prev_{ts}").isNull() | (gap >= limit_seconds * 1_000_000))
+
     due = F.timestamp_add("SECOND", F.lit(limit_seconds), F.col(ts))
-    nxt = asof(base, base, left_ts=due, right_ts=ts, right_order=[ts, tie], values=[tie],
-               keys=[key], direction="forward", prefix="nxt_")
-    k_max = _levels(df, key, ts, limit_seconds)
+    nxt = cut_lineage(asof(flagged.select(key, ts, "_id", "_anchor"), flagged.select(key, ts, "_id", "_anchor"),
+                           left_ts=due, right_ts=ts, right_order=[ts, "_id"], values=["_id", "_anchor"],
+                           keys=[key], direction="forward", prefix="_nx"))
+    anchors = nxt.where("_anchor").select(key, ts, "_id")
+    last = df.groupBy(key).agg(F.max(ts).alias("_last"))
+    k_max = _levels(anchors.join(last, key), key, ts, limit_seconds)
 
-    jumps = [cut_lineage(nxt.select(F.col(tie).alias("src"), F.col(f"nxt_{tie}").alias("dst")))]
+    j0 = nxt.select(F.col("_id").alias("src"),
+                    F.when(F.col("_nx_anchor"), F.lit(None)).otherwise(F.col("_nx_id")).alias("dst"))
+    jumps = [cut_lineage(j0)]
     for _ in range(k_max):
         j = jumps[-1]
         b = j.select(F.col("src").alias("_mid"), F.col("dst").alias("_dst2"))
         jumps.append(cut_lineage(j.join(b, j.dst == b._mid, "left")
                                  .select("src", F.col("_dst2").alias("dst"))))
 
-    firsts = df.groupBy(key).agg(F.min_by(F.col(tie), F.struct(ts, tie)).alias("node"))
-    chain = cut_lineage(firsts.select("node"))
+    chain = anchors.select(F.col("_id").alias("node"))
     for j in reversed(jumps):
         step = chain.join(j, chain.node == j.src).where(F.col("dst").isNotNull()).select(F.col("dst").alias("node"))
         chain = cut_lineage(chain.unionByName(step))
