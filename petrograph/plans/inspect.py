@@ -44,3 +44,29 @@ def global_windows(df: DataFrame) -> list[str]:
                 bad.append(node.toString()[:200])
         stack.extend(_children(node))
     return bad
+
+
+_OPS = ("Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
+        "Window", "HashAggregate", "SortAggregate", "ObjectHashAggregate")
+
+
+def op_counts(df: DataFrame) -> dict[str, int]:
+    """Count physical operators in the (initial) plan: shuffles, joins, windows, aggregates."""
+    counts = dict.fromkeys(_OPS, 0)
+    stack = [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = _name(node)
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.initialPlan())
+            continue
+        if name == "ShuffleExchangeExec":
+            counts["Exchange"] += 1
+        elif name == "BroadcastExchangeExec":
+            counts["BroadcastExchange"] += 1
+        else:
+            base = name[:-4] if name.endswith("Exec") else name
+            if base in counts:
+                counts[base] += 1
+        stack.extend(_children(node))
+    return {k: v for k, v in counts.items() if v}
