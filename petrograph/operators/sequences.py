@@ -106,13 +106,14 @@ def latest_two(df: DataFrame, keys: list[str], order: list[str], values: list[st
     """Latest row per key plus the row before it, by two partial aggregations.
 
     Cheaper than a window: no sort of the series, one candidate per key per
-    task in each shuffle.  The per-key table joined back is bounded by the
-    number of keys (here the 3 price types) and broadcast.
+    task in each shuffle.  The per-key table joined back has one row per key;
+    it is not forced to broadcast (keys may be many) - AQE broadcasts it when
+    its measured size is under the threshold, as for the 3 price types.
     """
     ordkey = F.struct(*order)
     vals = F.struct(*order, *values)
     last = df.groupBy(*keys).agg(F.max_by(vals, ordkey).alias("_last"))
-    lk = F.broadcast(last.select(*keys, F.col("_last").alias("_l")))
+    lk = last.select(*keys, F.col("_last").alias("_l"))
     before = (df.join(lk, keys).where(ordkey < F.struct(*[F.col(f"_l.{o}") for o in order]))
               .groupBy(*keys).agg(F.max_by(vals, ordkey).alias("_prev")))
     return (last.join(before, keys, "left")

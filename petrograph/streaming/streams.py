@@ -4,7 +4,8 @@ Each query reads the events table as a file stream, runs to completion with
 ``trigger(availableNow=True)`` into Parquet under the shared checkpoint
 folder (sink and checkpoint both there, so a restarted job resumes), and
 returns the sink read back as a batch DataFrame.  On a live source the same
-``start_*`` builders run with a processing-time trigger instead.
+stream builders (``live_feed``, ``alerts``, ``event_windows``,
+``price_change_stream``) run with a processing-time trigger instead.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from petrograph.sources.tables import table_path
 from petrograph.sources.views import event_view, tick_view
 
 
-def events_stream(spark: SparkSession, d: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a file stream (schema taken from the table, not inferred)."""
+def events_stream(spark: SparkSession, d: str, max_files_per_trigger: int | None = 64) -> DataFrame:
+    """The events table as a file stream (schema taken from the table, not inferred).
+
+    ``maxFilesPerTrigger`` bounds each micro-batch, and with it the rows one
+    key brings to a stateful task in one batch.
+    """
     schema = spark.read.parquet(table_path(d, "events")).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     if max_files_per_trigger:
