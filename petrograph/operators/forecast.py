@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrograph import schemas as S
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
 from petrograph.operators.graph import effective_weight, graph_edges_df, graph_nodes_df
