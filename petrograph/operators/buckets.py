@@ -1,0 +1,52 @@
+"""Time buckets for ordered operators, with hot buckets split.
+
+Ordered operators here (previous/next row, as-of, trailing sums) run one
+window per (key, time bucket) and stitch buckets together through a small
+per-bucket table.  A plain fixed-width bucket is one task, so a burst - one
+key and hour holding a large share of all rows - would be one task too.
+
+``with_bucket`` therefore counts rows per (key, base bucket) with partial
+aggregation, and for buckets above ``max_rows`` computes approximate
+quantiles of the time inside the bucket (``percentile_approx``, itself a
+partial aggregate).  Such a bucket is cut at those points into sub-buckets of
+roughly ``max_rows`` rows.  The bucket is ``struct(base, sub)``: ``sub`` counts
+the cut points below a row's time, so rows at the same instant stay
+together and buckets remain monotone in (time, tie-break) order, which is
+all the stitching needs.  The split table has one row per hot bucket -
+bounded by total rows / ``max_rows`` - and is broadcast.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 20_000_000
+QUANTILES = 1000   # resolution of the cut points: a hot bucket splits into up to this many parts
+
+
+def base_bucket(t_us: Column, bucket_seconds: int) -> Column:
+    return F.floor(t_us / F.lit(bucket_seconds * 1_000_000)).cast("long")
+
+
+def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
+                max_rows: int | None = DEFAULT_MAX_ROWS, out: str = "_b") -> DataFrame:
+    """Add column ``out`` = struct(base: long, sub: int) for the row's time ``t_us`` (µs)."""
+    tagged = df.withColumn("_base", base_bucket(F.col(t_us), bucket_seconds))
+    if not max_rows:
+        return tagged.withColumn(out, F.struct(F.col("_base").alias("base"), F.lit(0).alias("sub"))).drop("_base")
+    counts = tagged.groupBy(*keys, "_base").agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > max_rows))
+    pct = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    # every stride-th quantile, so that each part holds about max_rows rows
+    stride = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * max_rows) / F.col("_n")).cast("int"))
+    splits = (tagged.join(hot.select(*keys, "_base"), [*keys, "_base"], "left_semi")
+              .groupBy(*keys, "_base")
+              .agg(F.percentile_approx(F.col(t_us), pct, 10 * QUANTILES).alias("_q"))
+              .join(hot, [*keys, "_base"])
+              .select(*keys, "_base", F.array_distinct(
+                  F.filter("_q", lambda q, i: (i + 1) % stride == 0)).alias("_cuts")))
+    joined = tagged.join(F.broadcast(splits), [*keys, "_base"], "left")
+    sub = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(t_us))), F.lit(0))
+    return (joined.withColumn(out, F.struct(F.col("_base").alias("base"), sub.cast("int").alias("sub")))
+            .drop("_base", "_cuts"))

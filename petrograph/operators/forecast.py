@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
 from petrograph.operators.graph import effective_weight, graph_edges_df, graph_nodes_df
-from petrograph.operators.sequences import day_bucket, neighbour
+from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof, trailing_sums
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
@@ -174,7 +174,7 @@ FEATURES = ["price", "prev_price", "n_events", "impact_sum", "sentiment_sum", "t
 def training_frame(spark: SparkSession, d: str) -> DataFrame:
     """Features per tick and the label: the same type's price 24 h later (as-of)."""
     f = tick_features(spark, d)
-    f = neighbour(f, ["price_type"], ["ts", "id"], ["price"], day_bucket())
+    f = neighbour(f, ["price_type"], ["ts", "id"], ["price"])
     f = f.withColumn("type_idx", F.when(F.col("price_type") == "WTI", 0.0)
                      .when(F.col("price_type") == "Brent", 1.0).otherwise(2.0))
     ticks = v_tick(spark, d).select("id", "ts", "price_type", F.col("price").alias("label"))

@@ -4,11 +4,12 @@ zero-based ordinal (G5's building block).
 
 A window ``partitionBy(key)`` puts a whole key in one task, and a key may hold
 a third of all rows.  ``neighbour`` therefore partitions by (key, time
-bucket) and seeds the first row of each bucket from the last row of the
-nearest earlier bucket (or the first row of the nearest later one), read off
-a per-bucket ``max_by``/``min_by`` table that is partially aggregated before
-its shuffle.  The seed table has one row per (key, bucket), so its size
-follows the time span, not the row count.
+bucket) - with hot buckets cut further at time quantiles (``buckets``) - and
+seeds the first row of each bucket from the last row of the nearest earlier
+bucket (or the first row of the nearest later one), read off a per-bucket
+``max_by``/``min_by`` table that is partially aggregated before its shuffle.
+The seed table has one row per (key, bucket), so its size follows the time
+span, not the row count.
 """
 
 from __future__ import annotations
@@ -18,35 +19,30 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
+from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+from petrograph.operators.timeseries import epoch_us
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
 from petrograph.sources.tables import read_table
 from petrograph.sources.views import v_price
 
-def day_bucket(ts: str = "ts") -> Column:
-    """Day buckets: for series whose timestamps are dates (orders)."""
-    return F.to_date(F.col(ts))
-
-
-def hour_bucket(ts: str = "ts") -> Column:
-    """Hour buckets: for sub-second event streams (smaller window partitions;
-    the seed table grows to one row per key and hour, still partially aggregated)."""
-    return F.date_trunc("hour", F.col(ts))
-
-
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str],
-              bucket: Column, direction: str = "prev", prefix: str | None = None) -> DataFrame:
+              bucket_seconds: int = 3600, direction: str = "prev", prefix: str | None = None,
+              max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
     """Add ``<prefix><v>`` = value of the previous (next) row of the same key.
 
-    Equivalent to ``lag``/``lead`` over ``partitionBy(keys).orderBy(order)``,
-    but the window is partitioned by (keys, bucket); ``bucket`` must be
-    monotone in ``order`` (e.g. the day of ``ts``).
+    Equivalent to ``lag``/``lead`` over ``partitionBy(keys).orderBy(order)``
+    where ``order[0]`` is the timestamp, but the window is partitioned by
+    (keys, time bucket) - hot buckets split further (see ``buckets``) - and
+    the first (last) row of each bucket is seeded from the nearest earlier
+    (later) bucket's edge row.
     """
     if direction not in ("prev", "next"):
         raise ValueError(direction)
     prefix = prefix or ("prev_" if direction == "prev" else "next_")
     b = "_nb_bucket"
-    tagged = df.withColumn(b, bucket)
+    tagged = with_bucket(df.withColumn("_nb_t", epoch_us(order[0])), keys, "_nb_t", bucket_seconds,
+                         max_rows, out=b).drop("_nb_t")
     vals = F.struct(*[F.col(v) for v in values])
     ordkey = F.struct(*[F.col(o) for o in order])
 
@@ -68,7 +64,8 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str
 def price_changes(prices: DataFrame) -> DataFrame:
     """absolute = new - prev (2 dp); percentage = (new - prev) / prev * 100 (2 dp),
     both from the unrounded difference; NULL for a series' first tick."""
-    with_prev = neighbour(prices, ["price_type"], ["ts", "id"], ["price"], day_bucket())
+    # order timestamps are dates: day buckets
+    with_prev = neighbour(prices, ["price_type"], ["ts", "id"], ["price"], bucket_seconds=86400)
     diff = F.col("price") - F.col("prev_price")
     return with_prev.select(
         "id", "ts", "price_type", "price", "prev_price",
@@ -144,14 +141,15 @@ SELECT event_id AS id, user_id, ts, value,
        lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events""")
 def event_previous_value(spark: SparkSession, d: str) -> DataFrame:
     """``usePrevious`` per user: the prior value, NULL for the first."""
-    return neighbour(_events(spark, d), ["user_id"], ["ts", "id"], ["value"], hour_bucket())
+    return neighbour(_events(spark, d), ["user_id"], ["ts", "id"], ["value"])
 
 
-def debounce(df: DataFrame, key: str, wait_seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:
+def debounce(df: DataFrame, key: str, wait_seconds: int, ts: str = "ts", tie: str = "id",
+             max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
     """Keep the last event of each burst: the next event of the key is absent
     or comes ``wait_seconds`` or more later (a call landing before the timer
     fires resets it)."""
-    nxt = neighbour(df, [key], [ts, tie], [ts], hour_bucket(ts), direction="next")
+    nxt = neighbour(df, [key], [ts, tie], [ts], direction="next", max_rows=max_rows)
     gap_us = F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"next_{ts}"))
     return nxt.where(F.col(f"next_{ts}").isNull() | (gap_us >= wait_seconds * 1_000_000)).drop(f"next_{ts}")
 

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrograph.operators.sequences import hour_bucket, neighbour
+from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
@@ -37,8 +37,7 @@ from petrograph.sources.tables import read_table
 
 def _levels(anchors: DataFrame, key: str, ts: str, limit_seconds: int) -> int:
     """K with 2^(K+1) >= the longest chain of any segment (span / limit + 1)."""
-    nxt = neighbour(anchors.select(key, ts, "_id"), [key], [ts, "_id"], [ts], hour_bucket(ts),
-                    direction="next", prefix="_na_")
+    nxt = neighbour(anchors.select(key, ts, "_id"), [key], [ts, "_id"], [ts], direction="next", prefix="_na_")
     span = (nxt.where(F.col(f"_na_{ts}").isNotNull())
             .agg(F.max(F.timestamp_diff("SECOND", F.col(ts), F.col(f"_na_{ts}"))).alias("s")).first()["s"])
     tail = (anchors.groupBy(key).agg(F.max(ts).alias("_a")).join(
@@ -51,7 +50,7 @@ def _levels(anchors: DataFrame, key: str, ts: str, limit_seconds: int) -> int:
 
 def throttle(df: DataFrame, key: str, limit_seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     base = df.select(key, ts, F.col(tie).alias("_id"))
-    prev = neighbour(base, [key], [ts, "_id"], [ts], hour_bucket(ts), prefix="_prev_")
+    prev = neighbour(base, [key], [ts, "_id"], [ts], prefix="_prev_")
     gap = F.timestamp_diff("MICROSECOND", F.col(f"_prev_{ts}"), F.col(ts))
     flagged = prev.withColumn("_anchor", F.col(f"_prev_{ts}").isNull() | (gap >= limit_seconds * 1_000_000))
 

@@ -2,8 +2,8 @@
 trailing-window sums.
 
 Both avoid a raw range join (no pairs are emitted) and avoid a window over a
-whole key.  Rows are cut into fixed time buckets; each bucket is one window
-partition, and what a bucket needs from the buckets before (or after) it is
+whole key.  Rows are cut into time buckets (hot ones split further, see
+``buckets``); each bucket is one window partition, and what a bucket needs from the buckets before (or after) it is
 read off a per-bucket summary table (one row per key and bucket, partially
 aggregated before its shuffle).  The summary is combined with a window over
 that table only, whose size follows the time span / bucket width, not the
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+
 
 def epoch_us(ts) -> Column:
     """Microseconds since the epoch of a zone-less timestamp (zone-independent)."""
@@ -23,13 +25,10 @@ def epoch_us(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
 
 
-def bucket_of(us: Column, bucket_seconds: int) -> Column:
-    return F.floor(us / F.lit(bucket_seconds * 1_000_000)).cast("long")
-
-
 def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, right_order: list[str],
          values: list[str], keys: list[str] | None = None, direction: str = "backward",
-         bucket_seconds: int = 3600, prefix: str = "asof_") -> DataFrame:
+         bucket_seconds: int = 3600, prefix: str = "asof_",
+         max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
     """Attach to every ``left`` row the ``values`` of one ``right`` row of the same ``keys``:
 
     * backward: the latest right row with ``right_ts <= left_ts`` (ties: last in ``right_order``);
@@ -54,7 +53,7 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
     rt = right.select(*keys, epoch_us(right_ts).alias("_t"), F.lit(r_side).alias("_side"),
                       F.struct(*right_order).alias("_ord"), F.struct(*values).alias("_val"),
                       F.lit(None).cast(lt.schema["_row"].dataType).alias("_row"))
-    both = lt.unionByName(rt).withColumn("_b", bucket_of(F.col("_t"), bucket_seconds))
+    both = with_bucket(lt.unionByName(rt), keys, "_t", bucket_seconds, max_rows)
 
     order = [F.col("_t"), F.col("_side"), F.col("_ord")]
     if back:
@@ -87,7 +86,7 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
 
 def trailing_sums(points: DataFrame, events: DataFrame, *, point_id: str, point_ts: str, event_ts: str,
                   horizon_seconds: int, values: list[str], bucket_seconds: int = 60,
-                  scale: int = 12) -> DataFrame:
+                  scale: int = 12, max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
     """For each point: ``n_events`` and ``<v>_sum`` over events with ts in (t - H, t].
 
     Uses prefix sums P(x) = (sum over buckets before x's bucket) + (running
@@ -113,7 +112,7 @@ def trailing_sums(points: DataFrame, events: DataFrame, *, point_id: str, point_
               ).alias("_p"), "_pid")
               .select(F.col("_p._t").alias("_t"), F.lit(1).alias("_side"), F.col("_p._end").alias("_end"),
                       "_pid", *zero))
-    both = ev.unionByName(probes).withColumn("_b", bucket_of(F.col("_t"), bucket_seconds))
+    both = with_bucket(ev.unionByName(probes), [], "_t", bucket_seconds, max_rows)
     acc = ["_n", *[f"_s_{v}" for v in values], *[f"_c_{v}" for v in values]]
 
     # Per-bucket totals -> total of all earlier buckets, for every bucket

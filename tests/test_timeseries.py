@@ -12,7 +12,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from petrograph.operators.sequences import day_bucket, debounce, neighbour, ordinal_index
+from petrograph.operators.sequences import debounce, neighbour, ordinal_index
 from petrograph.operators.throttle import throttle
 from petrograph.operators.timeseries import asof, trailing_sums
 
@@ -43,27 +43,41 @@ def _sorted_by_key(rows):
     return by
 
 
-def test_neighbour_prev_and_next(spark, series):
+@pytest.mark.parametrize("bucket_seconds,max_rows", [(86400, None), (3600, None), (86400, 20), (600, 3)])
+def test_neighbour_prev_and_next(spark, series, bucket_seconds, max_rows):
     rows, df = series
     want_prev, want_next = {}, {}
     for seq in _sorted_by_key(rows).values():
         for i, r in enumerate(seq):
             want_prev[r[0]] = seq[i - 1][3] if i else None
             want_next[r[0]] = seq[i + 1][2] if i + 1 < len(seq) else None
-    got = neighbour(df, ["k"], ["ts", "id"], ["v"], day_bucket()).collect()
+    got = neighbour(df, ["k"], ["ts", "id"], ["v"], bucket_seconds, max_rows=max_rows).collect()
     assert {r["id"]: r["prev_v"] for r in got} == want_prev
-    got = neighbour(df, ["k"], ["ts", "id"], ["ts"], day_bucket(), direction="next").collect()
+    got = neighbour(df, ["k"], ["ts", "id"], ["ts"], bucket_seconds, direction="next", max_rows=max_rows).collect()
     assert {r["id"]: r["next_ts"] for r in got} == want_next
 
 
-def test_debounce(spark, series):
+def test_hot_buckets_are_split(spark, series):
+    from petrograph.operators.buckets import with_bucket
+    from petrograph.operators.timeseries import epoch_us
+
+    rows, df = series
+    b = with_bucket(df.withColumn("t", epoch_us("ts")), ["k"], "t", 86400, max_rows=20)
+    sizes = b.groupBy("k", "_b").count()
+    assert sizes.where("_b.sub > 0").count() > 0
+    # only same-instant ties can exceed the target size
+    assert sizes.agg(F.max("count")).first()[0] < 80
+
+
+@pytest.mark.parametrize("max_rows", [None, 10])
+def test_debounce(spark, series, max_rows):
     rows, df = series
     want = set()
     for seq in _sorted_by_key(rows).values():
         for i, r in enumerate(seq):
             if i + 1 == len(seq) or (seq[i + 1][2] - r[2]).total_seconds() >= 300:
                 want.add(r[0])
-    assert {r["id"] for r in debounce(df, "k", 300).collect()} == want
+    assert {r["id"] for r in debounce(df, "k", 300, max_rows=max_rows).collect()} == want
 
 
 def test_throttle_matches_greedy(spark, series):
@@ -78,8 +92,9 @@ def test_throttle_matches_greedy(spark, series):
     assert {r["id"] for r in throttle(df, "k", 3600).collect()} == want
 
 
-@pytest.mark.parametrize("direction", ["backward", "forward"])
-def test_asof(spark, series, direction):
+@pytest.mark.parametrize("direction,max_rows", [("backward", None), ("forward", None), ("backward", 5),
+                                               ("forward", 5)])
+def test_asof(spark, series, direction, max_rows):
     rows, df = series
     rnd = random.Random(3)
     probes = [(1000 + j, rnd.randrange(3), T0 + dt.timedelta(seconds=rnd.randrange(-3600, 6 * 86400)))
@@ -87,7 +102,7 @@ def test_asof(spark, series, direction):
     probes.append((2000, 0, rows[0][2]))   # exact time match
     pdf = spark.createDataFrame(probes, "pid long, k long, pts timestamp_ntz")
     got = asof(pdf, df, left_ts=F.col("pts"), right_ts="ts", right_order=["ts", "id"], values=["id"],
-               keys=["k"], direction=direction, bucket_seconds=1800).collect()
+               keys=["k"], direction=direction, bucket_seconds=1800, max_rows=max_rows).collect()
     by = _sorted_by_key(rows)
     want = {}
     for pid, k, t in probes:
@@ -101,14 +116,15 @@ def test_asof(spark, series, direction):
     assert {r["pid"]: r["asof_id"] for r in got} == want
 
 
-def test_trailing_sums(spark, series):
+@pytest.mark.parametrize("max_rows", [None, 7])
+def test_trailing_sums(spark, series, max_rows):
     rows, df = series
     ev = df.withColumn("x", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("v")))
     pts = [(j, T0 + dt.timedelta(seconds=s)) for j, s in enumerate(range(0, 6 * 86400, 7919))]
     pdf = spark.createDataFrame(pts, "pid long, pts timestamp_ntz")
     got = {r["pid"]: (r["n_events"], r["x_sum"]) for r in trailing_sums(
         pdf, ev, point_id="pid", point_ts="pts", event_ts="ts", horizon_seconds=86400, values=["x"],
-        bucket_seconds=600).collect()}
+        bucket_seconds=600, max_rows=max_rows).collect()}
     for pid, t in pts:
         inside = [r for r in rows if t - dt.timedelta(days=1) < r[2] <= t]
         xs = [r[3] for r in inside if r[0] % 5 != 0]
