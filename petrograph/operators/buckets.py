@@ -13,7 +13,8 @@ roughly ``max_rows`` rows.  The bucket is ``struct(base, sub)``: ``sub`` counts
 the cut points below a row's time, so rows at the same instant stay
 together and buckets remain monotone in (time, tie-break) order, which is
 all the stitching needs.  The split table has one row per hot bucket -
-bounded by total rows / ``max_rows`` - and is broadcast.
+bounded by total rows / ``max_rows`` - and is broadcast.  Whether any bucket
+is hot is read as one number on the driver; with none, no join is planned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from petrograph.plans.storage import cut_lineage
+
 DEFAULT_MAX_ROWS = 20_000_000
 QUANTILES = 1000   # resolution of the cut points: a hot bucket splits into up to this many parts
 
@@ -31,21 +34,33 @@ def base_bucket(t_us: Column, bucket_seconds: int) -> Column:
 
 def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
                 max_rows: int | None = DEFAULT_MAX_ROWS, out: str = "_b") -> DataFrame:
-    """Add column ``out`` = struct(base: long, sub: int) for the row's time ``t_us`` (µs)."""
+    """Add column ``out`` = struct(base: long, sub: int) for the row's time ``t_us`` (µs).
+
+    One small job decides whether any bucket is hot (the largest per-bucket
+    count, a partially aggregated scan of the key and time columns).  If none
+    is, the bucket is a plain column and the plan gains no join.  Otherwise
+    the cut table is computed once, checkpointed to the shared folder, and
+    broadcast-joined.
+    """
     tagged = df.withColumn("_base", base_bucket(F.col(t_us), bucket_seconds))
+    plain = F.struct(F.col("_base").alias("base"), F.lit(0).alias("sub"))
     if not max_rows:
-        return tagged.withColumn(out, F.struct(F.col("_base").alias("base"), F.lit(0).alias("sub"))).drop("_base")
+        return tagged.withColumn(out, plain).drop("_base")
     counts = tagged.groupBy(*keys, "_base").agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
+    if largest <= max_rows:
+        return tagged.withColumn(out, plain).drop("_base")
+
     hot = F.broadcast(counts.where(F.col("_n") > max_rows))
     pct = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
     # every stride-th quantile, so that each part holds about max_rows rows
     stride = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * max_rows) / F.col("_n")).cast("int"))
-    splits = (tagged.join(hot.select(*keys, "_base"), [*keys, "_base"], "left_semi")
-              .groupBy(*keys, "_base")
-              .agg(F.percentile_approx(F.col(t_us), pct, 10 * QUANTILES).alias("_q"))
-              .join(hot, [*keys, "_base"])
-              .select(*keys, "_base", F.array_distinct(
-                  F.filter("_q", lambda q, i: (i + 1) % stride == 0)).alias("_cuts")))
+    splits = cut_lineage(
+        tagged.join(hot.select(*keys, "_base"), [*keys, "_base"], "left_semi")
+        .groupBy(*keys, "_base")
+        .agg(F.percentile_approx(F.col(t_us), pct, 10 * QUANTILES).alias("_q"))
+        .join(hot, [*keys, "_base"])
+        .select(*keys, "_base", F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % stride == 0)).alias("_cuts")))
     joined = tagged.join(F.broadcast(splits), [*keys, "_base"], "left")
     sub = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(t_us))), F.lit(0))
     return (joined.withColumn(out, F.struct(F.col("_base").alias("base"), sub.cast("int").alias("sub")))
