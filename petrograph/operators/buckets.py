@@ -3,18 +3,20 @@
 Ordered operators here (previous/next row, as-of, trailing sums) run one
 window per (key, time bucket) and stitch buckets together through a small
 per-bucket table.  A plain fixed-width bucket is one task, so a burst - one
-key and hour holding a large share of all rows - would be one task too.
+key and hour holding a large share of all rows, or a day of orders that all
+carry the same date - would be one task too.
 
-``with_bucket`` therefore counts rows per (key, base bucket) with partial
-aggregation, and for buckets above ``max_rows`` computes approximate
-quantiles of the time inside the bucket (``percentile_approx``, itself a
-partial aggregate).  Such a bucket is cut at those points into sub-buckets of
-roughly ``max_rows`` rows.  The bucket is ``struct(base, sub)``: ``sub`` counts
-the cut points below a row's time, so rows at the same instant stay
-together and buckets remain monotone in (time, tie-break) order, which is
-all the stitching needs.  The split table has one row per hot bucket -
-bounded by total rows / ``max_rows`` - and is broadcast.  Whether any bucket
-is hot is read as one number on the driver; with none, no join is planned.
+``with_bucket`` counts rows per (key, base bucket) with partial aggregation.
+A bucket above ``max_rows`` is cut into parts of about ``max_rows`` rows at
+points drawn from a sample of its rows (about ``SAMPLE`` rows per hot bucket,
+so the sample never grows with the data), ordered by (time, tie-break).  The
+bucket is ``struct(base, sub)`` where ``sub`` counts the cut points below the
+row's (time, tie-break); buckets therefore stay monotone in the operator's
+order, which is all the stitching needs, and a tie group at one instant can
+be cut by its tie-break too.  The cut table has one row per hot bucket
+(at most total rows / ``max_rows``), is checkpointed once and broadcast.
+Whether any bucket is hot is read as one number on the driver; with none,
+no join is planned.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from petrograph.plans.storage import cut_lineage
 
 DEFAULT_MAX_ROWS = 20_000_000
-QUANTILES = 1000   # resolution of the cut points: a hot bucket splits into up to this many parts
+SAMPLE = 4000   # rows sampled per hot bucket to place its cut points
 
 
 def base_bucket(t_us: Column, bucket_seconds: int) -> Column:
@@ -33,35 +35,33 @@ def base_bucket(t_us: Column, bucket_seconds: int) -> Column:
 
 
 def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
-                max_rows: int | None = DEFAULT_MAX_ROWS, out: str = "_b") -> DataFrame:
+                max_rows: int | None = DEFAULT_MAX_ROWS, out: str = "_b", tie: str | None = None,
+                seed: int = 17) -> DataFrame:
     """Add column ``out`` = struct(base: long, sub: int) for the row's time ``t_us`` (µs).
 
-    One small job decides whether any bucket is hot (the largest per-bucket
-    count, a partially aggregated scan of the key and time columns).  If none
-    is, the bucket is a plain column and the plan gains no join.  Otherwise
-    the cut table is computed once, checkpointed to the shared folder, and
-    broadcast-joined.
+    ``tie`` is the column that orders rows at the same instant (the operator's
+    second sort key); without it, cuts fall between distinct times only.
     """
-    tagged = df.withColumn("_base", base_bucket(F.col(t_us), bucket_seconds))
-    plain = F.struct(F.col("_base").alias("base"), F.lit(0).alias("sub"))
+    tagged = df.withColumn("_wb_base", base_bucket(F.col(t_us), bucket_seconds))
+    plain = F.struct(F.col("_wb_base").alias("base"), F.lit(0).alias("sub"))
     if not max_rows:
-        return tagged.withColumn(out, plain).drop("_base")
-    counts = tagged.groupBy(*keys, "_base").agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.agg(F.max("_n").alias("m")).first()["m"] or 0
+        return tagged.withColumn(out, plain).drop("_wb_base")
+    counts = tagged.groupBy(*keys, "_wb_base").agg(F.count(F.lit(1)).alias("_wb_n"))
+    largest = counts.agg(F.max("_wb_n").alias("_wb_m")).first()["_wb_m"] or 0
     if largest <= max_rows:
-        return tagged.withColumn(out, plain).drop("_base")
+        return tagged.withColumn(out, plain).drop("_wb_base")
 
-    hot = F.broadcast(counts.where(F.col("_n") > max_rows))
-    pct = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
-    # every stride-th quantile, so that each part holds about max_rows rows
-    stride = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * max_rows) / F.col("_n")).cast("int"))
-    splits = cut_lineage(
-        tagged.join(hot.select(*keys, "_base"), [*keys, "_base"], "left_semi")
-        .groupBy(*keys, "_base")
-        .agg(F.percentile_approx(F.col(t_us), pct, 10 * QUANTILES).alias("_q"))
-        .join(hot, [*keys, "_base"])
-        .select(*keys, "_base", F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % stride == 0)).alias("_cuts")))
-    joined = tagged.join(F.broadcast(splits), [*keys, "_base"], "left")
-    sub = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(t_us))), F.lit(0))
-    return (joined.withColumn(out, F.struct(F.col("_base").alias("base"), sub.cast("int").alias("sub")))
-            .drop("_base", "_cuts"))
+    ok = F.struct(F.col(t_us).alias("t"), *([F.col(tie).alias("i")] if tie else []))
+    hot = F.broadcast(counts.where(F.col("_wb_n") > max_rows))
+    sample = (tagged.join(hot, [*keys, "_wb_base"])
+              .where(F.rand(seed) < F.lit(float(SAMPLE)) / F.col("_wb_n"))
+              .groupBy(*keys, "_wb_base")
+              .agg(F.array_sort(F.collect_list(ok)).alias("_wb_s"), F.first("_wb_n").alias("_wb_n")))
+    # keep every stride-th sampled point: about _n / max_rows parts
+    stride = F.greatest(F.lit(1), F.floor(F.size("_wb_s") * F.lit(max_rows) / F.col("_wb_n")).cast("int"))
+    cuts = cut_lineage(sample.select(*keys, "_wb_base", F.filter("_wb_s", lambda x, i: (i + 1) % stride == 0)
+                                     .alias("_wb_cuts")))
+    joined = tagged.withColumn("_wb_ok", ok).join(F.broadcast(cuts), [*keys, "_wb_base"], "left")
+    sub = F.coalesce(F.size(F.filter(F.col("_wb_cuts"), lambda c: c < F.col("_wb_ok"))), F.lit(0))
+    return (joined.withColumn(out, F.struct(F.col("_wb_base").alias("base"), sub.cast("int").alias("sub")))
+            .drop("_wb_base", "_wb_cuts", "_wb_ok"))

@@ -41,8 +41,9 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str
         raise ValueError(direction)
     prefix = prefix or ("prev_" if direction == "prev" else "next_")
     b = "_nb_bucket"
+    tie = order[1] if len(order) > 1 else None
     tagged = with_bucket(df.withColumn("_nb_t", epoch_us(order[0])), keys, "_nb_t", bucket_seconds,
-                         max_rows, out=b).drop("_nb_t")
+                         max_rows, out=b, tie=tie).drop("_nb_t")
     vals = F.struct(*[F.col(v) for v in values])
     ordkey = F.struct(*[F.col(o) for o in order])
 

@@ -62,11 +62,24 @@ def test_hot_buckets_are_split(spark, series):
     from petrograph.operators.timeseries import epoch_us
 
     rows, df = series
-    b = with_bucket(df.withColumn("t", epoch_us("ts")), ["k"], "t", 86400, max_rows=20)
+    b = with_bucket(df.withColumn("t", epoch_us("ts")), ["k"], "t", 86400, max_rows=20, tie="id")
     sizes = b.groupBy("k", "_b").count()
     assert sizes.where("_b.sub > 0").count() > 0
-    # only same-instant ties can exceed the target size
-    assert sizes.agg(F.max("count")).first()[0] < 80
+    assert sizes.agg(F.max("count")).first()[0] < 60
+
+
+def test_tie_groups_are_cut_by_tie_break(spark):
+    from petrograph.operators.buckets import with_bucket
+    from petrograph.operators.timeseries import epoch_us
+
+    # 500 rows at one instant: only the tie-break can split them
+    df = spark.createDataFrame([(i, 0, T0) for i in range(500)], "id long, k long, ts timestamp_ntz")
+    b = with_bucket(df.withColumn("t", epoch_us("ts")), ["k"], "t", 86400, max_rows=50, tie="id")
+    sizes = [r["count"] for r in b.groupBy("_b").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 150
+    prev = neighbour(df.withColumn("v", F.col("id") * 2), ["k"], ["ts", "id"], ["v"], 86400, max_rows=50)
+    got = {r["id"]: r["prev_v"] for r in prev.collect()}
+    assert got == {i: (2 * (i - 1) if i else None) for i in range(500)}
 
 
 @pytest.mark.parametrize("max_rows", [None, 10])
