@@ -21,7 +21,8 @@ from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
 from petrograph.operators.sequences import ordinal_index
 from petrograph.plans.registry import query
-from petrograph.sources.views import v_country, v_country_event_edge, v_event, v_event_price_edge, v_tick
+from petrograph.sources.views import (country_dim, v_country, v_country_event_edge, v_event,
+                                      v_event_price_edge, v_tick)
 
 NODE_COLS = ["id", "label", "type", "size", "colour", "code", "oil_production", "severity", "immediate", "price"]
 EDGE_COLS = ["id", "source", "target", "weight", "type"]
@@ -70,6 +71,22 @@ def graph_nodes_df(spark: SparkSession, d: str) -> DataFrame:
     return nodes_of(country_nodes(spark, d), event_nodes(spark, d), price_nodes(spark, d))
 
 
+def graph_node_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Node table for questions about ids, types and labels only.
+
+    Country nodes come from the 25-row nation dimension, so these queries
+    never scan ``lineitem`` (the largest table) for production figures they
+    do not read: a left join to an aggregate is not removed by the optimizer
+    even when none of its columns is used.  Country size and production are
+    NULL here; every other column is as in ``graph_nodes_df``.
+    """
+    countries = country_dim(spark, d).select(
+        F.concat(F.lit("c:"), "id").alias("id"), F.col("name").alias("label"),
+        F.lit("country").alias("type"), F.lit(None).cast("double").alias("size"),
+        F.lit(S.COUNTRY_NODE_COLOUR).alias("colour"), "code", F.lit(None).cast("double").alias("oil_production"))
+    return nodes_of(countries, event_nodes(spark, d), price_nodes(spark, d))
+
+
 def nodes_of(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*NODE_COLS)
 
@@ -112,7 +129,7 @@ SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'country' THEN 0 WHE
 FROM g_nodes""")
 def node_ordinals(spark: SparkSession, d: str) -> DataFrame:
     """0-based position in (kind, id) order, computed without a global window."""
-    n = graph_nodes_df(spark, d).select("id", "type").withColumn("_r", type_rank(F.col("type")))
+    n = graph_node_keys(spark, d).select("id", "type").withColumn("_r", type_rank(F.col("type")))
     return ordinal_index(n, [F.col("_r"), F.col("id")]).select("id", "type", "ordinal")
 
 
@@ -190,7 +207,7 @@ SELECT e.id, e.source, e.target, e.weight, s.type AS source_type, s.label AS sou
        t.type AS target_type, t.label AS target_label
 FROM g_edges e JOIN g_nodes s ON e.source = s.id JOIN g_nodes t ON e.target = t.id""")
 def edges_with_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    nodes = graph_nodes_df(spark, d).select("id", "type", "label")
+    nodes = graph_node_keys(spark, d).select("id", "type", "label")
     s = nodes.select(F.col("id").alias("_sid"), F.col("type").alias("source_type"),
                      F.col("label").alias("source_label"))
     t = nodes.select(F.col("id").alias("_tid"), F.col("type").alias("target_type"),
@@ -206,14 +223,14 @@ SELECT e.id, e.source, e.target, s.id IS NULL AS missing_source, t.id IS NULL AS
 FROM g_edges e LEFT JOIN g_nodes s ON e.source = s.id LEFT JOIN g_nodes t ON e.target = t.id
 WHERE s.id IS NULL OR t.id IS NULL""")
 def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
-    f = endpoint_flags(graph_edges_df(spark, d), graph_nodes_df(spark, d))
+    f = endpoint_flags(graph_edges_df(spark, d), graph_node_keys(spark, d))
     return (f.where(~F.col("src_hit") | ~F.col("dst_hit"))
             .select("id", "source", "target", (~F.col("src_hit")).alias("missing_source"),
                     (~F.col("dst_hit")).alias("missing_target")))
 
 
 def incident_edges(spark: SparkSession, d: str, node_type: str) -> DataFrame:
-    return incident_edges_of(graph_nodes_df(spark, d), graph_edges_df(spark, d), node_type)
+    return incident_edges_of(graph_node_keys(spark, d), graph_edges_df(spark, d), node_type)
 
 
 def incident_edges_of(nodes: DataFrame, edges: DataFrame, node_type: str) -> DataFrame:
@@ -239,7 +256,7 @@ UNION ALL
 SELECT 'edge', id FROM ({_INCIDENT_SQL.format(t='country')}) x""")
 def subgraph_by_node_type(spark: SparkSession, d: str, node_type: str = "country") -> DataFrame:
     """'all' keeps everything; otherwise nodes of the type and every incident edge."""
-    return subgraph_of(graph_nodes_df(spark, d), graph_edges_df(spark, d), node_type)
+    return subgraph_of(graph_node_keys(spark, d), graph_edges_df(spark, d), node_type)
 
 
 def subgraph_of(nodes: DataFrame, edges: DataFrame, node_type: str) -> DataFrame:
@@ -279,7 +296,7 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     One-row aggregates are combined by a union and a final aggregate rather
     than a cross join.
     """
-    return graph_stats_of(graph_nodes_df(spark, d), graph_edges_df(spark, d))
+    return graph_stats_of(graph_node_keys(spark, d), graph_edges_df(spark, d))
 
 
 def graph_stats_of(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:

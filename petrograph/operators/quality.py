@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrograph import schemas as S
-from petrograph.operators.graph import graph_edges_df, graph_nodes_df
+from petrograph.operators.graph import graph_edges_df, graph_node_keys
 from petrograph.plans.registry import query
 from petrograph.sources.views import country_dim, v_event, v_prediction, v_price, v_tick
 
@@ -69,7 +69,7 @@ _DOMAINS = [
 def dq_domains(spark: SparkSession, d: str) -> DataFrame:
     """Enum-domain violations per column (``isin`` on the declared values)."""
     frames = {"v_event": v_event(spark, d), "v_price": v_price(spark, d), "v_tick": v_tick(spark, d),
-              "g_nodes": graph_nodes_df(spark, d), "g_edges": graph_edges_df(spark, d),
+              "g_nodes": graph_node_keys(spark, d), "g_edges": graph_edges_df(spark, d),
               "v_prediction": v_prediction(spark, d)}
     parts = [_check(frames[view], name, ~F.col(col).isin(*values)) for name, col, view, values in _DOMAINS]
     return reduce(DataFrame.unionByName, parts)
