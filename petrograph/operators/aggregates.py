@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
@@ -84,12 +84,22 @@ SELECT CAST(d.day AS TIMESTAMP) AS day, d.active_countries, d.live_events, d.avg
 FROM daily d LEFT JOIN daily y ON y.day = d.day - INTERVAL 1 DAY""")
 def metric_delta(spark: SparkSession, d: str) -> DataFrame:
     """Per day: distinct countries, events, mean confidence, and the change vs.
-    the previous calendar day (a self equi-join on day-1, not a global window)."""
+    the previous calendar day (NULL when that day has no row).
+
+    The shift runs as a window over the daily aggregate - one row per day, so
+    a window without PARTITION BY is cheap there - instead of a self-join,
+    which would compute the daily aggregate (and scan events) twice.
+    """
     daily = _daily(spark, d)
-    y = daily.select(F.date_add("day", 1).alias("day"), F.col("active_countries").alias("_yc"),
-                     F.col("live_events").alias("_ye"), F.col("avg_confidence").alias("_yconf"))
+    w = Window.orderBy("day")
+    prev_ok = F.datediff(F.col("day"), F.lag("day").over(w)) == 1
+
+    def prev(c: str) -> Column:
+        return F.when(prev_ok, F.lag(c).over(w))
+
     de = F.col("live_events") - F.col("_ye")
-    return (daily.join(y, "day", "left")
+    return (daily.select("*", prev("active_countries").alias("_yc"), prev("live_events").alias("_ye"),
+                         prev("avg_confidence").alias("_yconf"))
             .select(F.col("day").cast("timestamp_ntz").alias("day"), "active_countries", "live_events",
                     "avg_confidence", (F.col("active_countries") - F.col("_yc")).alias("d_countries"),
                     de.alias("d_events"),

@@ -20,9 +20,21 @@ from petrograph.sources.views import country_dim, v_event, v_prediction, v_price
 
 def _check(df: DataFrame, name: str, bad: Column) -> DataFrame:
     """(check, n_checked, n_violations); NULL values are not checked."""
-    return df.agg(F.count_if(bad.isNotNull()).alias("n_checked"),
-                  F.count_if(F.coalesce(bad, F.lit(False))).alias("n_violations")).select(
-        F.lit(name).alias("check"), "n_checked", "n_violations")
+    return _checks(df, {name: bad})
+
+
+def _checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Several checks over one frame in a single aggregate (one scan), then
+    unpivoted to (check, n_checked, n_violations) rows."""
+    aggs = []
+    for i, bad in enumerate(checks.values()):
+        aggs += [F.count_if(bad.isNotNull()).alias(f"_c{i}"),
+                 F.count_if(F.coalesce(bad, F.lit(False))).alias(f"_v{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"_c{i}").alias("n_checked"),
+                              F.col(f"_v{i}").alias("n_violations"))
+                     for i, name in enumerate(checks)])
+    return one.select(F.inline(rows))
 
 
 def _outside(c: str, lo: float, hi: float) -> Column:
@@ -71,8 +83,10 @@ def dq_domains(spark: SparkSession, d: str) -> DataFrame:
     frames = {"v_event": v_event(spark, d), "v_price": v_price(spark, d), "v_tick": v_tick(spark, d),
               "g_nodes": graph_node_keys(spark, d), "g_edges": graph_edges_df(spark, d),
               "v_prediction": v_prediction(spark, d)}
-    parts = [_check(frames[view], name, ~F.col(col).isin(*values)) for name, col, view, values in _DOMAINS]
-    return reduce(DataFrame.unionByName, parts)
+    by_view: dict[str, dict[str, Column]] = {}
+    for name, col, view, values in _DOMAINS:
+        by_view.setdefault(view, {})[name] = ~F.col(col).isin(*values)
+    return reduce(DataFrame.unionByName, [_checks(frames[v], c) for v, c in by_view.items()])
 
 
 @query("dq_orphan_refs", "Q3", sql="""
