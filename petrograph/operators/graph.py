@@ -190,11 +190,12 @@ def edge_effective_weight(spark: SparkSession, d: str, edge_width: float = S.DEF
 def endpoint_flags(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
     """Add ``src_hit`` / ``dst_hit``: is the endpoint in ``node_ids``?
 
-    Two left joins against a unique id set (no row multiplication, no
-    ``distinct``); the hub target only skews the probe side, which AQE's
-    skew-join handling splits.
+    Two left joins against the node ids, which are unique by construction
+    (one prefix per kind, unique ids within a kind), so no edge row is
+    multiplied and no ``distinct`` shuffle is needed; the hub target only
+    skews the probe side, which AQE's skew-join handling splits.
     """
-    ids = node_ids.select(F.col("id").alias("_nid")).distinct()
+    ids = node_ids.select(F.col("id").alias("_nid"))
     s = ids.select(F.col("_nid").alias("_s"))
     t = ids.select(F.col("_nid").alias("_t"))
     return (edges.join(s, edges.source == s._s, "left").join(t, edges.target == t._t, "left")

@@ -72,7 +72,7 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
     # Per-bucket edge row of the right side, plus empty rows for buckets that
     # only hold left rows, then the nearest earlier (later) bucket's edge.
     edges = (both.where(F.col("_side") == r_side).groupBy(*keys, "_b").agg(pick.alias("_edge"))
-             .unionByName(both.where(F.col("_side") == l_side).select(*keys, "_b").distinct()
+             .unionByName(both.where(F.col("_side") == l_side).select(*keys, "_b")
                           .withColumn("_edge", F.lit(None).cast(rt.schema["_val"].dataType)))
              .groupBy(*keys, "_b").agg(F.max("_edge").alias("_edge")))
     seeds = edges.select(*keys, "_b", seed.alias("_seed"))
