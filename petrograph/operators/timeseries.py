@@ -3,9 +3,9 @@ trailing-window sums.
 
 Both avoid a raw range join (no pairs are emitted) and avoid a window over a
 whole key.  Rows are cut into time buckets (hot ones split further, see
-``buckets``); each bucket is one window partition, and what a bucket needs from the buckets before (or after) it is
-read off a per-bucket summary table (one row per key and bucket, partially
-aggregated before its shuffle).  The summary is combined with a window over
+``buckets``); each bucket is one window partition, and what a bucket needs
+from the buckets before (or after) it is read off a per-bucket summary table
+(one row per key and bucket, partially aggregated before its shuffle).  The summary is combined with a window over
 that table only, whose size follows the time span / bucket width, not the
 row count.
 """
