@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
-from petrograph.operators.graph import effective_weight, graph_edges_df, graph_nodes_df
+from petrograph.operators.graph import effective_weight, graph_edges_df, graph_node_keys, graph_nodes_df
 from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof, trailing_sums
 from petrograph.plans.registry import query
@@ -68,23 +68,28 @@ def price_event_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- M2 --------------------------------------------------------------------------------
-def neighbour_mean(nodes: DataFrame, edges: DataFrame, feature: str) -> DataFrame:
+def neighbour_mean(nodes: DataFrame, edges: DataFrame, feature: str,
+                   node_ids: DataFrame | None = None) -> DataFrame:
     """One hop, undirected: h(n) = sum(w * x_m) / sum(w) over neighbours m.
 
-    Only edges whose two endpoints are nodes carry messages.  Messages are
-    summed with partial aggregation, so the hub node costs one partial row
-    per task; the endpoint joins rely on AQE skew splitting for the hub.
+    Only edges whose two endpoints are nodes carry messages.  Each edge is
+    exploded into its two directed messages and joined once, on the sender,
+    to the node features; receivers that are not nodes are dropped by a semi
+    join of the (one row per receiver) result against ``node_ids`` - the same
+    rule, with one feature join instead of two.  Messages are summed with
+    partial aggregation, so the hub node costs one partial row per task; the
+    sender join relies on AQE skew splitting for the hub.
     """
-    x = nodes.select(F.col("id").alias("_id"), F.col(feature).alias("_x"))
-    xs = x.select(F.col("_id").alias("_sid"), F.col("_x").alias("_xs"))
-    xt = x.select(F.col("_id").alias("_tid"), F.col("_x").alias("_xt"))
+    x = nodes.select(F.col("id").alias("_sender"), F.col(feature).alias("x"))
     e = edges.select("source", "target", effective_weight("weight").alias("w"))
-    j = e.join(xs, e.source == xs._sid).join(xt, e.target == xt._tid)
-    msgs = j.select(F.explode(F.array(
-        F.struct(F.col("target").alias("node"), F.col("w"), F.col("_xs").alias("x")),
-        F.struct(F.col("source").alias("node"), F.col("w"), F.col("_xt").alias("x")))).alias("m")).select("m.*")
-    return msgs.groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
-                                    X.round_fixed(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9).alias("h1"))
+    msgs = e.select(F.explode(F.array(
+        F.struct(F.col("source").alias("_sender"), F.col("target").alias("node"), "w"),
+        F.struct(F.col("target").alias("_sender"), F.col("source").alias("node"), "w"))).alias("m")).select("m.*")
+    sums = (msgs.join(x, "_sender")
+            .groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
+                                 X.round_fixed(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9).alias("h1")))
+    ids = (nodes if node_ids is None else node_ids).select(F.col("id").alias("node"))
+    return sums.join(ids, "node", "left_semi")
 
 
 @query("neighbour_aggregate", "M2", sql=f"""
@@ -96,7 +101,8 @@ m AS (SELECT target AS node, w, xs AS x FROM j UNION ALL SELECT source, w, xt FR
 SELECT node, count(*) AS degree, {Q.round_fixed('sum(w * x) / sum(w)', 9)} AS h1 FROM m GROUP BY node""")
 def neighbour_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Weighted neighbour mean of node size (a fixed message-passing feature)."""
-    return neighbour_mean(graph_nodes_df(spark, d), graph_edges_df(spark, d), "size")
+    return neighbour_mean(graph_nodes_df(spark, d), graph_edges_df(spark, d), "size",
+                          node_ids=graph_node_keys(spark, d))
 
 
 # -- current / realised prices -------------------------------------------------------------
