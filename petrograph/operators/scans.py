@@ -76,12 +76,29 @@ def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, _snapshot_frames(spark, d))
 
 
+# Fact tables are written partitioned by day so date filters on the snapshot
+# prune whole folders; dimensions (25 countries) are one folder.
+PARTITION_BY_DAY = {"event", "price", "prediction"}
+MAX_RECORDS_PER_FILE = 5_000_000
+
+
 def write_snapshot(frames: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Replace-whole-collection writes (``mode('overwrite')``), one folder each."""
+    """Replace-whole-collection writes (``mode('overwrite')``), one folder each.
+
+    No repartition before the write: each task writes the days it holds
+    (input is time-clustered, so few per task), and ``maxRecordsPerFile``
+    caps file size however large a day is.
+    """
     paths = {}
     for name, df in frames.items():
         path = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        w = df
+        if name in PARTITION_BY_DAY:
+            w = df.withColumn("day", F.to_date("ts"))
+        writer = w.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        if name in PARTITION_BY_DAY:
+            writer = writer.partitionBy("day")
+        writer.parquet(path)
         paths[name] = path
     return paths
 

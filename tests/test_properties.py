@@ -64,3 +64,16 @@ def test_stream_price_change_equals_batch(spark):
     cols = ["id", "price_type", "price", "prev_price", "change_abs", "change_pct"]
     assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert batch.select(*cols).exceptAll(stream.select(*cols)).count() == 0
+
+
+def test_snapshot_is_day_partitioned_and_prunes(spark):
+    from petrograph.operators.scans import _snapshot_frames, write_snapshot
+    from petrograph.plans.inspect import plan_text
+    from petrograph.plans.storage import scratch_path
+
+    paths = write_snapshot(_snapshot_frames(spark, SF001), scratch_path(spark, "snapshot-test"))
+    ev = spark.read.parquet(paths["event"])
+    assert ev.count() == v_event(spark, SF001).count()
+    q = ev.where(F.col("day") == F.lit("2024-01-05").cast("date"))
+    assert "PartitionFilters: [isnotnull(day" in plan_text(q)
+    assert q.count() == v_event(spark, SF001).where(F.to_date("ts") == F.lit("2024-01-05").cast("date")).count()
