@@ -5,9 +5,9 @@ Both avoid a raw range join (no pairs are emitted) and avoid a window over a
 whole key.  Rows are cut into time buckets (hot ones split further, see
 ``buckets``); each bucket is one window partition, and what a bucket needs
 from the buckets before (or after) it is read off a per-bucket summary table
-(one row per key and bucket, partially aggregated before its shuffle).  The summary is combined with a window over
-that table only, whose size follows the time span / bucket width, not the
-row count.
+(one row per key and bucket, partially aggregated before its shuffle).  The
+summary is combined with a window over that table only, whose size follows
+the time span / bucket width, not the row count.
 """
 
 from __future__ import annotations
@@ -53,7 +53,9 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
     rt = right.select(*keys, epoch_us(right_ts).alias("_t"), F.lit(r_side).alias("_side"),
                       F.struct(*right_order).alias("_ord"), F.struct(*values).alias("_val"),
                       F.lit(None).cast(lt.schema["_row"].dataType).alias("_row"))
-    both = with_bucket(lt.unionByName(rt), keys, "_t", bucket_seconds, max_rows)
+    # the window orders by (_t, _side, _ord): hot buckets are cut on that order
+    both = with_bucket(lt.unionByName(rt).withColumn("_tie", F.struct("_side", "_ord")), keys, "_t",
+                       bucket_seconds, max_rows, tie="_tie").drop("_tie")
 
     order = [F.col("_t"), F.col("_side"), F.col("_ord")]
     if back:
@@ -112,7 +114,7 @@ def trailing_sums(points: DataFrame, events: DataFrame, *, point_id: str, point_
               ).alias("_p"), "_pid")
               .select(F.col("_p._t").alias("_t"), F.lit(1).alias("_side"), F.col("_p._end").alias("_end"),
                       "_pid", *zero))
-    both = with_bucket(ev.unionByName(probes), [], "_t", bucket_seconds, max_rows)
+    both = with_bucket(ev.unionByName(probes), [], "_t", bucket_seconds, max_rows, tie="_side")
     acc = ["_n", *[f"_s_{v}" for v in values], *[f"_c_{v}" for v in values]]
 
     # Per-bucket totals -> total of all earlier buckets, for every bucket

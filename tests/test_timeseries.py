@@ -151,3 +151,24 @@ def test_ordinal_index(spark, series):
     got = ordinal_index(df, [F.col("ts"), F.col("id")], partitions=5).collect()
     want = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
     assert {r["id"]: r["ordinal"] for r in got} == want
+
+
+def test_asof_and_trailing_sums_cut_same_instant_ties(spark):
+    # 300 right rows and 100 probes all at one instant, plus probes after it
+    right = spark.createDataFrame([(i, 0, T0) for i in range(300)], "id long, k long, ts timestamp_ntz")
+    probes = [(1000 + j, 0, T0) for j in range(100)] + [(2000, 0, T0 + dt.timedelta(minutes=5))]
+    pdf = spark.createDataFrame(probes, "pid long, k long, pts timestamp_ntz")
+    got = {r["pid"]: r["asof_id"] for r in asof(
+        pdf, right, left_ts=F.col("pts"), right_ts="ts", right_order=["ts", "id"], values=["id"],
+        keys=["k"], max_rows=40).collect()}
+    assert set(got.values()) == {299}            # latest at or before: the last tie by id
+    fwd = {r["pid"]: r["asof_id"] for r in asof(
+        pdf, right, left_ts=F.col("pts"), right_ts="ts", right_order=["ts", "id"], values=["id"],
+        keys=["k"], direction="forward", max_rows=40).collect()}
+    assert fwd[2000] is None and all(fwd[1000 + j] == 0 for j in range(100))
+    ev = right.withColumn("x", F.lit(1.0))
+    pts = spark.createDataFrame([(1, T0), (2, T0 + dt.timedelta(hours=1))], "pid long, pts timestamp_ntz")
+    sums = {r["pid"]: r["n_events"] for r in trailing_sums(
+        pts, ev, point_id="pid", point_ts="pts", event_ts="ts", horizon_seconds=86400, values=["x"],
+        max_rows=40).collect()}
+    assert sums == {1: 300, 2: 300}
