@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
+from petrograph.operators.ordering import extreme_row
 from petrograph.operators.sequences import current_price
 from petrograph.plans.registry import query
 from petrograph.sources.views import country_dim, v_event, v_prediction
@@ -44,13 +45,12 @@ def dashboard_kpis(spark: SparkSession, d: str) -> DataFrame:
 
 def kpis_of(current: DataFrame, events: DataFrame, countries: DataFrame, predictions: DataFrame) -> DataFrame:
     """``current``: latest price per type with ``change_pct`` (see ``current_price``)."""
-    latest = current.agg(
-        F.max_by(F.struct("price", "change_pct"), F.struct("ts", "id")).alias("_p")).select(
+    latest = extreme_row(current, [], ["ts", "id"], ["price", "change_pct"], alias="_p").select(
         X.or_zero("_p.price").alias("current_price"), X.or_zero("_p.change_pct").alias("change_pct"))
     critical = events.agg(F.count_if(F.col("severity") == "critical").alias("critical_events"))
     n_countries = countries.agg(F.count(F.lit(1)).alias("active_countries"))
-    conf = predictions.agg(
-        X.or_zero(F.max_by("confidence", F.struct("ts", "id"))).alias("model_confidence"))
+    conf = extreme_row(predictions, [], ["ts", "id"], ["confidence"], alias="_c").select(
+        X.or_zero("_c.confidence").alias("model_confidence"))
     return combine_one_row(latest, critical, n_countries, conf)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from petrograph import schemas as S
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
+from petrograph.operators.ordering import extreme_row
 from petrograph.operators.sequences import ordinal_index
 from petrograph.plans.registry import query
 from petrograph.sources.views import (country_dim, v_country, v_country_event_edge, v_event,
@@ -61,10 +62,10 @@ def price_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def price_node_of(t: DataFrame) -> DataFrame:
     """Ticks (id, ts, price) -> the single current-price node."""
-    return t.agg(F.max_by("price", F.struct("ts", "id")).alias("price")).select(
+    return extreme_row(t, [], ["ts", "id"], ["price"], alias="_p").select(
         F.lit(S.PRICE_NODE_ID).alias("id"), F.lit(S.PRICE_NODE_LABEL).alias("label"),
         F.lit("price_point").alias("type"), F.lit(S.PRICE_NODE_SIZE).alias("size"),
-        F.lit(S.PRICE_NODE_COLOUR).alias("colour"), "price")
+        F.lit(S.PRICE_NODE_COLOUR).alias("colour"), F.col("_p.price").alias("price"))
 
 
 def graph_nodes_df(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
 from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+from petrograph.operators.ordering import extreme_row
 from petrograph.operators.timeseries import epoch_us
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
@@ -45,14 +46,12 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str
     tagged = with_bucket(df.withColumn("_nb_t", epoch_us(order[0])), keys, "_nb_t", bucket_seconds,
                          max_rows, out=b, tie=tie).drop("_nb_t")
     vals = F.struct(*[F.col(v) for v in values])
-    ordkey = F.struct(*[F.col(o) for o in order])
 
     w = Window.partitionBy(*keys, b).orderBy(*order)
     near = F.lag(vals).over(w) if direction == "prev" else F.lead(vals).over(w)
     inner = tagged.withColumn("_nb", near)
 
-    pick = F.max_by(vals, ordkey) if direction == "prev" else F.min_by(vals, ordkey)
-    edges = tagged.groupBy(*keys, b).agg(pick.alias("_edge"))
+    edges = extreme_row(tagged, [*keys, b], order, values, largest=(direction == "prev"))
     wb = Window.partitionBy(*keys).orderBy(b)
     seeds = edges.select(*keys, b, (F.lag("_edge").over(wb) if direction == "prev"
                                     else F.lead("_edge").over(wb)).alias("_seed"))
@@ -109,11 +108,10 @@ def latest_two(df: DataFrame, keys: list[str], order: list[str], values: list[st
     its measured size is under the threshold, as for the 3 price types.
     """
     ordkey = F.struct(*order)
-    vals = F.struct(*order, *values)
-    last = df.groupBy(*keys).agg(F.max_by(vals, ordkey).alias("_last"))
+    last = extreme_row(df, keys, order, [*order, *values], alias="_last")
     lk = last.select(*keys, F.col("_last").alias("_l"))
-    before = (df.join(lk, keys).where(ordkey < F.struct(*[F.col(f"_l.{o}") for o in order]))
-              .groupBy(*keys).agg(F.max_by(vals, ordkey).alias("_prev")))
+    earlier = df.join(lk, keys).where(ordkey < F.struct(*[F.col(f"_l.{o}") for o in order]))
+    before = extreme_row(earlier, keys, order, [*order, *values], alias="_prev")
     return (last.join(before, keys, "left")
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in [*order, *values]],
                     *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values]))
