@@ -34,9 +34,21 @@ def order_number(df: DataFrame, order: list[str]) -> Column | None:
         return None
     from petrograph.operators.timeseries import epoch_us
 
-    us = epoch_us(order[0]).cast("decimal(20,0)")
-    tie = F.col(order[1]).cast("decimal(20,0)") + F.lit(Decimal(2 ** 63)).cast("decimal(20,0)")
-    return us * F.lit(Decimal(10 ** 20)).cast("decimal(21,0)") + tie
+    return encode_order(epoch_us(order[0]), F.col(order[1]))
+
+
+def encode_order(us: Column, tie: Column) -> Column:
+    """(microseconds, integral tie) -> DECIMAL(38,0) in the same lexicographic order."""
+    shifted = tie.cast("decimal(20,0)") + F.lit(Decimal(2 ** 63)).cast("decimal(20,0)")
+    return us.cast("decimal(20,0)") * F.lit(Decimal(10 ** 20)).cast("decimal(21,0)") + shifted
+
+
+def is_primitive(dt: T.DataType) -> bool:
+    return isinstance(dt, _PRIMITIVE)
+
+
+def is_integral(dt: T.DataType) -> bool:
+    return isinstance(dt, _INTEGRAL)
 
 
 def extreme_row(df: DataFrame, keys: list[str], order: list[str], values: list[str],

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+from petrograph.operators.ordering import encode_order, is_integral, is_primitive
 
 
 def epoch_us(ts) -> Column:
@@ -73,10 +74,26 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
 
     # Per-bucket edge row of the right side, plus empty rows for buckets that
     # only hold left rows, then the nearest earlier (later) bucket's edge.
-    edges = (both.where(F.col("_side") == r_side).groupBy(*keys, "_b").agg(pick.alias("_edge"))
-             .unionByName(both.where(F.col("_side") == l_side).select(*keys, "_b")
-                          .withColumn("_edge", F.lit(None).cast(rt.schema["_val"].dataType)))
-             .groupBy(*keys, "_b").agg(F.max("_edge").alias("_edge")))
+    # With (ts, integral id) order and primitive values the edge is a hash
+    # aggregate (see ``ordering``); otherwise max_by/min_by over structs.
+    rside = both.where(F.col("_side") == r_side)
+    val_t = rt.schema["_val"].dataType
+    tie_t = right.schema[right_order[-1]].dataType if len(right_order) == 2 else None
+    if (tie_t is not None and is_integral(tie_t) and right_order[0] == right_ts
+            and all(is_primitive(f.dataType) for f in val_t.fields)):
+        onum = encode_order(F.col("_t"), F.col(f"_ord.{right_order[1]}"))
+        each = F.max_by if back else F.min_by
+        right_edges = (rside.withColumn("_onum", onum).groupBy(*keys, "_b")
+                       .agg(*[each(F.col(f"_val.{f.name}"), F.col("_onum")).alias(f"_x{i}")
+                              for i, f in enumerate(val_t.fields)])
+                       .select(*keys, "_b", F.struct(*[F.col(f"_x{i}").alias(f.name)
+                                                       for i, f in enumerate(val_t.fields)]).alias("_edge")))
+    else:
+        right_edges = rside.groupBy(*keys, "_b").agg(pick.alias("_edge"))
+    # buckets holding only left rows join in with a NULL edge (a full outer
+    # join of two per-bucket tables, not a max over structs)
+    left_buckets = both.where(F.col("_side") == l_side).select(*keys, "_b").distinct()
+    edges = right_edges.join(left_buckets, [*keys, "_b"], "full")
     seeds = edges.select(*keys, "_b", seed.alias("_seed"))
 
     found = (both.withColumn("_near", near).where(F.col("_side") == l_side)
