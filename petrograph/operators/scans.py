@@ -76,28 +76,35 @@ def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, _snapshot_frames(spark, d))
 
 
-# Fact tables are written partitioned by day so date filters on the snapshot
-# prune whole folders; dimensions (25 countries) are one folder.
-PARTITION_BY_DAY = {"event", "price", "prediction"}
+# Fact tables are written partitioned by time so date filters on the
+# snapshot prune whole folders: events and predictions (weeks of data) by
+# day, prices (years of orders) by month.  Dimensions (25 countries) are one
+# folder.
+PARTITION_COLUMN = {"event": ("day", "day"), "prediction": ("day", "day"), "price": ("month", "month")}
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def write_snapshot(frames: dict[str, DataFrame], root: str) -> dict[str, str]:
     """Replace-whole-collection writes (``mode('overwrite')``), one folder each.
 
-    No repartition before the write: each task writes the days it holds
-    (input is time-clustered, so few per task), and ``maxRecordsPerFile``
-    caps file size however large a day is.
+    Before a partitioned write the rows are range-partitioned on (partition
+    column, id): each task then holds a contiguous slice of days and writes
+    a few folders, instead of one file per (task, day) - on unclustered input
+    that is tasks x days small files.  The sampled range bounds split a hot
+    day across tasks, and ``maxRecordsPerFile`` caps file size.
     """
     paths = {}
     for name, df in frames.items():
         path = f"{root}/{name}"
-        w = df
-        if name in PARTITION_BY_DAY:
-            w = df.withColumn("day", F.to_date("ts"))
-        writer = w.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        if name in PARTITION_BY_DAY:
-            writer = writer.partitionBy("day")
+        part = PARTITION_COLUMN.get(name)
+        if part:
+            col, unit = part
+            df = (df.withColumn(col, F.trunc(F.col("ts").cast("date"), unit) if unit == "month"
+                                else F.to_date("ts"))
+                  .repartitionByRange(col, "id"))
+        writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        if part:
+            writer = writer.partitionBy(part[0])
         writer.parquet(path)
         paths[name] = path
     return paths
