@@ -57,10 +57,20 @@ def extreme_row(df: DataFrame, keys: list[str], order: list[str], values: list[s
     num = order_number(df, order)
     primitive = all(isinstance(df.schema[v].dataType, _PRIMITIVE) for v in values)
     pick = F.max_by if largest else F.min_by
-    if num is None or not primitive:
+    if num is None or (not primitive and not keys):
+        # (a global aggregate without keys needs no sort even in this form)
         agg = pick(F.struct(*[F.col(v) for v in values]), F.struct(*[F.col(o) for o in order]))
-        grouped = df.groupBy(*keys).agg(agg.alias(alias)) if keys else df.agg(agg.alias(alias))
-        return grouped
+        return df.groupBy(*keys).agg(agg.alias(alias)) if keys else df.agg(agg.alias(alias))
+    if not primitive:
+        # Non-primitive values (strings): each key's winning order number by a
+        # hash aggregate, then an equi-join back ((ts, id) is unique, so one
+        # row per key matches).  Two hash passes instead of a sort.
+        tagged = df.withColumn("_onum", num)
+        best = F.max("_onum") if largest else F.min("_onum")
+        win = tagged.groupBy(*keys).agg(best.alias("_onum"))
+        rows = (tagged.join(win, [*keys, "_onum"])
+                .select(*keys, F.struct(*[F.col(v) for v in values]).alias(alias)))
+        return win.select(*keys).join(rows, keys, "left")
     tagged = df.withColumn("_onum", num)
     aggs = [pick(F.col(v), F.col("_onum")).alias(f"_x_{i}") for i, v in enumerate(values)]
     grouped = tagged.groupBy(*keys).agg(*aggs) if keys else tagged.agg(*aggs)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petrograph.operators.ordering import extreme_row
 from petrograph.plans.registry import query
 from petrograph.plans.storage import scratch_path
 from petrograph.sources.views import v_country, v_event, v_prediction, v_price
@@ -31,16 +32,14 @@ def scan_prices(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_by(df: DataFrame, keys: list[str], value_cols: list[str],
               order_cols: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """Latest row per key by (ts, id) via ``max_by``.
+    """Latest row per key by (ts, id).
 
-    A hash aggregate with partial (map-side) aggregation: each task ships one
-    candidate per key, so even a key holding a third of the rows costs one
-    row per task in the shuffle.
+    Hash-aggregated with partial (map-side) aggregation (see
+    ``ordering.extreme_row``): each task ships one candidate per key, so even
+    a key holding a third of the rows costs one row per task in the shuffle.
     """
-    order = F.struct(*order_cols)
-    best = F.max_by(F.struct(*value_cols), order).alias("_best")
-    grouped = df.groupBy(*keys).agg(best) if keys else df.agg(best)
-    return grouped.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in value_cols])
+    best = extreme_row(df, keys, list(order_cols), value_cols, alias="_best")
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in value_cols])
 
 
 @query("latest_prediction", "S4", sql="""
