@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrograph.llm.common import (batch, columns, components, discard, mix, saved, text_bytes, window_hash,
@@ -228,3 +228,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                        F.least(F.coalesce("component_id", "doc_id"), F.coalesce("own", "doc_id")))
     return flat.select("doc_id", "n_shingles", component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns; rows without a doc_id all stay."""
+    kept = near_duplicates(documents).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")) \
+        .distinct()
+    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    one = (documents.join(kept, F.col("doc_id").cast("bigint") == F.col("_id"))
+           .withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*documents.columns))
+    return one.unionByName(documents.filter("doc_id is null"))

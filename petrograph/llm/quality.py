@@ -171,3 +171,18 @@ def scorer(ratio, threshold: float):
                 names=[*names, "base_failed", "kept", "score"])
 
     return score
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose verdict is to keep them."""
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(trusted_documents(docs, labels))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for text in b.column(b.schema.get_field_index("text")).to_pylist():
+                n_words, _, _, _, n_repeat_words, score = measures(text, ratio.value)
+                good.append(not fails_base(n_words, n_repeat_words) and score >= threshold)
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

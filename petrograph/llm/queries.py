@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petrograph.llm import neardup, quality
+from petrograph.llm import mixing, neardup, pieces, quality, secret_scan
 from petrograph.llm.common import documents, read_table
 
 
@@ -12,9 +12,21 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_table(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_sentencepiece, op6_mixing, op7_secret_scan, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
