@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petrograph.llm import mixing, neardup, pieces, quality, secret_scan
+from petrograph.llm import chat, html_extract, mixing, neardup, pieces, quality, secret_scan, topk
 from petrograph.llm.common import documents, read_table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_probe(read_table(spark, sf_dir, "conversations"))))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -16,6 +20,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
@@ -28,5 +36,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_sentencepiece, op6_mixing, op7_secret_scan, op9_quality_rules)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op9_quality_rules, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
