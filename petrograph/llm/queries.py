@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petrograph.llm import chat, html_extract, mixing, neardup, pieces, quality, secret_scan, topk
+from petrograph.llm import chat, html_extract, mixing, neardup, phrases, pieces, quality, secret_scan, topk
 from petrograph.llm.common import documents, read_table
 
 
@@ -32,6 +32,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_table(documents(spark, sf_dir))
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -40,5 +44,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op8_repeated_phrases, op9_quality_rules, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
