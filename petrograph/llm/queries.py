@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petrograph.llm import chat, html_extract, mixing, neardup, phrases, pieces, quality, secret_scan, topk
+from petrograph.llm import chat, html_extract, mixing, neardup, phrases, pieces, quality, secret_scan, suffix_dedup, topk
 from petrograph.llm.common import documents, read_table
 
 
@@ -16,6 +16,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op8_repeated_phrases, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op8_repeated_phrases, op9_quality_rules, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
