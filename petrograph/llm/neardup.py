@@ -11,10 +11,12 @@ shingles, or of its whole word sequence if it has fewer words.  Documents are li
 3. Star step: in each band bucket every class is compared with the bucket's smallest id, so a
    bucket of n members gives n pairs.  Of the pairs that the sketches let through, each class's
    closest one is confirmed on the full sets.
-4. Rest step: buckets that still hold two or more components are compared block against block
-   inside the tasks (sketches only, members of the leading component against the rest and the
-   rest with itself); pairs across components that the sketches let through are confirmed on the
-   full sets.  So any two linked classes that share a bucket end in one component.
+4. Rest step, in rounds: buckets that still hold two or more components are compared block against
+   block inside the tasks (sketches only, members of the leading component against the rest and the
+   rest with itself).  In the first rounds every class of the rest confirms its few closest
+   candidates of other components on the full sets, which joins nearly all that belong together; the
+   last round confirms all that the sketches let through for those still apart.  So any two linked
+   classes that share a bucket end in one component, without a pair for every two members.
 5. Components by star contraction.
 
 A pair at similarity 0.75 shares no bucket with a chance of 5e-6, and falls to the sketch bound
@@ -41,8 +43,10 @@ from petrograph.llm.common import (batch, columns, components, discard, mix, sav
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-#: Most differing sketch bits of a candidate: 56.6 are expected at similarity 0.75, with a deviation of 9.
-MOST_BITS = 105
+#: Most differing sketch bits of a candidate: 56.6 are expected at similarity 0.75, with a deviation of 8.7.
+MOST_BITS = 98
+#: Rounds of the rest step: closest candidates that a class has confirmed in each; the last has no limit.
+ROUNDS = (4, 32, None)
 #: Members of a bucket compared with each other at once.
 BLOCK = 512
 
@@ -122,15 +126,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(out, [list(c) for c in zip(*hit, strict=True)] or [[], []])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, grams binary"), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets (id, grams) are similar enough."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"))
-    out = saved(both.mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
-    discard(sets)
-    return out
+    return saved(both.mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
 
 
 def differing_bits(a: str, b: str):
@@ -138,41 +138,50 @@ def differing_bits(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components in each unit; a unit's block (side 0) comes before what it is held against."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    unit, block = None, None
-    for part in batches:
-        units, sides, ids, labels, sketches = columns(part, "unit", "side", "id", "label", "sketch")
-        if not ids:
-            continue
-        bits = np.array(sketches, dtype=np.int64).view(np.uint64)
-        ids, labels, sides = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(sides)
-        units = np.array(units, dtype=np.int64)
-        cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0)) + 1
-        found = []
-        for s in np.split(np.arange(len(ids)), cuts):
-            if sides[s[0]] == 0:
-                fresh = unit != units[s[0]] or block is None
-                unit = units[s[0]]
-                mine = (ids[s], labels[s], bits[s])
-                block = mine if fresh else tuple(np.concatenate(p) for p in zip(block, mine, strict=True))
-                continue
-            if unit != units[s[0]]:
+def _rest(limit: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates in each unit; a unit's block (side 0) comes before what it is held against."""
+        out = pa.schema([("me", pa.int64()), ("other", pa.int64()), ("far", pa.int64())])
+        unit, block = None, None
+        for part in batches:
+            units, sides, ids, labels, sketches = columns(part, "unit", "side", "id", "label", "sketch")
+            if not ids:
                 continue
-            for i in range(0, len(s), BLOCK):
-                t = s[i:i + BLOCK]
-                far = np.bitwise_count(block[2][:, None, :] ^ bits[t][None, :, :]).sum(axis=2, dtype=np.int64)
-                x, y = np.nonzero((far <= MOST_BITS) & (block[1][:, None] != labels[t][None, :]))
-                found.append((block[0][x], ids[t][y]))
-        a = np.concatenate([f[0] for f in found]) if found else np.empty(0, dtype=np.int64)
-        b = np.concatenate([f[1] for f in found]) if found else np.empty(0, dtype=np.int64)
-        yield batch(out, [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))])
-
-
-def rest_pairs(members: DataFrame) -> DataFrame:
+            bits = np.array(sketches, dtype=np.int64).view(np.uint64)
+            ids, labels, sides = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(sides)
+            units = np.array(units, dtype=np.int64)
+            cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0)) + 1
+            for s in np.split(np.arange(len(ids)), cuts):
+                if sides[s[0]] == 0:
+                    fresh = unit != units[s[0]] or block is None
+                    unit = units[s[0]]
+                    mine = (ids[s], labels[s], bits[s])
+                    block = mine if fresh else tuple(np.concatenate(p) for p in zip(block, mine, strict=True))
+                    continue
+                if unit != units[s[0]]:
+                    continue
+                for i in range(0, len(s), BLOCK):
+                    t = s[i:i + BLOCK]
+                    far = np.bitwise_count(block[2][:, None, :] ^ bits[t][None, :, :]).sum(axis=2, dtype=np.int64)
+                    far[block[1][:, None] == labels[t][None, :]] = SKETCH_BITS + 1
+                    if limit and len(t) > limit:
+                        near = np.argpartition(far, limit - 1, axis=1)[:, :limit]
+                        x, y = np.repeat(np.arange(len(far)), limit), near.ravel()
+                    else:
+                        x, y = np.divmod(np.arange(far.size), len(t))
+                    good = far[x, y] <= MOST_BITS
+                    x, y = x[good], y[good]
+                    if len(x):
+                        yield batch(out, [pa.array(block[0][x]), pa.array(ids[t][y]), pa.array(far[x, y])])
+
+    return run
+
+
+def rest_pairs(members: DataFrame, limit: int | None) -> DataFrame:
     """Pairs across components in the buckets that hold more than one; members: key, id, label, sketch.
 
+    With a limit, each class's closest ones.
+
     The members outside the bucket's leading component are cut into blocks, and each block meets
     all members, cut into runs; a task holds one block, never a bucket.
     """
@@ -182,7 +191,7 @@ def rest_pairs(members: DataFrame) -> DataFrame:
     sizes = inside.groupBy("key").agg(
         F.ceil(F.count(F.when(F.col("label") != F.col("lead"), 1)) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("runs"))
-    rows = saved(inside.join(sizes, "key"), "mixed")
+    rows = inside.join(sizes, "key")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     run = F.pmod(F.xxhash64("id", F.lit(7)), F.col("runs")).cast("int")
     block = rows.filter("label <> lead").select(
@@ -192,8 +201,12 @@ def rest_pairs(members: DataFrame) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), run.alias("j"), F.lit(1).alias("side"),
         "id", "label", "sketch")
     units = block.union(other).withColumn("unit", F.xxhash64("key", "i", "j")).drop("key", "i", "j")
-    return (units.repartition("unit").sortWithinPartitions("unit", "side")
-            .mapInArrow(_rest, "a bigint, b bigint").distinct())
+    near = (units.repartition("unit").sortWithinPartitions("unit", "side")
+            .mapInArrow(_rest(limit), "me bigint, other bigint, far bigint").distinct())
+    if limit:
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("me").orderBy("far", "other"))) \
+            .filter(F.col("_n") <= limit)
+    return near.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -214,13 +227,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             .join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch, "b")
             .withColumn("far", differing_bits("x", "y")).filter(F.col("far") <= MOST_BITS))
     closest = star.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = confirmed(saved(closest, "star"), docs)
-    label = components(first)
-    named = (members.select("key", "id").join(label, "id", "left")
-             .select("key", "id", F.coalesce("component", "id").alias("label")))
-    mixed = named.join(nodes.select("id", "sketch"), "id")
-    second = confirmed(saved(rest_pairs(mixed), "rest"), docs)
-    final = components(first.union(second))
+    sets = saved(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                 .mapInArrow(_sets, "id bigint, grams binary"), "sets")
+    links = confirmed(closest, sets)
+    final = components(links)
+    for limit in ROUNDS:
+        named = (members.select("key", "id").join(final, "id", "left")
+                 .select("key", "id", F.coalesce("component", "id").alias("label")))
+        found = confirmed(saved(rest_pairs(named.join(nodes.select("id", "sketch"), "id"), limit), "rest"), sets)
+        links = links.union(found)
+        final = components(links)
+    discard(sets)
     member = classes.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     flat = (profile.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
             .join(final.select(F.col("id").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left"))
