@@ -15,8 +15,8 @@ shingles, or of its whole word sequence if it has fewer words.  Documents are li
    block inside the tasks (sketches only, members of the leading component against the rest and the
    rest with itself).  In the first rounds every class of the rest confirms its few closest
    candidates of other components on the full sets, which joins nearly all that belong together; the
-   last round confirms all that the sketches let through for those still apart.  So any two linked
-   classes that share a bucket end in one component, without a pair for every two members.
+   last round confirms all that wide sketches (eight times the samples, made from the full sets of
+   those still apart) let through.  So any two linked classes that share a bucket end in one component, without a pair for every two members.
 5. Components by star contraction.
 
 A pair at similarity 0.75 shares no bucket with a chance of 5e-6, and falls to the sketch bound
@@ -45,6 +45,8 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Most differing sketch bits of a candidate: 56.6 are expected at similarity 0.75, with a deviation of 8.7.
 MOST_BITS = 98
+#: The same for the wide sketch of the last round: 1024 samples in 2048 bits, 403 expected with a deviation of 22.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MOST = 1024, 2048, 508
 #: Rounds of the rest step: closest candidates that a class has confirmed in each; the last has no limit.
 ROUNDS = (4, 32, None)
 #: Members of a bucket compared with each other at once.
@@ -53,6 +55,7 @@ BLOCK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_WIDE = mix(np.arange(1001, 1001 + WIDE_SAMPLES, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -63,11 +66,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(window_hash(ids, SHINGLE))
 
 
-def minhashes(grams: np.ndarray) -> np.ndarray:
+def minhashes(grams: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
     """The smallest value of the set under each multiplier."""
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(grams), 1024):
-        np.minimum(low, (grams[i:i + 1024, None] * _FACTORS).min(axis=0), out=low)
+        np.minimum(low, (grams[i:i + 1024, None] * factors).min(axis=0), out=low)
     return low
 
 
@@ -79,10 +82,10 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
+def odd_sketch(low: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Bit = parity of the number of samples (index and value) that fall on it."""
-    bit = mix(low + np.arange(len(low), dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).view(np.int64)
+    bit = mix(low + np.arange(len(low), dtype=np.uint64)) % np.uint64(size)
+    return np.packbits(np.bincount(bit.astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
 PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
@@ -113,6 +116,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(out, [ids, [shingles(t).tobytes() for t in texts]])
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = pa.schema([("id", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    for b in batches:
+        ids, sets = columns(b, "id", "grams")
+        yield batch(out, [ids, [odd_sketch(minhashes(np.frombuffer(g, dtype=np.uint64), _WIDE), WIDE_BITS)
+                                for g in sets]])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for part in batches:
@@ -138,24 +149,26 @@ def differing_bits(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def _rest(limit: int | None):
+def _rest(limit: int | None, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates in each unit; a unit's block (side 0) comes before what it is held against."""
         out = pa.schema([("me", pa.int64()), ("other", pa.int64()), ("far", pa.int64())])
         unit, block = None, None
         for part in batches:
-            units, sides, ids, labels, sketches = columns(part, "unit", "side", "id", "label", "sketch")
+            units, sides, ids, labels, sketches, bands, keys, late = columns(
+                part, "unit", "side", "id", "label", "sketch", "bands", "key", "late")
             if not ids:
                 continue
             bits = np.array(sketches, dtype=np.int64).view(np.uint64)
             ids, labels, sides = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(sides)
-            units = np.array(units, dtype=np.int64)
+            units, keys, late = np.array(units, dtype=np.int64), np.array(keys, dtype=np.int64), np.array(late)
+            bands = np.array(bands, dtype=np.int64).reshape(len(ids), -1)
             cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0)) + 1
             for s in np.split(np.arange(len(ids)), cuts):
                 if sides[s[0]] == 0:
                     fresh = unit != units[s[0]] or block is None
                     unit = units[s[0]]
-                    mine = (ids[s], labels[s], bits[s])
+                    mine = (ids[s], labels[s], bits[s], bands[s])
                     block = mine if fresh else tuple(np.concatenate(p) for p in zip(block, mine, strict=True))
                     continue
                 if unit != units[s[0]]:
@@ -163,13 +176,18 @@ def _rest(limit: int | None):
                 for i in range(0, len(s), BLOCK):
                     t = s[i:i + BLOCK]
                     far = np.bitwise_count(block[2][:, None, :] ^ bits[t][None, :, :]).sum(axis=2, dtype=np.int64)
-                    far[block[1][:, None] == labels[t][None, :]] = SKETCH_BITS + 1
+                    far[block[1][:, None] == labels[t][None, :]] = WIDE_BITS + 1
                     if limit and len(t) > limit:
                         near = np.argpartition(far, limit - 1, axis=1)[:, :limit]
                         x, y = np.repeat(np.arange(len(far)), limit), near.ravel()
                     else:
                         x, y = np.divmod(np.arange(far.size), len(t))
-                    good = far[x, y] <= MOST_BITS
+                    good = far[x, y] <= most
+                    if not limit:              # a pair comes from one side and from the first bucket it shares only
+                        good &= ~late[t][y] | (block[0][x] < ids[t][y])
+                        x, y = x[good], y[good]
+                        shared = block[3][x] == bands[t][y]
+                        good = block[3][x, shared.argmax(axis=1)] == keys[t][y]
                     x, y = x[good], y[good]
                     if len(x):
                         yield batch(out, [pa.array(block[0][x]), pa.array(ids[t][y]), pa.array(far[x, y])])
@@ -177,10 +195,11 @@ def _rest(limit: int | None):
     return run
 
 
-def rest_pairs(members: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs across components in the buckets that hold more than one; members: key, id, label, sketch.
+def rest_pairs(members: DataFrame, limit: int | None, wide: DataFrame) -> DataFrame:
+    """Pairs across components in the buckets that hold more than one; members: key, id, label, sketch,
+    bands.
 
-    With a limit, each class's closest ones.
+    With a limit, each class's closest ones; without, all that the wide sketches (id, sketch) let through.
 
     The members outside the bucket's leading component are cut into blocks, and each block meets
     all members, cut into runs; a task holds one block, never a bucket.
@@ -188,21 +207,27 @@ def rest_pairs(members: DataFrame, limit: int | None) -> DataFrame:
     lead = (members.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("top"))
             .filter("lead <> top").select("key", "lead"))
     inside = members.join(lead, "key")
+    if not limit:
+        apart = inside.select("id").distinct()
+        inside = inside.drop("sketch").join(saved(wide.join(apart, "id", "left_semi")
+                                                  .mapInArrow(_wide, "id bigint, sketch array<bigint>"), "wide"), "id")
     sizes = inside.groupBy("key").agg(
         F.ceil(F.count(F.when(F.col("label") != F.col("lead"), 1)) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("runs"))
     rows = inside.join(sizes, "key")
+    if limit:
+        rows = rows.withColumn("bands", F.array().cast("array<bigint>"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     run = F.pmod(F.xxhash64("id", F.lit(7)), F.col("runs")).cast("int")
     block = rows.filter("label <> lead").select(
         "key", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("j"), F.lit(0).alias("side"),
-        "id", "label", "sketch")
+        "id", "label", "sketch", "bands", F.lit(True).alias("late"))
     other = rows.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), run.alias("j"), F.lit(1).alias("side"),
-        "id", "label", "sketch")
-    units = block.union(other).withColumn("unit", F.xxhash64("key", "i", "j")).drop("key", "i", "j")
+        "id", "label", "sketch", "bands", (F.col("label") != F.col("lead")).alias("late"))
+    units = block.union(other).withColumn("unit", F.xxhash64("key", "i", "j")).drop("i", "j")
     near = (units.repartition("unit").sortWithinPartitions("unit", "side")
-            .mapInArrow(_rest(limit), "me bigint, other bigint, far bigint").distinct())
+            .mapInArrow(_rest(limit, MOST_BITS if limit else WIDE_MOST), "me bigint, other bigint, far bigint").distinct())
     if limit:
         near = near.withColumn("_n", F.row_number().over(Window.partitionBy("me").orderBy("far", "other"))) \
             .filter(F.col("_n") <= limit)
@@ -234,7 +259,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     for limit in ROUNDS:
         named = (members.select("key", "id").join(final, "id", "left")
                  .select("key", "id", F.coalesce("component", "id").alias("label")))
-        found = confirmed(saved(rest_pairs(named.join(nodes.select("id", "sketch"), "id"), limit), "rest"), sets)
+        found = confirmed(saved(rest_pairs(named.join(nodes.select("id", "sketch", "bands"), "id"), limit, sets), "rest"), sets)
         links = links.union(found)
         final = components(links)
     discard(sets)
