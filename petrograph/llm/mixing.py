@@ -103,7 +103,7 @@ def mixture(documents: DataFrame, seed: int = 17) -> DataFrame:
     taken = (mixed(documents, seed).groupBy("doc_id", "source", "text_hash", "size")
              .agg(F.sum("taken").alias("_taken")).filter("_taken > 0")
              .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash", "size", "_taken"))
-    keyed = documents.select(*names, F.col("doc_id").cast("bigint").alias("_id"),
+    keyed = documents.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"),
                              F.col("source").cast("string").alias("_source"),
                              F.xxhash64(empty_text()).alias("text_hash")) \
         .dropDuplicates(["_id", "_source", "text_hash"])
@@ -113,12 +113,13 @@ def mixture(documents: DataFrame, seed: int = 17) -> DataFrame:
                                  & (F.col("d.text_hash") == F.col("t.text_hash")))
     whole = F.floor(F.col("_taken") / F.col("size")).cast("int")
     part = F.col("_taken") - whole * F.col("size")
-    each = both.select(*(F.col(f"d.{n}").alias(n) for n in names), F.explode(F.filter(
+    each = both.select("d._row", F.explode(F.filter(
         F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole), F.array(part)), lambda n: n != 0)).alias("_copy"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_copy").cast("int")), " ")
-    done = each.withColumn("_cut", F.when(F.col("_copy") > 0, cut).otherwise(F.col("text")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(WORD), F.lit(0)), 1,
+                               F.col("_copy").cast("int")), " ")
+    done = each.withColumn("_cut", F.when(F.col("_copy") > 0, cut).otherwise(F.col("_row.text")))
     out = {"text": F.col("_cut")}
     if "n_chars" in names:
-        out["n_chars"] = F.when(F.col("_copy") > 0, F.length("_cut")).otherwise(F.col("n_chars")) \
+        out["n_chars"] = F.when(F.col("_copy") > 0, F.length("_cut")).otherwise(F.col("_row.n_chars")) \
             .cast(documents.schema["n_chars"].dataType)
-    return done.select(*(out.get(n, F.col(n)).alias(n) for n in names))
+    return done.select(*(out.get(n, F.col(f"_row.{n}")).alias(n) for n in names))

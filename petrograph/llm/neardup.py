@@ -276,7 +276,10 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all columns; rows without a doc_id all stay."""
     kept = near_duplicates(documents).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")) \
         .distinct()
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    one = (documents.join(kept, F.col("doc_id").cast("bigint") == F.col("_id"))
-           .withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*documents.columns))
+    names = documents.columns
+    rows = documents.filter("doc_id is not null").select(F.struct(*names).alias("_row"),
+                                                         F.col("doc_id").cast("bigint").alias("_doc"))
+    order = Window.partitionBy("_doc").orderBy(F.xxhash64("_row.text"))
+    one = rows.join(kept, F.col("_doc") == F.col("_id")).withColumn("_n", F.row_number().over(order)) \
+        .filter("_n = 1").select(*(F.col(f"_row.{n}").alias(n) for n in names))
     return one.unionByName(documents.filter("doc_id is null"))

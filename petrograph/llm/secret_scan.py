@@ -197,21 +197,21 @@ def secret_table(documents: DataFrame) -> DataFrame:
 def redacted(documents: DataFrame) -> DataFrame:
     """documents with every span of its text replaced by a mask; n_chars follows."""
     names = documents.columns
-    found = scanned(documents, tuple(names))
+    found = scanned(documents.select(F.struct(*names).alias("_row"), "text"), ("_row",))
+    text = F.col("_row.text")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"),
+        gap = F.substring(text, (acc["at"] + 1).cast("int"),
                           F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), new.alias("out"))
 
     spans = F.array_sort(F.concat("base", "random"))
     walked = F.aggregate(spans, state, step)
-    masked = F.concat(walked["out"], F.substring(F.col("text"), (walked["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size(spans) > 0, masked).otherwise(F.col("text"))
-    done = found.withColumn("_clean", text)
+    masked = F.concat(walked["out"], F.substring(text, (walked["at"] + 1).cast("int"), F.length(text)))
+    done = found.withColumn("_clean", F.when(F.size(spans) > 0, masked).otherwise(text))
     out = {"text": F.col("_clean")} | ({"n_chars": F.when(F.size(spans) > 0, F.length("_clean"))
-                                        .otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)}
+                                        .otherwise(F.col("_row.n_chars")).cast(documents.schema["n_chars"].dataType)}
                                        if "n_chars" in names else {})
-    return done.select(*(out.get(n, F.col(n)).alias(n) for n in names))
+    return done.select(*(out.get(n, F.col(f"_row.{n}")).alias(n) for n in names))
