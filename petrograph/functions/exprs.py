@@ -42,15 +42,17 @@ def _int_div(m: Column, p: int) -> Column:
 
 
 def to_fixed(x, n: int) -> Column:
-    """``Number.prototype.toFixed(n)`` text (sign kept for tiny negatives)."""
+    """``Number.prototype.toFixed(n)`` text (sign kept for tiny negatives); NaN is ``NaN``.
+
+    NULL where the value doesn't fit 18 digits in units of 10^-n.
+    """
     x = _c(x)
     m = _scaled(x, n)
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    if n == 0:
-        return F.concat(sign, m.cast("string"))
     p = 10 ** n
-    return F.concat(sign, _int_div(m, p).cast("string"), F.lit("."),
-                    F.lpad(F.pmod(m, F.lit(p)).cast("string"), n, "0"))
+    text = F.concat(sign, m.cast("string")) if n == 0 else F.concat(
+        sign, _int_div(m, p).cast("string"), F.lit("."), F.lpad(F.pmod(m, F.lit(p)).cast("string"), n, "0"))
+    return F.when(F.isnan(x.cast("double")), F.lit("NaN")).when(F.abs(x) * p < 1e18, text)
 
 
 def pct_text(x, n: int = 0) -> Column:

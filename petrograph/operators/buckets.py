@@ -34,6 +34,21 @@ def base_bucket(t_us: Column, bucket_seconds: int) -> Column:
     return F.floor(t_us / F.lit(bucket_seconds * 1_000_000)).cast("long")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Equi-join on equally named keys in which NULL matches NULL; one copy of the keys is kept."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    if small:
+        other = F.broadcast(other)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    both = left.join(other, cond, how)
+    named = [F.coalesce(F.col(c), F.col(f"_r_{c}")).alias(c) if c in keys and how == "full" else F.col(c)
+             for c in left.columns]
+    return both.select(*named, *[c for c in right.columns if c not in keys])
+
+
 def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
                 max_rows: int | None = DEFAULT_MAX_ROWS, out: str = "_b", tie: str | None = None,
                 seed: int = 17) -> DataFrame:
@@ -52,8 +67,8 @@ def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
         return tagged.withColumn(out, plain).drop("_wb_base")
 
     ok = F.struct(F.col(t_us).alias("t"), *([F.col(tie).alias("i")] if tie else []))
-    hot = F.broadcast(counts.where(F.col("_wb_n") > max_rows))
-    sample = (tagged.join(hot, [*keys, "_wb_base"])
+    hot = counts.where(F.col("_wb_n") > max_rows)
+    sample = (null_safe_join(tagged, hot, [*keys, "_wb_base"], small=True)
               .where(F.rand(seed) < F.lit(float(SAMPLE)) / F.col("_wb_n"))
               .groupBy(*keys, "_wb_base")
               .agg(F.array_sort(F.collect_list(ok)).alias("_wb_s"), F.first("_wb_n").alias("_wb_n")))
@@ -61,7 +76,7 @@ def with_bucket(df: DataFrame, keys: list[str], t_us: str, bucket_seconds: int,
     stride = F.greatest(F.lit(1), F.floor(F.size("_wb_s") * F.lit(max_rows) / F.col("_wb_n")).cast("int"))
     cuts = cut_lineage(sample.select(*keys, "_wb_base", F.filter("_wb_s", lambda x, i: (i + 1) % stride == 0)
                                      .alias("_wb_cuts")))
-    joined = tagged.withColumn("_wb_ok", ok).join(F.broadcast(cuts), [*keys, "_wb_base"], "left")
+    joined = null_safe_join(tagged.withColumn("_wb_ok", ok), cuts, [*keys, "_wb_base"], "left", small=True)
     sub = F.coalesce(F.size(F.filter(F.col("_wb_cuts"), lambda c: c < F.col("_wb_ok"))), F.lit(0))
     return (joined.withColumn(out, F.struct(F.col("_wb_base").alias("base"), sub.cast("int").alias("sub")))
             .drop("_wb_base", "_wb_cuts", "_wb_ok"))

@@ -30,7 +30,8 @@ from petrograph.sources.views import v_event, v_prediction, v_tick
 
 HORIZON_SECONDS = {"1h": 3600, "6h": 6 * 3600, "24h": 24 * 3600, "7d": 7 * 86400}
 FEATURE_HORIZON_S = 24 * 3600
-TRAIN_BEFORE = "2024-01-22 00:00:00"
+TRAIN_SHARE = 0.7       # quantile of tick time at which testing begins
+LABEL_HOURS = 24        # a label is the price this long after its tick
 TREND_BAND = 0.005   # ours: predicted vs current beyond +-0.5%
 
 
@@ -205,9 +206,11 @@ def _split(spark: SparkSession, d: str):
     # all read the same materialised features instead of re-running the
     # as-of and trailing-window jobs, and a lost executor re-reads it.
     data = cut_lineage(training_frame(spark, d))
-    cut = X.ts_ntz(TRAIN_BEFORE)
-    train = data.where((F.col("ts") < cut) & F.col("label").isNotNull())
-    test = data.where(F.col("ts") >= cut)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = data.agg(F.percentile_approx(at, TRAIN_SHARE).alias("cut")).first()["cut"]
+    # No training label may lie in the test period.
+    train = data.where((at + LABEL_HOURS * 3_600_000_000 < F.lit(cut)) & F.col("label").isNotNull())
+    test = data.where(at >= F.lit(cut))
     return train, test
 
 

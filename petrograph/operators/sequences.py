@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
-from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+from petrograph.operators.buckets import DEFAULT_MAX_ROWS, null_safe_join, with_bucket
 from petrograph.operators.ordering import extreme_row
 from petrograph.operators.timeseries import epoch_us
 from petrograph.plans.registry import query
@@ -56,7 +56,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str
     seeds = edges.select(*keys, b, (F.lag("_edge").over(wb) if direction == "prev"
                                     else F.lead("_edge").over(wb)).alias("_seed"))
 
-    joined = inner.join(seeds, [*keys, b], "left")
+    joined = null_safe_join(inner, seeds, [*keys, b], "left")
     filled = F.coalesce(F.col("_nb"), F.col("_seed"))
     return (joined.select(*df.columns, *[filled[v].alias(prefix + v) for v in values]))
 

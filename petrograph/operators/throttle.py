@@ -28,6 +28,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from petrograph.operators.buckets import null_safe_join
 from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof
 from petrograph.plans.registry import query
@@ -40,9 +41,8 @@ def _levels(anchors: DataFrame, key: str, ts: str, limit_seconds: int) -> int:
     nxt = neighbour(anchors.select(key, ts, "_id"), [key], [ts, "_id"], [ts], direction="next", prefix="_na_")
     span = (nxt.where(F.col(f"_na_{ts}").isNotNull())
             .agg(F.max(F.timestamp_diff("SECOND", F.col(ts), F.col(f"_na_{ts}"))).alias("s")).first()["s"])
-    tail = (anchors.groupBy(key).agg(F.max(ts).alias("_a")).join(
-        anchors.groupBy(key).agg(F.max("_last").alias("_z")), key)
-        .agg(F.max(F.timestamp_diff("SECOND", F.col("_a"), F.col("_z"))).alias("s")).first()["s"])
+    tail = (anchors.groupBy(key).agg(F.max(ts).alias("_a"), F.max("_last").alias("_z"))
+            .agg(F.max(F.timestamp_diff("SECOND", F.col("_a"), F.col("_z"))).alias("s")).first()["s"])
     longest = max(span or 0, tail or 0)
     chain = longest // limit_seconds + 1
     return max(0, math.ceil(math.log2(max(chain, 1))) - 1)
@@ -60,7 +60,7 @@ def throttle(df: DataFrame, key: str, limit_seconds: int, ts: str = "ts", tie: s
                            keys=[key], direction="forward", prefix="_nx"))
     anchors = nxt.where("_anchor").select(key, ts, "_id")
     last = df.groupBy(key).agg(F.max(ts).alias("_last"))
-    k_max = _levels(anchors.join(last, key), key, ts, limit_seconds)
+    k_max = _levels(null_safe_join(anchors, last, [key]), key, ts, limit_seconds)
 
     j0 = nxt.select(F.col("_id").alias("src"),
                     F.when(F.col("_nx_anchor"), F.lit(None)).otherwise(F.col("_nx_id")).alias("dst"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrograph.operators.buckets import DEFAULT_MAX_ROWS, with_bucket
+from petrograph.operators.buckets import DEFAULT_MAX_ROWS, null_safe_join, with_bucket
 from petrograph.operators.ordering import encode_order, is_integral, is_primitive
 
 
@@ -93,11 +93,10 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
     # buckets holding only left rows join in with a NULL edge (a full outer
     # join of two per-bucket tables, not a max over structs)
     left_buckets = both.where(F.col("_side") == l_side).select(*keys, "_b").distinct()
-    edges = right_edges.join(left_buckets, [*keys, "_b"], "full")
+    edges = null_safe_join(right_edges, left_buckets, [*keys, "_b"], "full")
     seeds = edges.select(*keys, "_b", seed.alias("_seed"))
 
-    found = (both.withColumn("_near", near).where(F.col("_side") == l_side)
-             .join(seeds, [*keys, "_b"], "left")
+    found = (null_safe_join(both.withColumn("_near", near).where(F.col("_side") == l_side), seeds, [*keys, "_b"], "left")
              .select("_row", F.coalesce("_near", "_seed").alias("_m")))
     return found.select(*[F.col(f"_row.{c}").alias(c) for c in lcols],
                         *[F.col(f"_m.{v}").alias(prefix + v) for v in values])

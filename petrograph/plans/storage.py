@@ -22,7 +22,9 @@ def shared_root(spark: SparkSession) -> str:
         return existing.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: a local run.  Make a fresh scratch folder for this session.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # Unset in a local run: make a fresh scratch folder for this session.
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -32,11 +32,14 @@ def events_stream(spark: SparkSession, d: str, max_files_per_trigger: int | None
     ``maxFilesPerTrigger`` bounds each micro-batch, and with it the rows one
     key brings to a stateful task in one batch.
     """
-    schema = spark.read.parquet(table_path(d, "events")).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    path = table_path(d, "events")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(d)
+    # A file stream reads folders: the table's own, or the one around its single file.
+    return r.parquet(path) if folder else r.option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
