@@ -33,6 +33,8 @@ from petrograph.llm.common import (_SPACE, WORD_RE, columns, mix, span_hash, tex
 BITS = 14
 BUCKETS = 1 << BITS
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+#: Labelled documents that the target model is fitted on, at most (those with the smallest hashes of their ids).
+MOST_TRUSTED = 20_000
 #: Mean log ratio per n-gram from which a document is kept.
 THRESHOLD = -0.25
 #: Base rule: fewest words, and the share of words in repeated windows, in percent, that fails.
@@ -123,10 +125,14 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the flag trusted: labelled of good quality and not toxic."""
+    """docs with the flag trusted: labelled of good quality and not toxic, at most MOST_TRUSTED ids.
+
+    The bound makes the ids fit for a broadcast, so no text is shuffled.
+    """
     good = (labels.filter((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))
             .select(F.col("doc_id").cast("bigint").alias("_label_id")).distinct())
-    return (docs.join(good, docs["doc_id"] == good["_label_id"], "left")
+    good = good.orderBy(F.xxhash64("_label_id"), "_label_id").limit(MOST_TRUSTED)
+    return (docs.join(F.broadcast(good), docs["doc_id"] == good["_label_id"], "left")
             .select(docs["text"].alias("text"), F.col("_label_id").isNotNull().alias("trusted")))
 
 
