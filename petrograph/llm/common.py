@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from petrograph.plans.storage import cut_lineage, scratch_path
 from petrograph.sources.tables import read_table
 
-__all__ = ["WORD", "WORD_RE", "anchors", "batch", "chunks", "columns", "components", "cut_lineage", "discard",
-           "documents", "empty_text", "mix", "read_table", "saved", "span_hash",
+__all__ = ["WORD", "WORD_RE", "anchors", "batch", "bucketed", "chunks", "columns", "components", "cut_lineage",
+           "discard", "documents", "empty_text", "likely_among", "mix", "read_table", "saved", "span_hash",
            "text_bytes", "window_hash", "word_ids", "word_spans"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -155,9 +156,42 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As saved, in buckets of ``key``: joins on it shuffle their other side only."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out._petrograph_path, out._petrograph_table = path, table
+    return out
+
+
+#: Words of 64 bits in the bitmap of likely_among: its size is fixed, whatever the tables.
+FILTER_WORDS = 1 << 20
+
+
+def likely_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose bigint ``key`` may be among ids (one bigint column), and few others.
+
+    A bitmap of at most FILTER_WORDS words, one bit an id, is broadcast, so rows that an exact join
+    would drop anyway needn't be shuffled for it.  It never drops a row that the join keeps; with more
+    ids than bits it only lets more of the others through.  Null keys go.
+    """
+    hashed = ids.toDF("_id").select(F.xxhash64("_id").alias("_h"))
+    bitmap = hashed.groupBy(F.pmod("_h", F.lit(FILTER_WORDS)).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(_h, 58) AS int))")).alias("_bits"))
+    tagged = rows.filter(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(key))
+    return (tagged.join(F.broadcast(bitmap), F.pmod("_h", F.lit(FILTER_WORDS)) == F.col("_word"))
+            .filter(F.expr("getbit(_bits, cast(shiftrightunsigned(_h, 58) AS int)) = 1"))
+            .select(*rows.columns))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete saved tables that nothing reads any more."""
     for df in tables:
+        if hasattr(df, "_petrograph_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._petrograph_table}")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._petrograph_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

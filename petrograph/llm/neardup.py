@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrograph.llm.common import (batch, columns, components, discard, mix, saved, text_bytes, window_hash,
-                                   word_ids)
+from petrograph.llm.common import (batch, bucketed, columns, components, discard, likely_among, mix, saved,
+                                   text_bytes, window_hash, word_ids)
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -195,11 +195,11 @@ def _rest(limit: int | None, most: int):
     return run
 
 
-def rest_pairs(members: DataFrame, limit: int | None, wide: DataFrame) -> DataFrame:
-    """Pairs across components in the buckets that hold more than one; members: key, id, label, sketch,
-    bands.
+def rest_pairs(members: DataFrame, limit: int | None, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs across components in the buckets that hold more than one; members: key, id, label; nodes:
+    id, sketch, bands; sets: id, grams.
 
-    With a limit, each class's closest ones; without, all that the wide sketches (id, sketch) let through.
+    With a limit, each class's closest ones; without, all that wide sketches of the sets let through.
 
     The members outside the bucket's leading component are cut into blocks, and each block meets
     all members, cut into runs; a task holds one block, never a bucket.
@@ -207,16 +207,16 @@ def rest_pairs(members: DataFrame, limit: int | None, wide: DataFrame) -> DataFr
     lead = (members.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("top"))
             .filter("lead <> top").select("key", "lead"))
     inside = members.join(lead, "key")
-    if not limit:
-        apart = inside.select("id").distinct()
-        inside = inside.drop("sketch").join(saved(wide.join(apart, "id", "left_semi")
-                                                  .mapInArrow(_wide, "id bigint, sketch array<bigint>"), "wide"), "id")
+    if limit:
+        sketches = nodes.select("id", "sketch", F.array().cast("array<bigint>").alias("bands"))
+    else:
+        wide = saved(sets.join(inside.select("id").distinct(), "id", "left_semi")
+                     .mapInArrow(_wide, "id bigint, sketch array<bigint>"), "wide")
+        sketches = nodes.select("id", "bands").join(wide, "id")
     sizes = inside.groupBy("key").agg(
         F.ceil(F.count(F.when(F.col("label") != F.col("lead"), 1)) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("runs"))
-    rows = inside.join(sizes, "key")
-    if limit:
-        rows = rows.withColumn("bands", F.array().cast("array<bigint>"))
+    rows = inside.join(sizes, "key").join(sketches, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     run = F.pmod(F.xxhash64("id", F.lit(7)), F.col("runs")).cast("int")
     block = rows.filter("label <> lead").select(
@@ -252,14 +252,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             .join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch, "b")
             .withColumn("far", differing_bits("x", "y")).filter(F.col("far") <= MOST_BITS))
     closest = star.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    sets = saved(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                 .mapInArrow(_sets, "id bigint, grams binary"), "sets")
+    inside = saved(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    sets = bucketed(likely_among(docs, "doc_id", inside).join(inside, "doc_id", "left_semi")
+                    .mapInArrow(_sets, "id bigint, grams binary"), "id", "sets")
     links = confirmed(closest, sets)
     final = components(links)
     for limit in ROUNDS:
         named = (members.select("key", "id").join(final, "id", "left")
                  .select("key", "id", F.coalesce("component", "id").alias("label")))
-        found = confirmed(saved(rest_pairs(named.join(nodes.select("id", "sketch", "bands"), "id"), limit, sets), "rest"), sets)
+        found = confirmed(saved(rest_pairs(named, limit, nodes, sets), "rest"), sets)
         links = links.union(found)
         final = components(links)
     discard(sets)
