@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
 from petrograph.operators.graph import graph_edges_df, graph_nodes_df
-from petrograph.operators.scans import latest_by
+from petrograph.operators.scans import latest_prediction
 from petrograph.plans.registry import query
 from petrograph.sources.views import country_dim, v_event, v_prediction
 
@@ -27,7 +27,7 @@ FROM (SELECT horizon, arg_max(id, (ts, id)) AS id, arg_max(price, (ts, id)) AS p
       FROM v_prediction GROUP BY horizon) x""")
 def prediction_card(spark: SparkSession, d: str) -> DataFrame:
     """Latest prediction card per horizon (the true horizon, not a fixed '24h')."""
-    p = latest_by(v_prediction(spark, d), ["horizon"], ["id", "price", "trend", "confidence"])
+    p = latest_prediction(spark, d)
     return p.select("horizon", "id", F.concat(F.lit("$"), X.to_fixed("price", 2)).alias("price_text"),
                     "trend", trend_colour("trend").alias("trend_colour"),
                     X.pct_text("confidence", 1).alias("confidence_text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from petrograph.operators.ordering import extreme_row
 from petrograph.plans.registry import query
 from petrograph.plans.storage import scratch_path
-from petrograph.sources.views import v_country, v_event, v_prediction, v_price
+from petrograph.sources.views import trend_of, v_country, v_event, v_prediction, v_price
 
 
 @query("scan_countries", "S1", sql="SELECT * FROM v_country")
@@ -47,8 +47,13 @@ SELECT horizon, arg_max(id, (ts, id)) AS id, arg_max(ts, (ts, id)) AS ts, arg_ma
        arg_max(confidence, (ts, id)) AS confidence, arg_max(trend, (ts, id)) AS trend
 FROM v_prediction GROUP BY horizon""")
 def latest_prediction(spark: SparkSession, d: str) -> DataFrame:
-    """Latest prediction per time horizon."""
-    return latest_by(v_prediction(spark, d), ["horizon"], ["id", "ts", "price", "confidence", "trend"])
+    """Latest prediction per time horizon.
+
+    The trend text follows from the price, so it is derived from the few rows found and the
+    aggregate keeps primitive values only: one scan, and one row per horizon and task shuffled.
+    """
+    p = latest_by(v_prediction(spark, d), ["horizon"], ["id", "ts", "price", "confidence"])
+    return p.withColumn("trend", trend_of(F.col("price")))
 
 
 def _counts(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:

@@ -117,6 +117,11 @@ def _horizon(event_id):
     return F.when(r == 0, "1h").when(r == 1, "6h").when(r == 2, "24h").otherwise("7d")
 
 
+def trend_of(v):
+    """Trend of a prediction by its value."""
+    return F.when(v >= 100, "bullish").when(v < 20, "bearish").otherwise("neutral")
+
+
 def v_prediction(spark: SparkSession, d: str, nested: bool = False) -> DataFrame:
     e = (read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
          .where(F.col("event_type") == "purchase"))
@@ -124,7 +129,7 @@ def v_prediction(spark: SparkSession, d: str, nested: bool = False) -> DataFrame
     k = F.get_json_object("props", "$.k").cast("int")
     cols = [F.col("event_id").alias("id"), "ts", _horizon(F.col("event_id")).alias("horizon"),
             v.alias("price"), (v / 500).alias("confidence"),
-            F.when(v >= 100, "bullish").when(v < 20, "bearish").otherwise("neutral").alias("trend"),
+            trend_of(v).alias("trend"),
             k.alias("k")]
     if not nested:
         return e.select(*cols)
