@@ -8,8 +8,8 @@ bucket) - with hot buckets cut further at time quantiles (``buckets``) - and
 seeds the first row of each bucket from the last row of the nearest earlier
 bucket (or the first row of the nearest later one), read off a per-bucket
 ``max_by``/``min_by`` table that is partially aggregated before its shuffle.
-The seed table has one row per (key, bucket), so its size follows the time
-span, not the row count.
+The seed table has one row per (key, bucket): small for busy keys, nearly as
+large as the input for keys with a row or less in each bucket.
 """
 
 from __future__ import annotations
