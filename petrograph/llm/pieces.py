@@ -37,7 +37,7 @@ from petrograph.llm.common import columns
 #: Place of the vocabulary file, read on the driver only.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and pairs remembered by a Python worker, and characters of text taken up at once.
-WORDS, PAIRS, SLICE = 400_000, 1_000_000, 4_000_000
+WORDS, PAIRS, SLICE = 300_000, 500_000, 2_000_000
 
 _MARKED = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _MARK = "▁"
@@ -198,11 +198,11 @@ class Vocabulary:
         return out
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about SLICE characters (a longer text alone)."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about SLICE bytes (a longer text alone)."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= SLICE:
             yield begin, i + 1
             begin, size = i + 1, 0
@@ -234,9 +234,9 @@ def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(shared)
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.string())
             for begin, end in slices(texts):
-                lists = voc.encode(texts[begin:end])
+                lists = voc.encode(texts[begin:end].to_pylist())
                 part = b.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pc.list_value_length(lists).cast(pa.int64()), lists],
@@ -262,10 +262,28 @@ def decoded(encodings: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: st
 
 
 def round_trip(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, pieces, the digest of the decoded text and whether it is the document's."""
+    """doc_id, n_pieces, pieces, the digest of the decoded text and whether it is the document's.
+
+    Each slice is encoded and decoded in one pass, so a task needs one Python worker and one vocabulary.
+    """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    there = encoded(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), model).drop("text")
-    back = decoded(there, ("doc_id", "n_pieces", "pieces", "_sha"), model)
-    digest = F.sha2(F.col("text"), 256)
-    return back.select("doc_id", "n_pieces", "pieces", digest.alias("decoded_sha256"),
-                       (digest == F.col("_sha")).alias("exact"))
+    shared = shared_model(documents.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        voc = vocabulary(shared)
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).cast(pa.string())
+            for begin, end in slices(texts):
+                part = texts[begin:end].to_pylist()
+                lists = voc.encode(part)
+                back = voc.decode(lists)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[begin:end], pc.list_value_length(lists).cast(pa.int64()), lists,
+                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                     pa.array([t == (o or "") for t, o in zip(back, part, strict=True)], pa.bool_())],
+                    names=["doc_id", "n_pieces", "pieces", "decoded_sha256", "exact"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_pieces bigint, pieces array<int>, decoded_sha256 string, "
+                                "exact boolean")

@@ -171,6 +171,8 @@ def test_pieces(docs):
     odd = ["a ▁ b", "  two  blanks ", "\n\n\tx", "a" * 500, "naïve 😀 \x00 ", " "]
     assert voc.decode(voc.encode(odd)) == odd
     assert [x.as_py() for x in voc.encode(odd[1:])] == library.encode(odd[1:])
+    back = pieces.decoded(pieces.encoded(docs).drop("kept")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in back) == collections.Counter((i, t or "") for i, t, _ in corpus())
     assert pieces.round_trip(docs.limit(0)).count() == 0
 
 
