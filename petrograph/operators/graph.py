@@ -188,20 +188,55 @@ def edge_effective_weight(spark: SparkSession, d: str, edge_width: float = S.DEF
 
 
 # -- endpoint joins ----------------------------------------------------------------------
-def endpoint_flags(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
+#: Id prefixes of the kinds with few nodes: the country dimension (25 rows by its definition) and the one
+#: price node.  Their edges may be any share of all edges; events are many, and no event is a hub.
+FEW = ("c:", "p:")
+FEW_TYPES = ("country", "price_point")
+
+
+def is_few(c: Column) -> Column:
+    """Whether a prefixed node id is of a kind with few nodes (NULL: no)."""
+    return F.coalesce(reduce(lambda a, b: a | b, [c.startswith(p) for p in FEW]), F.lit(False))
+
+
+def event_end(end: str) -> Column:
+    """Join key of an edge's endpoint: possible hubs are replaced by a value of the edge's own that no node
+    has, so that they spread over all tasks."""
+    return F.when(is_few(F.col(end)), F.concat(F.lit("~"), "id")).otherwise(F.col(end))
+
+
+def _member(edges: DataFrame, end: str, node_ids: DataFrame, few: bool, many: bool, out: str) -> DataFrame:
+    """Add ``out``: is the endpoint among the ids?  Repeated ids don't multiply edges."""
+    ids, hit = node_ids.select("id"), F.lit(False)
+    if few:
+        side = ids.where(is_few(F.col("id"))) if many else ids
+        side = F.broadcast(side.distinct().select(F.col("id").alias("_few")))
+        edges, hit = edges.join(side, edges[end] == F.col("_few"), "left"), hit | F.col("_few").isNotNull()
+    if many:
+        side = ids.where(~is_few(F.col("id"))).distinct().select(F.col("id").alias("_many"))
+        edges, hit = edges.join(side, event_end(end) == F.col("_many"), "left"), hit | F.col("_many").isNotNull()
+    return edges.withColumn(out, hit).drop("_few", "_many")
+
+
+def endpoint_flags(edges: DataFrame, node_ids: DataFrame, few: bool = True, many: bool = True) -> DataFrame:
     """Add ``src_hit`` / ``dst_hit``: is the endpoint in ``node_ids``?
 
-    Two left joins against the node ids, which are unique by construction
-    (one prefix per kind, unique ids within a kind), so no edge row is
-    multiplied and no ``distinct`` shuffle is needed; the hub target only
-    skews the probe side, which AQE's skew-join handling splits.
+    ``few`` / ``many``: whether ``node_ids`` may hold country and price nodes / events.  The few are
+    broadcast; the shuffled join is on event ids only, where no key is a hub.
     """
-    ids = node_ids.select(F.col("id").alias("_nid"))
-    s = ids.select(F.col("_nid").alias("_s"))
-    t = ids.select(F.col("_nid").alias("_t"))
-    return (edges.join(s, edges.source == s._s, "left").join(t, edges.target == t._t, "left")
-            .withColumn("src_hit", F.col("_s").isNotNull()).withColumn("dst_hit", F.col("_t").isNotNull())
-            .drop("_s", "_t"))
+    both = _member(edges, "source", node_ids, few, many, "src_hit")
+    return _member(both, "target", node_ids, few, many, "dst_hit")
+
+
+def with_nodes(edges: DataFrame, end: str, nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Edges with the columns (name -> new name) of the node at ``end``; edges without one go.  Hubs as above."""
+    few = nodes.where(is_few(F.col("id"))).select(F.col("id").alias("_few"), *(F.col(c).alias(f"_f_{c}") for c in columns))
+    many = nodes.where(~is_few(F.col("id"))).select(F.col("id").alias("_many"), *(F.col(c).alias(f"_m_{c}") for c in columns))
+    j = (edges.join(F.broadcast(few), edges[end] == F.col("_few"), "left")
+         .join(many, event_end(end) == F.col("_many"), "left")
+         .where(F.col("_few").isNotNull() | F.col("_many").isNotNull()))
+    return j.select(*edges.columns, *(F.when(F.col("_few").isNotNull(), F.col(f"_f_{c}")).otherwise(F.col(f"_m_{c}"))
+                                      .alias(n) for c, n in columns.items()))
 
 
 @query("edges_with_endpoints", "J2", sql="""
@@ -210,14 +245,9 @@ SELECT e.id, e.source, e.target, e.weight, s.type AS source_type, s.label AS sou
 FROM g_edges e JOIN g_nodes s ON e.source = s.id JOIN g_nodes t ON e.target = t.id""")
 def edges_with_endpoints(spark: SparkSession, d: str) -> DataFrame:
     nodes = graph_node_keys(spark, d).select("id", "type", "label")
-    s = nodes.select(F.col("id").alias("_sid"), F.col("type").alias("source_type"),
-                     F.col("label").alias("source_label"))
-    t = nodes.select(F.col("id").alias("_tid"), F.col("type").alias("target_type"),
-                     F.col("label").alias("target_label"))
-    e = graph_edges_df(spark, d)
-    return (e.join(s, e.source == s._sid).join(t, e.target == t._tid)
-            .select("id", "source", "target", "weight", "source_type", "source_label",
-                    "target_type", "target_label"))
+    e = graph_edges_df(spark, d).select("id", "source", "target", "weight")
+    e = with_nodes(e, "source", nodes, {"type": "source_type", "label": "source_label"})
+    return with_nodes(e, "target", nodes, {"type": "target_type", "label": "target_label"})
 
 
 @query("dangling_edges", "J3", sql="""
@@ -237,7 +267,8 @@ def incident_edges(spark: SparkSession, d: str, node_type: str) -> DataFrame:
 
 def incident_edges_of(nodes: DataFrame, edges: DataFrame, node_type: str) -> DataFrame:
     """Edges with at least one endpoint among the nodes of ``node_type``."""
-    f = endpoint_flags(edges, nodes.where(F.col("type") == node_type).select("id"))
+    few = node_type in FEW_TYPES
+    f = endpoint_flags(edges, nodes.where(F.col("type") == node_type).select("id"), few, not few)
     return f.where(F.col("src_hit") | F.col("dst_hit")).select(*EDGE_COLS)
 
 

@@ -21,9 +21,17 @@ from petrograph.sources.views import country_dim, v_country, v_event, v_predicti
 
 # -- generic building blocks ----------------------------------------------------
 def match_all(filters: dict) -> Column:
-    """AND of null-safe equalities; an empty filter keeps every row."""
-    return reduce(lambda a, b: a & b,
-                  [F.col(k).eqNullSafe(F.lit(v)) for k, v in filters.items()], F.lit(True))
+    """AND of null-safe equalities; an empty filter keeps every row.
+
+    A dict value stands for a struct column and is compared field by field (fields not named match
+    anything; of a NULL struct, every field is NULL).
+    """
+    def same(c: Column, v) -> Column:
+        if isinstance(v, dict):
+            return reduce(lambda a, b: a & b, [same(c.getField(f), x) for f, x in v.items()], F.lit(True))
+        return c.eqNullSafe(F.lit(v))
+
+    return reduce(lambda a, b: a & b, [same(F.col(k), v) for k, v in filters.items()], F.lit(True))
 
 
 def in_range(col: str, lo: str, hi: str) -> Column:
@@ -167,25 +175,38 @@ FROM r LEFT JOIN v_prediction p ON r.kind = 'prediction' AND r.key = CAST(p.id A
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Store-style getters by id for three kinds; absent ids give found=false.
 
-    One scan generates all requests and one equi-join on (kind, key) answers
-    them against the union of the three entity tables (ids are unique per
-    kind, so no request row is multiplied).
+    One scan generates all requests.  Countries, which few keys may ask for many times, are answered by
+    a broadcast of the 25-row dimension; events and predictions by an equi-join on (kind, key), where
+    country requests carry a key of their own (ids are unique per kind, so no request is multiplied).
     """
-    t = entity_targets(spark, d).withColumnRenamed("kind", "_tkind").withColumnRenamed("key", "_tkey")
+    t = entity_targets(spark, d)
+    few = t.where("kind = 'country'").select(F.col("kind").alias("_fkind"), F.col("key").alias("_fkey"),
+                                             F.col("label").alias("_flabel"))
+    many = t.where("kind <> 'country'").select(F.col("kind").alias("_tkind"), F.col("key").alias("_tkey"),
+                                               F.col("label").alias("_tlabel"))
     req = entity_requests(spark, d)
-    j = req.join(t, (req.kind == t._tkind) & (req.key == t._tkey), "left")
-    return j.select("request_id", "kind", "key", F.col("_tkey").isNotNull().alias("found"), "label")
+    own = F.when(F.col("kind") == "country", F.concat(F.lit("~"), F.col("request_id").cast("string"))) \
+        .otherwise(F.col("key"))
+    j = (req.join(F.broadcast(few), (req.kind == few._fkind) & (req.key == few._fkey), "left")
+         .join(many, (F.col("kind") == F.col("_tkind")) & (own == F.col("_tkey")), "left"))
+    return j.select("request_id", "kind", "key", F.coalesce("_fkey", "_tkey").isNotNull().alias("found"),
+                    F.coalesce("_flabel", "_tlabel").alias("label"))
 
 
 @query("search_entities", "F11", sql="""
 SELECT * FROM (
   SELECT 'event' AS kind, CAST(id AS VARCHAR) AS id, title AS text FROM v_event
-  UNION ALL SELECT 'country', id, name FROM v_country) s
+  UNION ALL SELECT 'country', id, name FROM v_country
+  UNION ALL SELECT 'prediction', CAST(id AS VARCHAR), horizon || ' ' || trend FROM v_prediction) s
 WHERE contains(lower(text), lower('ERROR'))""")
 def search_entities(spark: SparkSession, d: str, q: str = "ERROR") -> DataFrame:
-    """Case-insensitive literal substring search over event titles and country names."""
+    """Case-insensitive literal substring search over event titles, country names and the horizon and
+    trend of predictions (as in "24h up")."""
     ents = (v_event(spark, d).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"),
                                      F.col("title").alias("text"))
             .unionByName(country_dim(spark, d).select(F.lit("country").alias("kind"), "id",
-                                                      F.col("name").alias("text"))))
+                                                      F.col("name").alias("text")))
+            .unionByName(v_prediction(spark, d).select(F.lit("prediction").alias("kind"),
+                                                       F.col("id").cast("string").alias("id"),
+                                                       F.concat("horizon", F.lit(" "), "trend").alias("text"))))
     return ents.where(F.lower("text").contains(q.lower()))

@@ -99,20 +99,23 @@ def price_direction(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.when(up, "+").otherwise(""), X.to_fixed(pct, 2), F.lit("%")).alias("change_text"))
 
 
-def latest_two(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+def latest_two(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+               few_keys: bool = False) -> DataFrame:
     """Latest row per key plus the row before it, by two partial aggregations.
 
     Cheaper than a window: no sort of the series, one candidate per key per
-    task in each shuffle.  The per-key table joined back has one row per key;
-    it is not forced to broadcast (keys may be many) - AQE broadcasts it when
-    its measured size is under the threshold, as for the 3 price types.
+    task in each shuffle.  The per-key table joined back has one row per key.
+    With ``few_keys`` (the key's domain is a fixed short list) it is broadcast
+    and no row of df is shuffled; otherwise keys may be many and AQE decides
+    by its measured size.
     """
     ordkey = F.struct(*order)
     last = extreme_row(df, keys, order, [*order, *values], alias="_last")
     lk = last.select(*keys, F.col("_last").alias("_l"))
+    lk = F.broadcast(lk) if few_keys else lk
     earlier = df.join(lk, keys).where(ordkey < F.struct(*[F.col(f"_l.{o}") for o in order]))
     before = extreme_row(earlier, keys, order, [*order, *values], alias="_prev")
-    return (last.join(before, keys, "left")
+    return (last.join(F.broadcast(before) if few_keys else before, keys, "left")
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in [*order, *values]],
                     *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values]))
 
@@ -124,7 +127,8 @@ SELECT price_type, arg_max(id, (ts, id)) AS id, arg_max(ts, (ts, id)) AS ts, arg
 FROM c GROUP BY price_type""")
 def current_price(spark: SparkSession, d: str) -> DataFrame:
     """Latest price per price type with its change vs. the tick before it."""
-    t = latest_two(v_price(spark, d), ["price_type"], ["ts", "id"], ["price"])
+    # v_price maps every priority to one of three price types, so the latest rows are three at most.
+    t = latest_two(v_price(spark, d), ["price_type"], ["ts", "id"], ["price"], few_keys=True)
     diff = F.col("price") - F.col("prev_price")
     return t.select("price_type", "id", "ts", "price",
                     X.round_fixed(diff, 2).alias("change_abs"),
