@@ -11,7 +11,7 @@ messages give the expected counts); the number of pages is fixed, see html_pages
 
 Blocks: text between the tags of block elements; white space runs become one space, blocks are
 trimmed and joined by a line feed, empty ones dropped.  Head, scripts, styles, templates, form
-controls and other unseen elements hold no text.
+controls, drawings and other unseen elements hold no text; formulas do, but not their annotations, which aren't shown.
 
 Defined cases: null or empty html has an empty text; unclosed and stray tags are repaired as browsers
 do for the common cases; depth, length and number of elements are not limited; repeated rows are
@@ -35,8 +35,19 @@ from petrograph.llm.html_pages import labelled_pages
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style noscript template svg math iframe object canvas audio video select "
-                   "option textarea button datalist".split())
+UNSEEN = frozenset("head title script style noscript template svg annotation annotation-xml iframe object canvas audio "
+                   "video select option textarea button datalist".split())
+#: What a head may hold; any other start tag closes an open head.
+IN_HEAD = frozenset("title meta link style script base noscript noframes template".split())
+#: Drawings and formulas, in which "/>" closes an element at once, and those of their elements that hold HTML again.
+FOREIGN = frozenset("svg math".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: An open p outside these isn't closed by a block inside.
+HOLDS_P = HOLDS_HTML | {"table", "button", "object", "td", "th", "caption"}
+#: HTML's own tags that close a drawing or formula.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                       "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul "
+                       "var".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre "
                    "search section summary table caption tbody thead tfoot tr td th ul".split())
@@ -71,30 +82,44 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.attrs = ["#root"], [-1], [{}]
         self.text: list[tuple[int, str] | None] = []   # (element, text), or None for a block break
-        self.stack = [0]
-        self.unseen = 0
+        self.stack, self.open = [0], ["#root"]         # open elements and their tags
+        self.unseen = self.foreign = 0
         self.feed(html)
         self.close()
 
     def pop(self, depth: int) -> None:
         """Close open elements down to this depth."""
         while len(self.stack) > depth:
-            tag = self.tags[self.stack.pop()]
+            tag = self.open.pop()
+            self.stack.pop()
             self.unseen -= tag in UNSEEN
+            self.foreign -= tag in FOREIGN
             if tag in BLOCKS:
                 self.text.append(None)
 
     def find(self, tags: set | frozenset, bounds: set | frozenset = frozenset()) -> int:
         """Depth of the innermost open element with one of the tags; 0 if a bound comes first."""
         for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
+            tag = self.open[depth]
             if tag in tags:
                 return depth
             if tag in bounds:
                 return 0
         return 0
 
+    def in_foreign(self) -> int:
+        """Depth of the drawing or formula that the next tag belongs to; 0 if it is HTML."""
+        return self.find(FOREIGN, HOLDS_HTML) if self.foreign else 0
+
+    def end_head(self) -> None:
+        if self.open[-1] == "head":
+            self.pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
+        while tag in BREAKS_OUT and (depth := self.in_foreign()):
+            self.pop(depth)
         if tag in VOID:
             if not self.unseen:
                 self.text.append(None if tag == "hr" else (self.stack[-1], " "))
@@ -103,18 +128,26 @@ class Tree(HTMLParser):
             tags, bounds = CLOSES[tag]
             while depth := self.find(tags, bounds):
                 self.pop(depth)
-        if tag in BLOCKS and (depth := self.find({"p"}, {"table", "button", "object", "td", "th", "caption"})):
+        if tag in BLOCKS and (depth := self.find({"p"}, HOLDS_P)):
             self.pop(depth)
         if tag in BLOCKS:
             self.text.append(None)
-        self.tags.append(tag)
-        self.parents.append(self.stack[-1])
-        self.attrs.append(dict(attrs))
-        self.stack.append(len(self.tags) - 1)
+        if tag == "math" or self.open[self.in_foreign()] == "math":
+            self.stack.append(self.stack[-1])          # a formula is part of the element around it
+        else:
+            self.tags.append(tag)
+            self.parents.append(self.stack[-1])
+            self.attrs.append(dict(attrs))
+            self.stack.append(len(self.tags) - 1)
+        self.open.append(tag)
         self.unseen += tag in UNSEEN
+        self.foreign += tag in FOREIGN
 
     def handle_startendtag(self, tag, attrs):
+        at_once = tag in FOREIGN or tag not in VOID | BREAKS_OUT and self.in_foreign()
         self.handle_starttag(tag, attrs)
+        if at_once:
+            self.pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -123,6 +156,8 @@ class Tree(HTMLParser):
             self.pop(depth)
 
     def handle_data(self, data):
+        if data.strip("\t\n\f\r "):
+            self.end_head()
         if not self.unseen:
             self.text.append((self.stack[-1], data))
 

@@ -345,6 +345,27 @@ def test_html_pages(spark):
     assert [r.n_chars for r in got] == [len(t) for t in texts]
 
 
+def test_html_unseen_elements_that_never_close():
+    weights = html_extract.train(labelled_pages())
+    story = ("<article><h1>Big news</h1><p>One two three four five six seven.</p><p>Eight nine ten eleven "
+             "twelve.</p></article>")
+    want = "Big news\nOne two three four five six seven.\nEight nine ten eleven twelve."
+    head = "<html><head><title>no</title><meta charset=x><script>var a;</script><noscript><img src=x></noscript>"
+    for page in ("<body><svg/>" + story, "<body><math/>" + story, "<body><svg viewBox=x />" + story + "</body>",
+                 "<body><svg><style/><title/><path d=x /></svg>" + story, "<body><div><svg><path><p></p></div>" + story,
+                 "<body><svg><desc/><g/><p></p>" + story, head + story, head + "\n" + story, head + "<hr>" + story,
+                 head + "<template><p>no</p></template>" + story, head + "</head>" + story, head + "<body>" + story):
+        assert html_extract.main_text(page, weights) == want, page
+    assert html_extract.main_text(head + "Plain words that follow a head.", weights) == \
+        html_extract.main_text("<html>Plain words that follow a head.", weights)
+    assert html_extract.Tree(head + "Plain words.").text[-1][1] == "Plain words."
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>TeX</annotation></semantics></math>"
+    got = html_extract.main_text("<body>" + story.replace("two", formula), weights)
+    assert got == want.replace("two", "x=2")
+    drawn = "<svg><text>no</text><foreignObject><i>no</i></foreignObject></svg>"
+    assert html_extract.main_text("<body>" + story.replace("two", "two" + drawn), weights) == want
+
+
 def test_html_held_out_skeletons():
     pages, right, n = labelled_pages(), 0, 0
     for k in range(0, len(pages), 6):
