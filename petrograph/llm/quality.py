@@ -2,8 +2,10 @@
 
 Method: words and word pairs are hashed into a fixed number of buckets.  One multinomial is
 counted over the trusted-target documents, one over the whole raw corpus (every document, whole
-texts).  A document scores the mean of log p_target(bucket) - log p_raw(bucket) over its own
-n-grams, so long and short texts compare, and is kept from a fixed threshold on.
+texts).  The target is smoothed towards the raw distribution, so with few trusted documents scores
+shrink towards 0 and clean documents stay.  A document scores the mean of log p_target(bucket) -
+log p_raw(bucket) over its own n-grams, so long and short texts compare, and is kept from a fixed
+threshold on.
 
 Before hashing, each word is reduced to its shape: letters, capitals and digits become one class
 sign each, runs are cut to three, and the word's length class follows.
@@ -11,7 +13,7 @@ The ratio then judges how text is written and not which words it uses, so clean
 rare language or on a rare topic aren't punished for their vocabulary.
 
 Defined cases: a null text has no words and no lines and is rejected by the base rule; an empty
-documents table gives an empty result; without any trusted document the raw counts stand in for
+documents table gives an empty result; without any trusted document the raw distribution stands in for
 the target (every score is 0 and kept); repeated rows are judged one by one; a null label is not
 trusted; repeated labels of a document count its text once.
 """
@@ -35,6 +37,8 @@ BUCKETS = 1 << BITS
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Labelled documents that the target model is fitted on, at most (those with the smallest hashes of their ids).
 MOST_TRUSTED = 20_000
+#: N-grams of the raw distribution that are added to the target's counts.
+PRIOR = 4096
 #: Mean log ratio per n-gram from which a document is kept.
 THRESHOLD = -0.25
 #: Base rule: fewest words, and the share of words in repeated windows, in percent, that fails.
@@ -111,17 +115,15 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, with one added to every count.
+    """log p_target - log p_raw of each bucket; raw counts get one added, the target's PRIOR n-grams of the raw mix.
 
     At most 2 * BUCKETS rows reach the driver, however large the corpus.
     """
     n = np.zeros((2, BUCKETS))
     for r in counts.collect():
         n[r.target, r.bucket] = r.n
-    if not n[1].any():
-        n[1] = n[0]
-    n += 1.0
-    return np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+    raw = (n[0] + 1.0) / (n[0] + 1.0).sum()
+    return np.log((n[1] + PRIOR * raw) / (n[1].sum() + PRIOR)) - np.log(raw)
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -314,6 +314,18 @@ def test_quality_tells_junk_from_clean_labelled_documents(spark):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("n_trusted", [1, 5, 12, 20, 30])
+def test_quality_keeps_clean_documents_with_few_trusted(spark, n_trusted):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.filter("quality = 1 and toxic = 0").orderBy("doc_id").limit(n_trusted)
+    rows = quality.quality_table(docs, few).join(labels, "doc_id").filter("not base_failed").collect()
+    clean, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(clean) >= 0.99 * len(clean)
+    if n_trusted >= 5:
+        assert sum(junk) <= 0.1 * len(junk)
+
+
 def test_html_marginals_are_exact():
     tree = html_extract.Tree("<body><div class='ad'><p>a b<p>c</div><article><h1>t</h1><p>x<i>y</i></article></body>")
     feats = html_extract.features(tree)
