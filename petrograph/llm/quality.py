@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petrograph.llm.common import (_SPACE, WORD_RE, columns, mix, span_hash, text_bytes, window_hash,
-                                   word_spans)
+from petrograph.llm.common import (_SPACE, WORD_RE, batch, columns, likely_among, mix, span_hash, text_bytes,
+                                   window_hash, word_spans)
 
 #: Buckets of the two multinomials: their size is fixed, whatever the corpus.
 BITS = 14
 BUCKETS = 1 << BITS
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-#: Labelled documents that the target model is fitted on, at most (those with the smallest hashes of their ids).
-MOST_TRUSTED = 20_000
 #: N-grams of the raw distribution that are added to the target's counts.
 PRIOR = 4096
 #: Mean log ratio per n-gram from which a document is kept.
@@ -91,26 +89,61 @@ def duplicate_lines(text: str) -> int:
     return sum(n - 1 for line, n in lines.items() if n > 1 and WORD_RE.search(line))
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(target, bucket, n) over all rows: each task adds up its own documents first.
+COUNTS = "target int, bucket int, n bigint"
 
-    ``docs`` has text and a boolean column trusted.
+
+def summed(totals: np.ndarray, target: int) -> pa.RecordBatch:
+    """A row for each bucket that isn't empty."""
+    bucket = np.flatnonzero(totals)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(bucket), target, dtype=np.int32)), pa.array(bucket.astype(np.int32)),
+         pa.array(totals[bucket])], names=["target", "bucket", "n"])
+
+
+def own_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams and their counts."""
+    raw = text_bytes(text)
+    return np.unique(ngram_buckets(raw, *word_spans(raw)), return_counts=True)
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros(BUCKETS, dtype=np.int64)
+    for b in batches:
+        for text in columns(b, "text")[0]:
+            found, n = own_counts(text)
+            totals[found] += n
+    yield summed(totals, 0)
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = pa.schema([("doc_id", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    for b in batches:
+        ids, texts = columns(b, "doc_id", "text")
+        own = [own_counts(t) for t in texts]
+        yield batch(out, [ids, [found.astype(np.uint16).tobytes() for found, _ in own],
+                          [n.astype(np.uint32).tobytes() for _, n in own]])
+
+
+def _target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros(BUCKETS, dtype=np.int64)
+    for b in batches:
+        for found, n in zip(*columns(b, "buckets", "counts"), strict=True):
+            totals[np.frombuffer(found, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)
+    yield summed(totals, 1)
+
+
+def ngram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(target, bucket, n): 0 over all rows of docs, 1 over the trusted ones; each task adds up its own rows first.
+
+    No text is shuffled: the join with the trusted ids gets the counts of the documents that a
+    bitmap of these ids lets through.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, BUCKETS), dtype=np.int64)
-        for b in batches:
-            for text, trusted in zip(*columns(b, "text", "trusted"), strict=True):
-                raw = text_bytes(text)
-                found, n = np.unique(ngram_buckets(raw, *word_spans(raw)), return_counts=True)
-                totals[0][found] += n
-                if trusted:
-                    totals[1][found] += n
-        which, bucket = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[which, bucket])],
-            names=["target", "bucket", "n"])
-
-    return (docs.select("text", "trusted").mapInArrow(count, "target int, bucket int, n bigint")
+    good = trusted_ids(labels)
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sparse = likely_among(keyed, "doc_id", good).mapInArrow(_sparse, "doc_id bigint, buckets binary, counts binary")
+    target = sparse.join(good.hint("merge"), "doc_id", "left_semi").select("buckets", "counts") \
+        .mapInArrow(_target, COUNTS)
+    return (docs.select("text").mapInArrow(_raw, COUNTS).union(target)
             .groupBy("target", "bucket").agg(F.sum("n").alias("n")))
 
 
@@ -126,22 +159,16 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((n[1] + PRIOR * raw) / (n[1].sum() + PRIOR)) - np.log(raw)
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the flag trusted: labelled of good quality and not toxic, at most MOST_TRUSTED ids.
-
-    The bound makes the ids fit for a broadcast, so no text is shuffled.
-    """
-    good = (labels.filter((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))
-            .select(F.col("doc_id").cast("bigint").alias("_label_id")).distinct())
-    good = good.orderBy(F.xxhash64("_label_id"), "_label_id").limit(MOST_TRUSTED)
-    return (docs.join(F.broadcast(good), docs["doc_id"] == good["_label_id"], "left")
-            .select(docs["text"].alias("text"), F.col("_label_id").isNotNull().alias("trusted")))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled of good quality and not toxic."""
+    return (labels.filter((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)))
+            .select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct())
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the base counts, the score and the verdict (see the module's text)."""
     spark = docs.sparkSession
-    ratio = spark.sparkContext.broadcast(log_ratios(ngram_counts(trusted_documents(docs, labels))))
+    ratio = spark.sparkContext.broadcast(log_ratios(ngram_counts(docs, labels)))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(scorer(ratio, threshold), SCHEMA)
 
@@ -183,7 +210,7 @@ def scorer(ratio, threshold: float):
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose verdict is to keep them."""
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(trusted_documents(docs, labels))))
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(docs, labels)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from petrograph.llm import (chat, html_extract, mixing, neardup, phrases, pieces, quality, secret_scan,
+from petrograph.llm import (chat, common, html_extract, mixing, neardup, phrases, pieces, quality, secret_scan,
                             suffix_dedup, topk)
 from petrograph.llm.common import anchors, components, window_hash
 from petrograph.llm.html_pages import labelled_pages
@@ -326,6 +326,30 @@ def test_quality_keeps_clean_documents_with_few_trusted(spark, n_trusted):
         assert sum(junk) <= 0.1 * len(junk)
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_WORDS", 4)
+    kinds = ["abc de", "ABC 12 x", "#x y", "one Two"]
+    docs = spark.range(40_000).selectExpr("id as doc_id", f"array({', '.join(map(repr, kinds))})[id % 4] as text")
+    docs = docs.union(spark.createDataFrame([(None, kinds[2]), (0, kinds[3])], "doc_id bigint, text string"))
+    labels = spark.range(40_000).selectExpr("id as doc_id", "int(id % 4 <> 2) as quality", "int(id % 7 = 0 and id > 0) as toxic")
+    labels = labels.union(labels.filter("doc_id < 50")).union(labels.limit(1).selectExpr("null", "1", "0"))
+    n = np.zeros((2, quality.BUCKETS))
+    rows = [(i, kinds[i % 4]) for i in range(40_000)] + [(None, kinds[2]), (0, kinds[3])]
+    trusted = {i for i in range(40_000) if i % 4 != 2 and not (i % 7 == 0 and i > 0)}
+    grams = {k: quality.ngram_buckets(raw, *common.word_spans(raw)) for k in kinds for raw in [common.text_bytes(k)]}
+    for i, k in rows:
+        np.add.at(n[0], grams[k], 1)
+        if i in trusted:
+            np.add.at(n[1], grams[k], 1)
+    assert len(trusted) > 25_000
+    want = {(t, b): int(n[t, b]) for t, b in zip(*np.nonzero(n), strict=True)}
+    raw = (n[0] + 1) / (n[0] + 1).sum()
+    ratio = np.log((n[1] + quality.PRIOR * raw) / (n[1].sum() + quality.PRIOR)) - np.log(raw)
+    got = quality.quality_table(docs, labels).filter("doc_id in (1, 2, 3, 4)").collect()
+    assert {r.doc_id: round(r.score, 6) for r in got} == {i: round(float(ratio[grams[kinds[i % 4]]].mean()), 6) for i in range(1, 5)}
+    assert {(r.target, r.bucket): r.n for r in quality.ngram_counts(docs, labels).collect()} == want
+
+
 def test_html_marginals_are_exact():
     tree = html_extract.Tree("<body><div class='ad'><p>a b<p>c</div><article><h1>t</h1><p>x<i>y</i></article></body>")
     feats = html_extract.features(tree)
