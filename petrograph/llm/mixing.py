@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from petrograph.llm.common import WORD, empty_text, saved
 
+#: A word and the white space before it.
+SPACED = r"[\x20\x09-\x0D]*" + WORD
 #: Most epochs of a source; the weights that sources carry in turn.
 MAX_EPOCHS, WEIGHTS = 3, (1, 2, 3)
 
@@ -94,7 +96,7 @@ def mixed(documents: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mixture(documents: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: every document as often as it is taken, the last time cut at its budget.
+    """The mix itself: every document as often as it is taken, the last time cut after its budget's last word.
 
     Only ids, sizes and hashes are ordered and summed; the texts are shuffled once, to meet their
     decisions.  Rows alike in doc_id, source and text are written from one of them.
@@ -115,8 +117,8 @@ def mixture(documents: DataFrame, seed: int = 17) -> DataFrame:
     part = F.col("_taken") - whole * F.col("size")
     each = both.select("d._row", F.explode(F.filter(
         F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole), F.array(part)), lambda n: n != 0)).alias("_copy"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(WORD), F.lit(0)), 1,
-                               F.col("_copy").cast("int")), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(SPACED), F.lit(0)), 1,
+                               F.col("_copy").cast("int")), "")
     done = each.withColumn("_cut", F.when(F.col("_copy") > 0, cut).otherwise(F.col("_row.text")))
     out = {"text": F.col("_cut")}
     if "n_chars" in names:

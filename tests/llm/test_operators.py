@@ -229,6 +229,14 @@ def test_mixing(docs):
     assert mixing.mixed(docs.limit(0)).count() == 0 == mixing.mixture(docs.limit(0)).count()
 
 
+def test_mixture_cuts_keep_the_white_space(spark):
+    rows = [(i, f" \tw{i}\n\nx  é\r\n" + "\n".join(f"line {k}  of {i}" for k in range(9)) + "\n", f"s{i % 2}") for i in range(13)]
+    whole = {i: t for i, t, _ in rows}
+    out = mixing.mixture(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    cut = [r for r in out if r.text != whole[r.doc_id]]
+    assert cut and all(r.text and whole[r.doc_id].startswith(r.text) for r in cut)
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = {"a": 10, "b": 1, "c": 2, "d": 1000, "e": 5, "f": 0, None: 3}
     got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
