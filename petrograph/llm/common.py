@@ -147,21 +147,25 @@ def empty_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: cuts the lineage and outlives executors."""
+def saved(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read back: cuts the lineage and outlives executors.
+
+    Columns named in ``folders`` become folders, so that a filter on them reads only its own files.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._petrograph_path = path
     return out
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As saved, in buckets of ``key``: joins on it shuffle their other side only."""
+def bucketed(df: DataFrame, key: str, name: str, ordered: bool = False) -> DataFrame:
+    """As saved, in buckets of ``key`` (sorted by it, if ordered): joins on it shuffle their other side only."""
     spark = df.sparkSession
     path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(table)
+    writer = df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key)
+    (writer.sortBy(key) if ordered else writer).saveAsTable(table)
     out = spark.table(table)
     out._petrograph_path, out._petrograph_table = path, table
     return out
