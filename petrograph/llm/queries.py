@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from petrograph.llm import chat, html_extract, line_dedup, mixing, neardup, phrases, pieces, quality, secret_scan, suffix_dedup, topk
+from petrograph.llm import chat, divergence, html_extract, line_dedup, mixing, neardup, phrases, pieces, quality, repair, secret_scan, suffix_dedup, topk
 from petrograph.llm.common import documents, read_table
 
 
@@ -48,9 +48,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(read_table(spark, sf_dir, "pages"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.without_common_lines(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op8_repeated_phrases, op9_quality_rules, op10_html_extraction, op12_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op12_line_dedup": line_dedup.SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_exact_top_k, op6_mixing, op7_secret_scan, op8_repeated_phrases, op9_quality_rules, op10_html_extraction, op11_structure_repair, op12_line_dedup, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op11_structure_repair": repair.SQL, "op12_line_dedup": line_dedup.SQL, "op13_source_divergence": divergence.SQL}
