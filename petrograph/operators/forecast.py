@@ -6,8 +6,9 @@ trees but contains no model.  What is built here is honest about that:
 * M1 event features per price tick over the preceding horizon (trailing sums);
 * M2 a fixed, one-hop weighted neighbour mean over the graph - a message
   passing *feature*, not a learned GNN;
-* M3 ``pyspark.ml`` gradient-boosted trees on those features, split by time;
-* M4 a trend rule, M5 factor explanations, A8 forecast accuracy.
+* M3 ``pyspark.ml`` gradient-boosted trees on those features for the four horizons (the horizon
+  is a feature), split by time and scored by rolling origin;
+* M4 a trend rule, M5 the factors of every forecast by its paths through the trees, A8 forecast accuracy.
 
 Realised and current prices are as-of lookups (``timeseries.asof``); no
 range join or global window is used.  The test data has no true signal, so
@@ -26,12 +27,12 @@ from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof, trailing_sums
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
+from petrograph.sources.tables import table_path
 from petrograph.sources.views import v_event, v_prediction, v_tick
 
 HORIZON_SECONDS = {"1h": 3600, "6h": 6 * 3600, "24h": 24 * 3600, "7d": 7 * 86400}
 FEATURE_HORIZON_S = 24 * 3600
 TRAIN_SHARE = 0.7       # quantile of tick time at which testing begins
-LABEL_HOURS = 24        # a label is the price this long after its tick
 TREND_BAND = 0.005   # ours: predicted vs current beyond +-0.5%
 
 
@@ -50,7 +51,7 @@ def _horizon_interval_sql(h: str) -> str:
 # -- M1 --------------------------------------------------------------------------------
 def tick_features(spark: SparkSession, d: str) -> DataFrame:
     ticks = v_tick(spark, d)
-    ev = v_event(spark, d).select("ts", F.col("immediate").alias("impact"), "sentiment")
+    ev = v_event(spark, d).select("id", "ts", F.col("immediate").alias("impact"), "sentiment")
     f = trailing_sums(ticks, ev, point_id="id", point_ts="ts", event_ts="ts",
                       horizon_seconds=FEATURE_HORIZON_S, values=["impact", "sentiment"])
     return f.select("id", "ts", "price_type", "price", F.col("n_events").cast("long").alias("n_events"),
@@ -175,20 +176,47 @@ def forecast_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- M3 / M5 ---------------------------------------------------------------------------------
-FEATURES = ["price", "prev_price", "n_events", "impact_sum", "sentiment_sum", "type_idx"]
+FEATURES = ["price", "prev_price", "n_events", "impact_sum", "sentiment_sum", "type_idx", "horizon_hours"]
+#: Quantiles of tick time at which the folds' test periods begin; each ends where the next begins.
+FOLD_STARTS = (0.4, 0.6, 0.8)
 
 
-def training_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Features per tick and the label: the same type's price 24 h later (as-of)."""
-    f = tick_features(spark, d)
-    f = neighbour(f, ["price_type"], ["ts", "id"], ["price"])
+def _at(ts: str = "ts") -> F.Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def labelled(features: DataFrame, ticks: DataFrame, horizons: dict[str, int] | None = None) -> DataFrame:
+    """features once per horizon, with the same type's price that long after (``label``).
+
+    All horizons are answered by one as-of pass: each tick asks once per horizon.  A label that lies
+    beyond the type's last tick isn't known and NULL.
+    """
+    horizons = horizons or HORIZON_SECONDS
+    asked = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("horizon_s"))
+                                for h, s in horizons.items()])).alias("h")
+    rows = features.select("*", asked).select(*features.columns, "h.horizon", "h.horizon_s")
+    prices = ticks.select("id", "ts", "price_type", F.col("price").alias("label"))
+    due = F.timestamp_add("SECOND", F.col("horizon_s"), F.col("ts"))
+    found = asof(rows, prices, left_ts=due, right_ts="ts", right_order=["ts", "id"], values=["label"],
+                 keys=["price_type"], prefix="")
+    # One row per price type, of which the view has three.
+    ends = ticks.groupBy("price_type").agg(F.max("ts").alias("_end"))
+    return (found.join(F.broadcast(ends), "price_type", "left")
+            .withColumn("label", F.when(due <= F.col("_end"), F.col("label")))
+            .withColumn("horizon_hours", F.col("horizon_s") / 3600.0).drop("_end"))
+
+
+def training_frame(spark: SparkSession, d: str, horizons: dict[str, int] | None = None) -> DataFrame:
+    """Features per tick and horizon, and the label."""
+    f = neighbour(tick_features(spark, d), ["price_type"], ["ts", "id"], ["price"])
     f = f.withColumn("type_idx", F.when(F.col("price_type") == "WTI", 0.0)
                      .when(F.col("price_type") == "Brent", 1.0).otherwise(2.0))
-    ticks = v_tick(spark, d).select("id", "ts", "price_type", F.col("price").alias("label"))
-    due = F.timestamp_add("SECOND", F.lit(FEATURE_HORIZON_S), F.col("ts"))
-    f = asof(f, ticks, left_ts=due, right_ts="ts", right_order=["ts", "id"], values=["label"],
-             keys=["price_type"], prefix="")
-    return f.na.fill(0.0, subset=["prev_price", "impact_sum", "sentiment_sum"])
+    return labelled(f.na.fill(0.0, subset=["prev_price", "impact_sum", "sentiment_sum"]), v_tick(spark, d), horizons)
+
+
+def before(data: DataFrame, cut_us: int) -> DataFrame:
+    """Rows to train on: the label's own time, not only the tick's, lies before the cut."""
+    return data.where((_at() + F.col("horizon_s") * 1_000_000 < F.lit(cut_us)) & F.col("label").isNotNull())
 
 
 def fit_gbt(train: DataFrame, seed: int = 42):
@@ -201,51 +229,161 @@ def fit_gbt(train: DataFrame, seed: int = 42):
     return Pipeline(stages=[assembler, gbt]).fit(train)
 
 
-def _split(spark: SparkSession, d: str):
-    # Checkpointed once: the model fit, its training error and the scoring
-    # all read the same materialised features instead of re-running the
-    # as-of and trailing-window jobs, and a lost executor re-reads it.
-    data = cut_lineage(training_frame(spark, d))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cut = data.agg(F.percentile_approx(at, TRAIN_SHARE).alias("cut")).first()["cut"]
-    # No training label may lie in the test period.
-    train = data.where((at + LABEL_HOURS * 3_600_000_000 < F.lit(cut)) & F.col("label").isNotNull())
-    test = data.where(at >= F.lit(cut))
-    return train, test
+def quantiles_of_time(data: DataFrame, shares: list[float]) -> list[int]:
+    """Times (microseconds) of the shares of ticks: one number each."""
+    return data.agg(F.percentile_approx(_at(), shares).alias("q")).first()["q"] or []
+
+
+#: (application, table, its files) -> (training frame, model, cut): fitted once, read by M3 and M5.
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _files(spark: SparkSession, d: str) -> tuple:
+    """Names, sizes and times of the events table's files, so that another table isn't taken for it."""
+    jvm, path = spark._jvm, table_path(d, "events")
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place))
+
+
+def fitted(spark: SparkSession, d: str):
+    """(frame, model, cut): the features saved once in the shared folder, and the model of the rows before the cut."""
+    key = (spark.sparkContext.applicationId, _files(spark, d))
+    if key not in _FITTED:
+        data = cut_lineage(training_frame(spark, d))
+        cut = (quantiles_of_time(data, [TRAIN_SHARE]) or [0])[0]
+        _FITTED[key] = (data, fit_gbt(before(data, cut)), cut)
+    return _FITTED[key]
+
+
+def requested(spark: SparkSession, d: str, horizon: str | None = None, include_explanation: bool = False) -> DataFrame:
+    """A prediction request: forecasts of the ticks after the cut for one horizon (None: all four).
+
+    With ``include_explanation`` each row also has bias, contributions (by feature) and ``primary_factors``.
+    """
+    if horizon is not None and horizon not in HORIZON_SECONDS:
+        raise ValueError(f"horizon must be one of {', '.join(HORIZON_SECONDS)}")
+    data, model, cut = fitted(spark, d)
+    test = data.where(_at() >= F.lit(cut))
+    test = test if horizon is None else test.where(F.col("horizon") == horizon)
+    scored = model.transform(test)
+    # confidence (ours): 1 - training MAPE of the horizon, in [0, 1]; a row per horizon, of which there are four.
+    error = model.transform(before(data, cut)).groupBy("horizon").agg(
+        F.avg(F.abs(F.col("prediction") - F.col("label")) / F.col("label")).alias("_mape"))
+    out = (explained(scored, model) if include_explanation else scored).join(F.broadcast(error), "horizon", "left")
+    extra = ["bias", "contributions", "primary_factors"] if include_explanation else []
+    return out.select(F.concat(F.lit("gbt:"), F.col("id").cast("string"), F.lit(":"), "horizon").alias("id"), "ts", "horizon",
+                      F.col("prediction").alias("price"),
+                      F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("_mape", F.lit(1.0)))).alias("confidence"),
+                      trend_rule(F.col("prediction"), F.col("price")).alias("trend"), "price_type", *extra)
 
 
 @query("forecast_train_score", "M3")
 def forecast_train_score(spark: SparkSession, d: str) -> DataFrame:
-    """Gradient-boosted trees trained on ticks before the cut, scored after it,
-    emitted as PredictionResult rows (time-ordered split, fixed seed)."""
-    train, test = _split(spark, d)
-    model = fit_gbt(train)
-    scored = model.transform(test)
-    # confidence (ours): 1 - training MAPE, clipped to [0, 1]; one scalar per
-    # model, read back like any model metric.
-    mape = model.transform(train).agg(
-        F.avg(F.abs(F.col("prediction") - F.col("label")) / F.col("label")).alias("m")).first()["m"]
-    conf = F.lit(max(0.0, min(1.0, 1.0 - (mape if mape is not None else 1.0))))
-    return (scored
-            .select(F.concat(F.lit("gbt:"), F.col("id").cast("string")).alias("id"), "ts",
-                    F.lit("24h").alias("horizon"), F.col("prediction").alias("price"),
-                    conf.alias("confidence"), trend_rule(F.col("prediction"), F.col("price")).alias("trend"),
-                    F.col("price_type")))
+    """Gradient-boosted trees trained on ticks before the cut, scored after it for all four horizons,
+    as PredictionResult rows (time-ordered split, fixed seed)."""
+    return requested(spark, d)
+
+
+def rolling_origin(data: DataFrame, starts: tuple[float, ...] = FOLD_STARTS) -> DataFrame:
+    """Errors by fold and horizon of expanding-window training.
+
+    Each fold trains on labels known before its test period begins (an embargo of the horizon) and tests
+    on ticks up to the next fold's beginning.  ``naive`` is the error of "the price stays".
+    """
+    cuts = quantiles_of_time(data, list(starts))
+    out = None
+    for i, cut in enumerate(cuts):
+        until = cuts[i + 1] if i + 1 < len(cuts) else None
+        test = data.where((_at() >= F.lit(cut)) & F.col("label").isNotNull())
+        test = test if until is None else test.where(_at() < F.lit(until))
+        train = before(data, cut)
+        scored = fit_gbt(train).transform(test)
+        err = F.col("prediction") - F.col("label")
+        # A sign is hit where forecast and label lie on one side of the price.
+        hit = (F.signum(F.col("prediction") - F.col("price")) == F.signum(F.col("label") - F.col("price"))).cast("double")
+        fold = scored.groupBy("horizon").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+            F.avg(F.abs(F.col("price") - F.col("label"))).alias("naive_mae"), F.avg(hit).alias("hit_rate"))
+        fold = fold.select(F.lit(i).alias("fold"), F.timestamp_micros(F.lit(cut)).cast("timestamp_ntz").alias("test_from"), "*")
+        out = fold if out is None else out.unionByName(fold)
+    return out
+
+
+@query("forecast_backtest", "M3")
+def forecast_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling-origin errors of the forecast by fold and horizon."""
+    return rolling_origin(fitted(spark, d)[0])
+
+
+# -- M5: tree paths --------------------------------------------------------------------------
+def _walk(node, visit, path: tuple = ()) -> F.Column:
+    """visit(path) of every leaf; path: (feature, change of the node mean) per split."""
+    if node.subtreeDepth() == 0:
+        return visit(path)
+    split, here = node.split(), node.prediction()
+    f, at = split.featureIndex(), split.threshold()
+    left, right = node.leftChild(), node.rightChild()
+    yes = _walk(left, visit, (*path, (f, left.prediction() - here)))
+    no = _walk(right, visit, (*path, (f, right.prediction() - here)))
+    return F.when(F.col(FEATURES[f]).cast("double") <= at, yes).otherwise(no)
+
+
+def tree_paths(model) -> tuple[float, list[F.Column]]:
+    """(bias, an array<double> per tree): how the splits on a row's path change its forecast, by feature.
+
+    The bias is the weighted mean of the roots.  What a split on feature f changes is the step from the
+    node's mean to the child's; a tree's steps add up to its leaf, so bias and steps add up to the forecast.
+    """
+    gbt = model.stages[-1]
+    bias, out = 0.0, []
+    for tree, weight in zip(gbt.trees, gbt.treeWeights, strict=True):
+        root = tree._call_java("rootNode")
+
+        def leaf(path: tuple, weight: float = weight) -> F.Column:
+            steps = [0.0] * len(FEATURES)
+            for f, change in path:
+                steps[f] += weight * change
+            return F.array(*map(F.lit, steps))
+
+        bias += weight * root.prediction()
+        out.append(_walk(root, leaf))
+    return bias, out
+
+
+def explained(scored: DataFrame, model, top: int = 3) -> DataFrame:
+    """scored plus bias, contributions (map of feature to price units) and primary_factors.
+
+    A factor's impact is its share of all contributions' size, signed, so it lies in [-1, 1]; its confidence
+    is the share of the trees that use it on this row and agree with that sign.
+    """
+    bias, paths = tree_paths(model)
+    walked = scored.withColumn("_paths", F.array(*paths))
+    total = F.aggregate("_paths", F.array(*[F.lit(0.0)] * len(FEATURES)), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+    summed = walked.withColumn("_steps", total)
+    size = F.aggregate("_steps", F.lit(0.0), lambda a, x: a + F.abs(x))
+    names = F.array(*map(F.lit, FEATURES))
+
+    def factor(name: F.Column, i: F.Column) -> F.Column:
+        own = F.get("_steps", i)
+        used = F.filter("_paths", lambda p: F.get(p, i) != 0)
+        agree = F.filter(used, lambda p: F.signum(F.get(p, i)) == F.signum(own))
+        return F.struct(F.abs(own).alias("size"), name.alias("factor"), F.try_divide(own, size).alias("impact"),
+                        F.try_divide(F.size(agree), F.size(used)).alias("confidence"))
+
+    # Largest first, ties by name.
+    order = lambda a, b: (F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1)
+                          .when(a["factor"] < b["factor"], -1).otherwise(1))
+    ranked = F.array_sort(F.filter(F.transform(names, factor), lambda f: f["size"] > 0), order)
+    chosen = F.transform(F.slice(ranked, 1, top), lambda f: F.struct(f["factor"], f["impact"], f["confidence"]))
+    return summed.select(*scored.columns, F.lit(bias).alias("bias"), F.map_from_arrays(names, "_steps").alias("contributions"),
+                         chosen.alias("primary_factors"))
 
 
 @query("forecast_explanation", "M5")
 def forecast_explanation(spark: SparkSession, d: str) -> DataFrame:
-    """Top 3 factors: tree importance x sign of the feature's correlation with
-    the label on the training set (correlations computed by one aggregate)."""
-    train, _ = _split(spark, d)
-    model = fit_gbt(train)
-    importances = model.stages[-1].featureImportances.toArray().tolist()   # one value per feature
-    imp = spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, importances)],
-                                "factor string, importance double")
-    corr = train.agg(*[F.corr(F.col(f).cast("double"), F.col("label")).alias(f) for f in FEATURES])
-    corr_long = corr.select(F.explode(F.map_from_arrays(
-        F.array(*[F.lit(f) for f in FEATURES]), F.array(*[F.col(f) for f in FEATURES]))).alias("factor", "corr"))
-    j = imp.join(corr_long, "factor")
-    impact = F.col("importance") * F.coalesce(F.signum("corr"), F.lit(1.0))
-    return (j.select("factor", impact.alias("impact"), F.col("importance").alias("confidence"))
-            .orderBy(F.abs("impact").desc(), "factor").limit(3))
+    """The primary factors of every scored row, largest first, from the paths it takes through the trees."""
+    rows = requested(spark, d, include_explanation=True)
+    return (rows.select("id", "ts", "horizon", "price", "bias", F.posexplode("primary_factors").alias("position", "f"))
+            .select("id", "ts", "horizon", "price", "bias", (F.col("position") + 1).alias("position"), "f.factor", "f.impact",
+                    "f.confidence"))

@@ -76,3 +76,17 @@ def extreme_row(df: DataFrame, keys: list[str], order: list[str], values: list[s
     grouped = tagged.groupBy(*keys).agg(*aggs) if keys else tagged.agg(*aggs)
     return grouped.select(*keys, F.struct(*[F.col(f"_x_{i}").alias(v) for i, v in enumerate(values)])
                           .alias(alias))
+
+
+def edge_value(df: DataFrame, order: list[str], values: list[str], largest: bool = True,
+               where: Column | None = None) -> list[Column]:
+    """Aggregates ``_x0``, ``_x1``, ...: each value of the row with the largest (smallest) order, of those ``where`` holds.
+
+    Hash-based where the order can be encoded and the values are primitive, else over structs.
+    """
+    num = order_number(df, order)
+    if num is None or not all(is_primitive(df.schema[v].dataType) for v in values):
+        num = F.struct(*[F.col(o) for o in order])
+    num = num if where is None else F.when(where, num)
+    pick = F.max_by if largest else F.min_by
+    return [pick(F.col(v), num).alias(f"_x{i}") for i, v in enumerate(values)]

@@ -3,13 +3,10 @@ price change, current price, debounce (K4-K6, D5, T4) and a distributed
 zero-based ordinal (G5's building block).
 
 A window ``partitionBy(key)`` puts a whole key in one task, and a key may hold
-a third of all rows.  ``neighbour`` therefore partitions by (key, time
-bucket) - with hot buckets cut further at time quantiles (``buckets``) - and
-seeds the first row of each bucket from the last row of the nearest earlier
-bucket (or the first row of the nearest later one), read off a per-bucket
-``max_by``/``min_by`` table that is partially aggregated before its shuffle.
-The seed table has one row per (key, bucket): small for busy keys, nearly as
-large as the input for keys with a row or less in each bucket.
+a third of all rows.  ``neighbour`` therefore runs over segments of the global
+order (see ``segments``): each (key, segment) is one window partition, and the
+first row of a segment is seeded from the last row of the nearest earlier
+segment of its key (or the last from the first of the nearest later one).
 """
 
 from __future__ import annotations
@@ -19,53 +16,39 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
-from petrograph.operators.buckets import DEFAULT_MAX_ROWS, null_safe_join, with_bucket
-from petrograph.operators.ordering import extreme_row
-from petrograph.operators.timeseries import epoch_us
+from petrograph.operators.ordering import edge_value, extreme_row
+from petrograph.operators.segments import carried, in_segment, joined, summarised, with_segment
 from petrograph.plans.registry import query
 from petrograph.plans.storage import cut_lineage
 from petrograph.sources.tables import read_table
 from petrograph.sources.views import v_price
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], values: list[str],
-              bucket_seconds: int = 3600, direction: str = "prev", prefix: str | None = None,
-              max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
+              direction: str = "prev", prefix: str | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``<prefix><v>`` = value of the previous (next) row of the same key.
 
     Equivalent to ``lag``/``lead`` over ``partitionBy(keys).orderBy(order)``
-    where ``order[0]`` is the timestamp, but the window is partitioned by
-    (keys, time bucket) - hot buckets split further (see ``buckets``) - and
-    the first (last) row of each bucket is seeded from the nearest earlier
-    (later) bucket's edge row.
+    where ``order[0]`` is the timestamp, as a segmented scan.
     """
     if direction not in ("prev", "next"):
         raise ValueError(direction)
-    prefix = prefix or ("prev_" if direction == "prev" else "next_")
-    b = "_nb_bucket"
-    tie = order[1] if len(order) > 1 else None
-    tagged = with_bucket(df.withColumn("_nb_t", epoch_us(order[0])), keys, "_nb_t", bucket_seconds,
-                         max_rows, out=b, tie=tie).drop("_nb_t")
+    back = direction == "prev"
+    prefix = prefix or ("prev_" if back else "next_")
+    rows = with_segment(df, keys, order, partitions)
     vals = F.struct(*[F.col(v) for v in values])
-
-    w = Window.partitionBy(*keys, b).orderBy(*order)
-    near = F.lag(vals).over(w) if direction == "prev" else F.lead(vals).over(w)
-    inner = tagged.withColumn("_nb", near)
-
-    edges = extreme_row(tagged, [*keys, b], order, values, largest=(direction == "prev"))
-    wb = Window.partitionBy(*keys).orderBy(b)
-    seeds = edges.select(*keys, b, (F.lag("_edge").over(wb) if direction == "prev"
-                                    else F.lead("_edge").over(wb)).alias("_seed"))
-
-    joined = null_safe_join(inner, seeds, [*keys, b], "left")
-    filled = F.coalesce(F.col("_nb"), F.col("_seed"))
-    return (joined.select(*df.columns, *[filled[v].alias(prefix + v) for v in values]))
+    near = F.lag(vals) if back else F.lead(vals)
+    inner = rows.withColumn("_near", near.over(in_segment(order))).withColumn("_met", F.count(F.lit(1)).over(in_segment()))
+    edges = summarised(rows, *edge_value(rows, order, values, largest=back))
+    edges = edges.withColumn("_edge", F.struct(*[F.col(f"_x{i}").alias(v) for i, v in enumerate(values)]))
+    filled = F.coalesce(F.col("_near"), F.col("_seed"))
+    return (joined(inner, carried(edges, "_edge", back, "_seed"))
+            .select(*df.columns, *[filled[v].alias(prefix + v) for v in values]))
 
 
 def price_changes(prices: DataFrame) -> DataFrame:
     """absolute = new - prev (2 dp); percentage = (new - prev) / prev * 100 (2 dp),
     both from the unrounded difference; NULL for a series' first tick."""
-    # order timestamps are dates: day buckets
-    with_prev = neighbour(prices, ["price_type"], ["ts", "id"], ["price"], bucket_seconds=86400)
+    with_prev = neighbour(prices, ["price_type"], ["ts", "id"], ["price"])
     diff = F.col("price") - F.col("prev_price")
     return with_prev.select(
         "id", "ts", "price_type", "price", "prev_price",
@@ -148,11 +131,11 @@ def event_previous_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 def debounce(df: DataFrame, key: str, wait_seconds: int, ts: str = "ts", tie: str = "id",
-             max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
+             partitions: int | None = None) -> DataFrame:
     """Keep the last event of each burst: the next event of the key is absent
     or comes ``wait_seconds`` or more later (a call landing before the timer
     fires resets it)."""
-    nxt = neighbour(df, [key], [ts, tie], [ts], direction="next", max_rows=max_rows)
+    nxt = neighbour(df, [key], [ts, tie], [ts], direction="next", partitions=partitions)
     gap_us = F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"next_{ts}"))
     return nxt.where(F.col(f"next_{ts}").isNull() | (gap_us >= wait_seconds * 1_000_000)).drop(f"next_{ts}")
 

@@ -2,12 +2,9 @@
 trailing-window sums.
 
 Both avoid a raw range join (no pairs are emitted) and avoid a window over a
-whole key.  Rows are cut into time buckets (hot ones split further, see
-``buckets``); each bucket is one window partition, and what a bucket needs
-from the buckets before (or after) it is read off a per-bucket summary table
-(one row per key and bucket, partially aggregated before its shuffle).  The
-summary is combined with a window over that table only, whose size follows
-the time span / bucket width, not the row count.
+whole key: they are segmented scans (see ``segments``).  Each (key, segment) is
+one window partition, and what a segment needs from those before (or after)
+it is read off a table of one row per key and segment.
 """
 
 from __future__ import annotations
@@ -15,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrograph.operators.buckets import DEFAULT_MAX_ROWS, null_safe_join, with_bucket
-from petrograph.operators.ordering import encode_order, is_integral, is_primitive
+from petrograph.operators.segments import KEY, SEGMENT, carried, in_segment, joined, summarised, with_segment
 
 
 def epoch_us(ts) -> Column:
@@ -28,8 +24,7 @@ def epoch_us(ts) -> Column:
 
 def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, right_order: list[str],
          values: list[str], keys: list[str] | None = None, direction: str = "backward",
-         bucket_seconds: int = 3600, prefix: str = "asof_",
-         max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
+         prefix: str = "asof_", partitions: int | None = None) -> DataFrame:
     """Attach to every ``left`` row the ``values`` of one ``right`` row of the same ``keys``:
 
     * backward: the latest right row with ``right_ts <= left_ts`` (ties: last in ``right_order``);
@@ -54,68 +49,38 @@ def asof(left: DataFrame, right: DataFrame, *, left_ts: Column, right_ts: str, r
     rt = right.select(*keys, epoch_us(right_ts).alias("_t"), F.lit(r_side).alias("_side"),
                       F.struct(*right_order).alias("_ord"), F.struct(*values).alias("_val"),
                       F.lit(None).cast(lt.schema["_row"].dataType).alias("_row"))
-    # the window orders by (_t, _side, _ord): hot buckets are cut on that order
-    both = with_bucket(lt.unionByName(rt).withColumn("_tie", F.struct("_side", "_ord")), keys, "_t",
-                       bucket_seconds, max_rows, tie="_tie").drop("_tie")
-
-    order = [F.col("_t"), F.col("_side"), F.col("_ord")]
+    order = ["_t", "_side", "_ord"]
+    both = with_segment(lt.unionByName(rt), keys, order, partitions)
     if back:
-        w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        near = F.last("_val", ignorenulls=True).over(w)
-        pick = F.max_by("_val", F.struct("_t", "_ord"))
-        ws = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        seed = F.last("_edge", ignorenulls=True).over(ws)
-    else:
-        w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        near = F.first("_val", ignorenulls=True).over(w)
-        pick = F.min_by("_val", F.struct("_t", "_ord"))
-        ws = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-        seed = F.first("_edge", ignorenulls=True).over(ws)
-
-    # Per-bucket edge row of the right side, plus empty rows for buckets that
-    # only hold left rows, then the nearest earlier (later) bucket's edge.
-    # With (ts, integral id) order and primitive values the edge is a hash
-    # aggregate (see ``ordering``); otherwise max_by/min_by over structs.
-    rside = both.where(F.col("_side") == r_side)
-    val_t = rt.schema["_val"].dataType
-    tie_t = right.schema[right_order[-1]].dataType if len(right_order) == 2 else None
-    if (tie_t is not None and is_integral(tie_t) and right_order[0] == right_ts
-            and all(is_primitive(f.dataType) for f in val_t.fields)):
-        onum = encode_order(F.col("_t"), F.col(f"_ord.{right_order[1]}"))
-        each = F.max_by if back else F.min_by
-        right_edges = (rside.withColumn("_onum", onum).groupBy(*keys, "_b")
-                       .agg(*[each(F.col(f"_val.{f.name}"), F.col("_onum")).alias(f"_x{i}")
-                              for i, f in enumerate(val_t.fields)])
-                       .select(*keys, "_b", F.struct(*[F.col(f"_x{i}").alias(f.name)
-                                                       for i, f in enumerate(val_t.fields)]).alias("_edge")))
+        frame = in_segment(order).rowsBetween(Window.unboundedPreceding, 0)
+        near, pick = F.last("_val", ignorenulls=True).over(frame), F.max_by
     else:
-        right_edges = rside.groupBy(*keys, "_b").agg(pick.alias("_edge"))
-    # buckets holding only left rows join in with a NULL edge (a full outer
-    # join of two per-bucket tables, not a max over structs)
-    left_buckets = both.where(F.col("_side") == l_side).select(*keys, "_b").distinct()
-    edges = null_safe_join(right_edges, left_buckets, [*keys, "_b"], "full")
-    seeds = edges.select(*keys, "_b", seed.alias("_seed"))
-
-    found = (null_safe_join(both.withColumn("_near", near).where(F.col("_side") == l_side), seeds, [*keys, "_b"], "left")
+        frame = in_segment(order).rowsBetween(0, Window.unboundedFollowing)
+        near, pick = F.first("_val", ignorenulls=True).over(frame), F.min_by
+    edge = pick("_val", F.when(F.col("_side") == r_side, F.struct("_t", "_ord")))
+    edges = summarised(both, edge.alias("_edge"))
+    windowed = both.withColumn("_near", near).withColumn("_met", F.count(F.lit(1)).over(in_segment()))
+    found = (joined(windowed.filter(F.col("_side") == l_side), carried(edges, "_edge", back, "_seed"))
              .select("_row", F.coalesce("_near", "_seed").alias("_m")))
     return found.select(*[F.col(f"_row.{c}").alias(c) for c in lcols],
                         *[F.col(f"_m.{v}").alias(prefix + v) for v in values])
 
 
 def trailing_sums(points: DataFrame, events: DataFrame, *, point_id: str, point_ts: str, event_ts: str,
-                  horizon_seconds: int, values: list[str], bucket_seconds: int = 60,
-                  scale: int = 12, max_rows: int | None = DEFAULT_MAX_ROWS) -> DataFrame:
+                  horizon_seconds: int, values: list[str], scale: int = 12,
+                  partitions: int | None = None) -> DataFrame:
     """For each point: ``n_events`` and ``<v>_sum`` over events with ts in (t - H, t].
 
-    Uses prefix sums P(x) = (sum over buckets before x's bucket) + (running
-    sum inside x's bucket up to x), and answers each point with two probes:
-    P(t) - P(t - H).  Sums are carried as DECIMAL(38, scale) so that the
+    Uses prefix sums P(x) = (sum over segments before x's) + (running
+    sum inside x's segment up to x), and answers each point with two probes:
+    P(t) - P(t - H).  Rows at one instant are spread by a hash of all event
+    columns (events) and by the point's id (probes).  Sums are carried as DECIMAL(38, scale) so that the
     difference of two large prefixes is exact.  A value's sum is NULL when
     no event in the window has a non-NULL value (SQL ``sum`` semantics).
     """
     dec = f"decimal(38,{scale})"
     ev = events.select(epoch_us(event_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("_end"),
-                       F.lit(None).cast(points.schema[point_id].dataType).alias("_pid"),
+                       F.xxhash64(*events.columns).alias("_tie"), F.lit(None).cast(points.schema[point_id].dataType).alias("_pid"),
                        F.lit(1).cast("long").alias("_n"),
                        *[F.coalesce(F.col(v).cast(dec), F.lit(0).cast(dec)).alias(f"_s_{v}") for v in values],
                        *[F.col(v).isNotNull().cast("long").alias(f"_c_{v}") for v in values])
@@ -129,22 +94,21 @@ def trailing_sums(points: DataFrame, events: DataFrame, *, point_id: str, point_
                   F.struct((F.col("_hi") - horizon_seconds * 1_000_000).alias("_t"), F.lit("lo").alias("_end")))
               ).alias("_p"), "_pid")
               .select(F.col("_p._t").alias("_t"), F.lit(1).alias("_side"), F.col("_p._end").alias("_end"),
-                      "_pid", *zero))
-    both = with_bucket(ev.unionByName(probes), [], "_t", bucket_seconds, max_rows, tie="_side")
+                      F.xxhash64("_pid").alias("_tie"), "_pid", *zero))
+    both = with_segment(ev.unionByName(probes), [], ["_t", "_side", "_tie"], partitions)
     acc = ["_n", *[f"_s_{v}" for v in values], *[f"_c_{v}" for v in values]]
 
-    # Per-bucket totals -> total of all earlier buckets, for every bucket
-    # that holds events or probes (a window over the small bucket table).
-    totals = both.groupBy("_b").agg(*[F.sum(a).alias(a) for a in acc])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_b", *[F.coalesce(F.sum(a).over(wb), F.lit(0).cast(totals.schema[a].dataType))
-                                   .alias(f"_pre{a}") for a in acc])
-
-    # Running sums inside each bucket; events sort before probes at equal time.
-    w = Window.partitionBy("_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    run = (both.select("_b", "_t", "_side", "_end", "_pid", *[F.sum(a).over(w).alias(a) for a in acc])
-           .where(F.col("_side") == 1)
-           .join(before, "_b", "left"))
+    # Totals of the segments -> total of all earlier segments: a row per partition.
+    totals = summarised(both, *[F.sum(a).alias(a) for a in acc])
+    earlier = Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(KEY, SEGMENT, "_rows", *[F.coalesce(F.sum(a).over(earlier), F.lit(0).cast(totals.schema[a].dataType))
+                                                    .alias(f"_pre{a}") for a in acc])
+
+    # Running sums inside each segment; events sort before probes at equal time.
+    w = in_segment(["_t", "_side", "_tie"]).rowsBetween(Window.unboundedPreceding, 0)
+    run = both.select(KEY, SEGMENT, "_side", "_end", "_pid", *[F.sum(a).over(w).alias(a) for a in acc],
+                      F.count(F.lit(1)).over(in_segment()).alias("_met")).where(F.col("_side") == 1)
+    run = joined(run, F.broadcast(before))     # one row per partition
     sign = F.when(F.col("_end") == "hi", 1).otherwise(-1)
     prefix = run.select("_pid", *[(sign * (F.col(a) + F.col(f"_pre{a}"))).alias(a) for a in acc])
     win = prefix.groupBy("_pid").agg(*[F.sum(a).alias(a) for a in acc])
