@@ -162,12 +162,16 @@ SELECT 'edge', id, '', type, source, target, weight, NULL, NULL, NULL, NULL, NUL
 def graph_elements(spark: SparkSession, d: str) -> DataFrame:
     """Nodes and edges in one element list; payload fields that would clash
     with id/label/type are dropped, a missing label becomes ''."""
-    nodes = graph_nodes_df(spark, d).select(
+    return elements_of(graph_nodes_df(spark, d), graph_edges_df(spark, d))
+
+
+def elements_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    listed = nodes.select(
         F.lit("node").alias("element"), "id", F.coalesce("label", F.lit("")).alias("label"), "type",
         "size", "code", "severity", "immediate", "price")
-    edges = graph_edges_df(spark, d).select(
+    links = edges.select(
         F.lit("edge").alias("element"), "id", F.lit("").alias("label"), "type", "source", "target", "weight")
-    return nodes.unionByName(edges, allowMissingColumns=True)
+    return listed.unionByName(links, allowMissingColumns=True)
 
 
 def effective_weight(w) -> Column:

@@ -201,12 +201,16 @@ SELECT * FROM (
 WHERE contains(lower(text), lower('ERROR'))""")
 def search_entities(spark: SparkSession, d: str, q: str = "ERROR") -> DataFrame:
     """Case-insensitive literal substring search over event titles, country names and the horizon and
-    trend of predictions (as in "24h up")."""
-    ents = (v_event(spark, d).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"),
+    trend of predictions (as in "24h up").  One search scans; many go through ``search.TrigramIndex``."""
+    return entity_texts(spark, d).where(F.lower("text").contains(q.lower()))
+
+
+def entity_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, id, text) of everything that can be searched."""
+    return (v_event(spark, d).select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"),
                                      F.col("title").alias("text"))
             .unionByName(country_dim(spark, d).select(F.lit("country").alias("kind"), "id",
                                                       F.col("name").alias("text")))
             .unionByName(v_prediction(spark, d).select(F.lit("prediction").alias("kind"),
                                                        F.col("id").cast("string").alias("id"),
                                                        F.concat("horizon", F.lit(" "), "trend").alias("text"))))
-    return ents.where(F.lower("text").contains(q.lower()))

@@ -68,9 +68,14 @@ SELECT e.id, e.ts, e.title, {_CODES_SEL}, {_overflow_sql('e.countries')} AS over
 FROM (SELECT * FROM v_event ORDER BY ts DESC, id DESC LIMIT 5) e {_CODES_JOIN}""")
 def event_report(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the 5 most recent events as report rows."""
-    top = top_recent(v_event(spark, d), 5)
-    return (with_country_codes(top, country_dim(spark, d))
-            .select("id", "ts", "title", "codes", overflow("countries").alias("overflow"), "severity",
+    return event_report_of(v_event(spark, d), country_dim(spark, d))
+
+
+def event_report_of(events: DataFrame, countries: DataFrame, n: int = 5) -> DataFrame:
+    """The n most recent events; their description too, where the events have one."""
+    told = ["description"] if "description" in events.columns else []
+    return (with_country_codes(top_recent(events, n), countries)
+            .select("id", "ts", "title", *told, "codes", overflow("countries").alias("overflow"), "severity",
                     X.severity_band("severity").alias("severity_colour"),
                     X.impact_band("immediate").alias("impact_band"),
                     X.pct_text("immediate", 0).alias("impact_pct")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from petrograph.operators.ordering import extreme_row
 from petrograph.plans.registry import query
+from petrograph.plans.snapshots import SnapshotStore
 from petrograph.plans.storage import scratch_path
 from petrograph.sources.views import trend_of, v_country, v_event, v_prediction, v_price
 
@@ -114,9 +115,16 @@ def write_snapshot(frames: dict[str, DataFrame], root: str) -> dict[str, str]:
     return paths
 
 
+def snapshot_store(spark: SparkSession, root: str) -> SnapshotStore:
+    """The entities' versioned snapshots below ``root``, cut by day or month as above."""
+    parts = {name: (col, F.trunc(F.col("ts").cast("date"), unit) if unit == "month" else F.to_date("ts"))
+             for name, (col, unit) in PARTITION_COLUMN.items()}
+    return SnapshotStore(spark, root, parts, MAX_RECORDS_PER_FILE)
+
+
 @query("snapshot_write", "S6", sql=_COUNTS_SQL)
 def snapshot_write(spark: SparkSession, d: str) -> DataFrame:
-    """Write the entity snapshot to the shared folder, return counts read back."""
-    root = scratch_path(spark, "snapshot")
-    paths = write_snapshot(_snapshot_frames(spark, d), root)
-    return _counts(spark, {k: spark.read.parquet(p) for k, p in paths.items()})
+    """Write the entity snapshot to the shared folder; the counts that its manifest gives."""
+    store = snapshot_store(spark, scratch_path(spark, "snapshot"))
+    store.write(_snapshot_frames(spark, d))
+    return store.counts()
