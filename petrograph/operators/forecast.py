@@ -4,7 +4,7 @@ The modelled application names graph neural networks and gradient-boosted
 trees but contains no model.  What is built here is honest about that:
 
 * M1 event features per price tick over the preceding horizon (trailing sums);
-* M2 a fixed, one-hop weighted neighbour mean over the graph - a message
+* M2 a fixed weighted neighbour mean over the graph in two rounds - a message
   passing *feature*, not a learned GNN;
 * M3 ``pyspark.ml`` gradient-boosted trees on those features for the four horizons (the horizon
   is a feature), split by time and scored by rolling origin;
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from petrograph.functions import exprs as X
 from petrograph.functions import sqltext as Q
-from petrograph.operators.graph import effective_weight, graph_edges_df, graph_node_keys, graph_nodes_df
+from petrograph.operators.graph import effective_weight, graph_edges_df, graph_nodes_df, with_nodes
 from petrograph.operators.sequences import neighbour
 from petrograph.operators.timeseries import asof, trailing_sums
 from petrograph.plans.registry import query
@@ -70,41 +70,50 @@ def price_event_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- M2 --------------------------------------------------------------------------------
-def neighbour_mean(nodes: DataFrame, edges: DataFrame, feature: str,
-                   node_ids: DataFrame | None = None) -> DataFrame:
-    """One hop, undirected: h(n) = sum(w * x_m) / sum(w) over neighbours m.
-
-    Only edges whose two endpoints are nodes carry messages.  Each edge is
-    exploded into its two directed messages and joined once, on the sender,
-    to the node features; receivers that are not nodes are dropped by a semi
-    join of the (one row per receiver) result against ``node_ids`` - the same
-    rule, with one feature join instead of two.  Messages are summed with
-    partial aggregation, so the hub node costs one partial row per task; the
-    sender join relies on AQE skew splitting for the hub.
+def neighbour_rounds(nodes: DataFrame, edges: DataFrame, feature: str, rounds: int = 2) -> DataFrame:
+    """node, degree, h1 .. h<rounds>: rounds of the undirected weighted neighbour mean sum(w * x) / sum(w).
+
+    Round 1 averages ``feature`` over a node's neighbours, each further round the round before.  Only edges
+    whose two endpoints are nodes carry messages.
+
+    The graph is cut at its hubs: country and price nodes (26 by the view) are never a shuffle key.  As
+    senders they are broadcast, and their edges go through the event join under keys of their own
+    (``graph.with_nodes``); as receivers they are summed up within each task first, so their
+    reducer gets a row per task.  A round's state, a row per node, is a table that the next one reads.
     """
-    x = nodes.select(F.col("id").alias("_sender"), F.col(feature).alias("x"))
-    e = edges.select("source", "target", effective_weight("weight").alias("w"))
-    msgs = e.select(F.explode(F.array(
-        F.struct(F.col("source").alias("_sender"), F.col("target").alias("node"), "w"),
-        F.struct(F.col("target").alias("_sender"), F.col("source").alias("node"), "w"))).alias("m")).select("m.*")
-    sums = (msgs.join(x, "_sender")
-            .groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
-                                 X.round_fixed(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9).alias("h1")))
-    ids = (nodes if node_ids is None else node_ids).select(F.col("id").alias("node"))
-    return sums.join(ids, "node", "left_semi")
+    e = edges.select("id", "source", "target", effective_weight("weight").alias("w"))
+    state, out = nodes.select("id", F.col(feature).alias("x")), None
+    for r in range(1, rounds + 1):
+        ends = with_nodes(with_nodes(e, "source", state, {"x": "xs"}), "target", state, {"x": "xt"})
+        if r == 1:
+            # Edges without two nodes are gone from here on.
+            ends = cut_lineage(ends)
+            e = ends.select("id", "source", "target", "w")
+        sent = ends.select(F.inline(F.array(
+            F.struct(F.col("target").alias("node"), "w", F.col("xs").alias("x")),
+            F.struct(F.col("source").alias("node"), "w", F.col("xt").alias("x")))))
+        mean = sent.groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
+                                        X.round_fixed(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 9).alias(f"h{r}"))
+        mean = cut_lineage(mean) if r < rounds else mean
+        state = mean.select(F.col("node").alias("id"), F.col(f"h{r}").alias("x"))
+        out = mean if out is None else out.join(mean.drop("degree"), "node")
+    return out
+
+
+_MESSAGES_SQL = """SELECT e.target AS node, e.w, s.{x} AS x FROM e JOIN {t} s ON s.{k} = e.source JOIN {t} d ON d.{k} = e.target
+      UNION ALL SELECT e.source, e.w, d.{x} FROM e JOIN {t} s ON s.{k} = e.source JOIN {t} d ON d.{k} = e.target"""
 
 
 @query("neighbour_aggregate", "M2", sql=f"""
-WITH x AS (SELECT id, size AS x FROM g_nodes),
-e AS (SELECT source, target, {Q.or_default('weight', 0.5)} AS w FROM g_edges),
-j AS (SELECT e.source, e.target, e.w, xs.x AS xs, xt.x AS xt FROM e JOIN x xs ON xs.id = e.source
-      JOIN x xt ON xt.id = e.target),
-m AS (SELECT target AS node, w, xs AS x FROM j UNION ALL SELECT source, w, xt FROM j)
-SELECT node, count(*) AS degree, {Q.round_fixed('sum(w * x) / sum(w)', 9)} AS h1 FROM m GROUP BY node""")
+WITH e AS (SELECT source, target, {Q.or_default('weight', 0.5)} AS w FROM g_edges),
+m1 AS ({_MESSAGES_SQL.format(x='size', t='g_nodes', k='id')}),
+h1 AS (SELECT node, count(*) AS degree, {Q.round_fixed('sum(w * x) / sum(w)', 9)} AS h1 FROM m1 GROUP BY node),
+m2 AS ({_MESSAGES_SQL.format(x='h1', t='h1', k='node')}),
+h2 AS (SELECT node, {Q.round_fixed('sum(w * x) / sum(w)', 9)} AS h2 FROM m2 GROUP BY node)
+SELECT h1.node, degree, h1, h2 FROM h1 JOIN h2 USING (node)""")
 def neighbour_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted neighbour mean of node size (a fixed message-passing feature)."""
-    return neighbour_mean(graph_nodes_df(spark, d), graph_edges_df(spark, d), "size",
-                          node_ids=graph_node_keys(spark, d))
+    """Two rounds of the weighted neighbour mean of node size (a fixed message-passing feature)."""
+    return neighbour_rounds(graph_nodes_df(spark, d), graph_edges_df(spark, d), "size")
 
 
 # -- current / realised prices -------------------------------------------------------------
@@ -192,11 +201,11 @@ def labelled(features: DataFrame, ticks: DataFrame, horizons: dict[str, int] | N
     beyond the type's last tick isn't known and NULL.
     """
     horizons = horizons or HORIZON_SECONDS
-    asked = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("horizon_s"))
+    asked = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).cast("long").alias("horizon_s"))
                                 for h, s in horizons.items()])).alias("h")
     rows = features.select("*", asked).select(*features.columns, "h.horizon", "h.horizon_s")
     prices = ticks.select("id", "ts", "price_type", F.col("price").alias("label"))
-    due = F.timestamp_add("SECOND", F.col("horizon_s"), F.col("ts"))
+    due = F.timestamp_add("SECOND", F.col("horizon_s").cast("int"), F.col("ts"))
     found = asof(rows, prices, left_ts=due, right_ts="ts", right_order=["ts", "id"], values=["label"],
                  keys=["price_type"], prefix="")
     # One row per price type, of which the view has three.
