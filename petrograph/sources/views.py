@@ -71,8 +71,13 @@ def v_event(spark: SparkSession, d: str) -> DataFrame:
 
 def event_view(e: DataFrame) -> DataFrame:
     """Events table (batch or streaming) -> geopolitical-event rows."""
+    return e.select(*event_columns())
+
+
+def event_columns() -> list:
+    """The event's columns over a row of the events table."""
     et, v = F.col("event_type"), F.col("value")
-    return e.select(
+    return [
         F.col("event_id").alias("id"),
         "ts",
         F.concat(et, F.lit(" event #"), F.col("event_id").cast("string")).alias("title"),
@@ -84,7 +89,7 @@ def event_view(e: DataFrame) -> DataFrame:
         (F.lit(1.0) - 2 * v / 500).alias("sentiment"),
         F.when(et == "view", F.lit(None).cast("double")).otherwise(v / 500).alias("immediate"),
         event_countries(F.col("event_id"), F.col("user_id")).alias("countries"),
-    )
+    ]
 
 
 def price_type_of_priority(p):
@@ -106,10 +111,17 @@ def v_tick(spark: SparkSession, d: str) -> DataFrame:
 
 def tick_view(e: DataFrame) -> DataFrame:
     """Events table (batch or streaming) -> price ticks."""
+    return e.where(is_tick()).select(*tick_columns())
+
+
+def is_tick():
+    return F.col("event_type") == "signup"
+
+
+def tick_columns() -> list:
     u = F.col("user_id") % 3
-    return (e.where(F.col("event_type") == "signup")
-            .select(F.col("event_id").alias("id"), "ts", (50 + F.col("value") / 10).alias("price"),
-                    F.when(u == 0, "WTI").when(u == 1, "Brent").otherwise("Dubai").alias("price_type")))
+    return [F.col("event_id").alias("id"), F.col("ts"), (50 + F.col("value") / 10).alias("price"),
+            F.when(u == 0, "WTI").when(u == 1, "Brent").otherwise("Dubai").alias("price_type")]
 
 
 def _horizon(event_id):
@@ -123,17 +135,22 @@ def trend_of(v):
 
 
 def v_prediction(spark: SparkSession, d: str, nested: bool = False) -> DataFrame:
-    e = (read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
-         .where(F.col("event_type") == "purchase"))
-    v = F.col("value")
-    k = F.get_json_object("props", "$.k").cast("int")
-    cols = [F.col("event_id").alias("id"), "ts", _horizon(F.col("event_id")).alias("horizon"),
+    e = read_table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return e.where(is_prediction()).select(*prediction_columns(nested))
+
+
+def is_prediction():
+    return F.col("event_type") == "purchase"
+
+
+def prediction_columns(nested: bool) -> list:
+    """The prediction's columns over a row of the events table."""
+    v, k = F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    cols = [F.col("event_id").alias("id"), F.col("ts"), _horizon(F.col("event_id")).alias("horizon"),
             v.alias("price"), (v / 500).alias("confidence"),
             trend_of(v).alias("trend"),
             k.alias("k")]
-    if not nested:
-        return e.select(*cols)
-    return e.select(*cols, *prediction_nested_cols(F.col("event_id"), F.col("user_id"), k))
+    return [*cols, *prediction_nested_cols(F.col("event_id"), F.col("user_id"), k)] if nested else cols
 
 
 def prediction_nested_cols(event_id, user_id, k):
@@ -155,20 +172,26 @@ def prediction_nested_cols(event_id, user_id, k):
 def v_country_event_edge(spark: SparkSession, d: str) -> DataFrame:
     """Membership edges country -> event (duplicates kept, weight 0 occurs)."""
     ev = v_event(spark, d).select("id", F.posexplode("countries").alias("pos", "country"))
-    return ev.select(
-        F.concat(F.lit("ce:"), F.col("id").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("id"),
-        F.concat(F.lit("c:"), F.col("country")).alias("source"),
-        F.concat(F.lit("e:"), F.col("id").cast("string")).alias("target"),
-        (F.col("id") % 101 / F.lit(100.0)).alias("weight"),
-        F.when(F.col("id") % 2 == 0, "causation").otherwise("correlation").alias("type"))
+    return ev.select(*country_edge_columns(F.col("id"), F.col("pos"), F.col("country")))
+
+
+def country_edge_columns(event_id, pos, country) -> list:
+    return [F.concat(F.lit("ce:"), event_id.cast("string"), F.lit(":"), pos.cast("string")).alias("id"),
+            F.concat(F.lit("c:"), country).alias("source"),
+            F.concat(F.lit("e:"), event_id.cast("string")).alias("target"),
+            (event_id % 101 / F.lit(100.0)).alias("weight"),
+            F.when(event_id % 2 == 0, "causation").otherwise("correlation").alias("type")]
 
 
 def v_event_price_edge(spark: SparkSession, d: str) -> DataFrame:
     """event -> the single current-price node; weight = immediate impact."""
     ev = v_event(spark, d).where(F.col("immediate").isNotNull())
-    return ev.select(
-        F.concat(F.lit("pe:"), F.col("id").cast("string")).alias("id"),
-        F.concat(F.lit("e:"), F.col("id").cast("string")).alias("source"),
-        F.lit("p:current").alias("target"),
-        F.col("immediate").alias("weight"),
-        F.lit("influence").alias("type"))
+    return ev.select(*price_edge_columns(F.col("id"), F.col("immediate")))
+
+
+def price_edge_columns(event_id, immediate) -> list:
+    return [F.concat(F.lit("pe:"), event_id.cast("string")).alias("id"),
+            F.concat(F.lit("e:"), event_id.cast("string")).alias("source"),
+            F.lit("p:current").alias("target"),
+            immediate.alias("weight"),
+            F.lit("influence").alias("type")]
