@@ -59,14 +59,24 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Spans of so many bytes are hashed one by one: a polynomial modulo 2**64 maps some pairs of long words to one
+#: value whatever its base (from about 512 bytes on; far shorter words can't be such a pair).
+LONG_SPAN = 128
+
+
 def span_hash(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever the span lies."""
+    from xxhash import xxh3_64_intdigest
+
     if not len(begin):
         return np.empty(0, dtype=np.uint64)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_SYMBOL[raw] * down[:len(raw)], out=total[1:])
-    return mix((total[end] - total[begin]) * up[begin] + (end - begin).astype(np.uint64))
+    out = mix((total[end] - total[begin]) * up[begin] + (end - begin).astype(np.uint64))
+    for i in np.flatnonzero(end - begin >= LONG_SPAN):
+        out[i] = xxh3_64_intdigest(raw[begin[i]:end[i]].tobytes())
+    return out
 
 
 def word_ids(raw: np.ndarray) -> np.ndarray:
