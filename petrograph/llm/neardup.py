@@ -48,7 +48,7 @@ MOST_BITS = 98
 #: The same for the wide sketch of the last round: 1024 samples in 2048 bits, 403 expected with a deviation of 22.
 WIDE_SAMPLES, WIDE_BITS, WIDE_MOST = 1024, 2048, 508
 #: Rounds of the rest step: closest candidates that a class has confirmed in each; the last has no limit.
-ROUNDS = (4, 32, None)
+ROUNDS = (4, 8, None)
 #: Members of a bucket compared with each other at once.
 BLOCK = 512
 
@@ -88,9 +88,14 @@ def odd_sketch(low: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
+def band_marks(bands: np.ndarray) -> np.ndarray:
+    """16 bits of each band key, four to a 64-bit value: enough to tell, mostly, which band two documents share first."""
+    return (bands & 0xFFFF).astype(np.uint16).view(np.int64)
+
+
 PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()),
-                     ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-PROFILE_DDL = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"
+                     ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+PROFILE_DDL = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, marks array<bigint>, sketch array<bigint>"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +107,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = shingles(text)
             if len(grams):
                 low = minhashes(grams)
-                rows.append((doc_id, len(grams), xxhash.xxh3_128_digest(grams.tobytes()), band_keys(low),
+                bands = band_keys(low)
+                rows.append((doc_id, len(grams), xxhash.xxh3_128_digest(grams.tobytes()), bands, band_marks(bands),
                              odd_sketch(low)))
             else:
-                rows.append((doc_id, 0, None, None, None))
-        yield batch(PROFILE, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)
+                rows.append((doc_id, 0, None, None, None, None))
+        yield batch(PROFILE, [list(c) for c in zip(*rows, strict=True)] or [[]] * 6)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +169,8 @@ def _rest(limit: int | None, most: int):
             ids, labels, sides = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), np.array(sides)
             units, keys, late = np.array(units, dtype=np.int64), np.array(keys, dtype=np.int64), np.array(late)
             bands = np.array(bands, dtype=np.int64).reshape(len(ids), -1)
+            if limit:
+                bands, keys = bands.view(np.uint16), (keys & 0xFFFF).astype(np.uint16)
             cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(sides) != 0)) + 1
             for s in np.split(np.arange(len(ids)), cuts):
                 if sides[s[0]] == 0:
@@ -183,11 +191,13 @@ def _rest(limit: int | None, most: int):
                     else:
                         x, y = np.divmod(np.arange(far.size), len(t))
                     good = far[x, y] <= most
-                    if not limit:              # a pair comes from one side and from the first bucket it shares only
+                    if not limit:              # a pair comes from one side only
                         good &= ~late[t][y] | (block[0][x] < ids[t][y])
-                        x, y = x[good], y[good]
-                        shared = block[3][x] == bands[t][y]
-                        good = block[3][x, shared.argmax(axis=1)] == keys[t][y]
+                    # A pair comes from the first bucket it shares only.  A class's closest ones are among the
+                    # closest in any bucket that they share with it, so none is left out by that.
+                    x, y = x[good], y[good]
+                    shared = block[3][x] == bands[t][y]
+                    good = block[3][x, shared.argmax(axis=1)] == keys[t][y]
                     x, y = x[good], y[good]
                     if len(x):
                         yield batch(out, [pa.array(block[0][x]), pa.array(ids[t][y]), pa.array(far[x, y])])
@@ -208,7 +218,7 @@ def rest_pairs(members: DataFrame, limit: int | None, nodes: DataFrame, sets: Da
             .filter("lead <> top").select("key", "lead"))
     inside = members.join(lead, "key")
     if limit:
-        sketches = nodes.select("id", "sketch", F.array().cast("array<bigint>").alias("bands"))
+        sketches = nodes.select("id", "sketch", F.col("marks").alias("bands"))
     else:
         wide = saved(sets.join(inside.select("id").distinct(), "id", "left_semi")
                      .mapInArrow(_wide, "id bigint, sketch array<bigint>"), "wide")
@@ -242,7 +252,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                     .agg(F.min("doc_id").alias("id")), "classes")
     nodes = saved(profile.join(classes, (profile["doc_id"] == classes["id"])
                                & (profile["set_key"] == classes["set_key"]))
-                  .select("id", "bands", "sketch").dropDuplicates(["id", "sketch"]), "nodes")
+                  .select("id", "bands", "marks", "sketch").dropDuplicates(["id", "sketch"]), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")) \
         .filter("lead <> top").select("key", "lead")
