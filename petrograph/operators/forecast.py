@@ -187,7 +187,7 @@ def forecast_accuracy(spark: SparkSession, d: str) -> DataFrame:
 # -- M3 / M5 ---------------------------------------------------------------------------------
 FEATURES = ["price", "prev_price", "n_events", "impact_sum", "sentiment_sum", "type_idx", "horizon_hours"]
 #: Quantiles of tick time at which the folds' test periods begin; each ends where the next begins.
-FOLD_STARTS = (0.4, 0.6, 0.8)
+FOLD_STARTS = (0.5, 0.75)
 
 
 def _at(ts: str = "ts") -> F.Column:
