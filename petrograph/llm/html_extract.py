@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every element of a page's tree is a binary variable, content or not.  Its own potential comes from
-its tag, the words of its class, id and role, the kinds of its ancestors, the length of its text
-and the share of it in links; each parent and child share a potential for agreeing, one for each
+its tag, the words of its class, id and role, the kinds of its ancestors, the length of its text,
+the share of it in links, its sentence ends and whether a heading came before; each parent and child share a potential for agreeing, one for each
 kind of child.  Sum-product messages go up the tree and down again and give each element's exact
 marginal; text whose element is more likely content than not is kept.
 
@@ -57,6 +57,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set())}
 
 _TOKEN = re.compile(r"[a-z]+")
+_ENDS = re.compile(r"[.!?…。！？](?=\s|$)")
 _MARKED = ("class", "id", "role", "itemprop")
 #: Words of class, id and role, by what they stand for.
 HINTS = {w: kind for kind, ws in {
@@ -65,7 +66,7 @@ HINTS = {w: kind for kind, ws in {
     "edge": "header footer masthead copyright contentinfo colophon banner",
     "side": "sidebar side aside widget widgets related recommended complementary rail",
     "notice": "cookie cookies consent gdpr notice popup modal overlay alert privacy banner subscribe newsletter signup",
-    "reply": "comment comments reply replies disqus discussion respond",
+    "reply": "comment comments reply replies disqus discussion respond responses remarks remark feedback thread",
     "share": "share sharing social follow",
     "form": "form search login",
     "main": "article content main post entry story body text",
@@ -83,6 +84,7 @@ class Tree(HTMLParser):
         self.tags, self.parents, self.attrs = ["#root"], [-1], [{}]
         self.text: list[tuple[int, str] | None] = []   # (element, text), or None for a block break
         self.stack, self.open = [0], ["#root"]         # open elements and their tags
+        self.depths: dict[str, list[int]] = {}         # where in the stack each tag is open, outermost first
         self.unseen = self.foreign = 0
         self.feed(html)
         self.close()
@@ -92,20 +94,19 @@ class Tree(HTMLParser):
         while len(self.stack) > depth:
             tag = self.open.pop()
             self.stack.pop()
+            self.depths[tag].pop()
             self.unseen -= tag in UNSEEN
             self.foreign -= tag in FOREIGN
             if tag in BLOCKS:
                 self.text.append(None)
 
     def find(self, tags: set | frozenset, bounds: set | frozenset = frozenset()) -> int:
-        """Depth of the innermost open element with one of the tags; 0 if a bound comes first."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.open[depth]
-            if tag in tags:
-                return depth
-            if tag in bounds:
-                return 0
-        return 0
+        """Depth of the innermost open element with one of the tags; 0 if a bound comes first.
+
+        Looks at each tag's last place, so it takes the same time however deep the page is.
+        """
+        found = max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+        return found if all(not self.depths.get(t) or self.depths[t][-1] < found for t in bounds - tags) else 0
 
     def in_foreign(self) -> int:
         """Depth of the drawing or formula that the next tag belongs to; 0 if it is HTML."""
@@ -139,6 +140,7 @@ class Tree(HTMLParser):
             self.parents.append(self.stack[-1])
             self.attrs.append(dict(attrs))
             self.stack.append(len(self.tags) - 1)
+        self.depths.setdefault(tag, []).append(len(self.open))
         self.open.append(tag)
         self.unseen += tag in UNSEEN
         self.foreign += tag in FOREIGN
@@ -192,32 +194,37 @@ def passed_on(tag: str, marks: frozenset, around: frozenset) -> frozenset:
 
 
 @remembered(100_000)
-def names(tag: str, marks: frozenset, around: frozenset, size: int, links: int) -> tuple[str, ...]:
+def names(tag: str, marks: frozenset, around: frozenset, size: int, links: int, ends: int, place: str) -> tuple[str, ...]:
     """The names of the features of an element."""
     return ("bias", "tag:" + (tag if tag in TAGS else "other"), *("hint:" + m for m in sorted(marks)),
-            *("in:" + a for a in sorted(around)), f"size:{size}", f"links:{links}")
+            *("in:" + a for a in sorted(around)), *("mute in:" + a for a in sorted(around) if not ends), f"size:{size}", f"links:{links}", f"ends:{ends}", place)
 
 
 def features(tree: Tree) -> list[tuple[str, ...]]:
     """The names of each element's features."""
     n = len(tree.tags)
-    total, linked = [0] * n, [0] * n
+    total, linked, ends = [0] * n, [0] * n, [0] * n
     for piece in tree.text:
         if piece:
             total[piece[0]] += len(piece[1])
+            ends[piece[0]] += len(_ENDS.findall(piece[1]))
+    # Before, among or after the page's headings; without any heading, nowhere.
+    first = next((i for i, t in enumerate(tree.tags) if t in ("h1", "h2")), n)
     tags, parents = tree.tags, tree.parents
     for i in range(n - 1, 0, -1):
         if tags[i] == "a":
             linked[i] = total[i]
         total[parents[i]] += total[i]
         linked[parents[i]] += linked[i]
+        ends[parents[i]] += ends[i]
     out, above, none = [], [frozenset()] * n, frozenset()
     for i, tag in enumerate(tags):
         attrs = tree.attrs[i]
         marks = hints(" ".join([attrs.get(k) or "" for k in _MARKED])) if attrs else none
         around = above[parents[i]] if i else none
         out.append(names(tag, marks, around, min((total[i] // 8 + 1).bit_length() - 1, 8),
-                         4 * linked[i] // total[i] if total[i] else -1))
+                         4 * linked[i] // total[i] if total[i] else -1, min(ends[i], 3).bit_length(),
+                         "place:none" if first == n else "place:before" if i < first else "place:after"))
         above[i] = passed_on(tag, marks, around)
     return out
 

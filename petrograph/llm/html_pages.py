@@ -55,6 +55,24 @@ SKELETONS = (
     + "</div><div data-not class='advertisement'>{11}</div><p>{9} <em>{2}</em> <a href='/z'>{3}</a></p><ul data-not "
     "class='related'><li><a href='/g'>{4}</a></li><li><a href='/h'>{5}</a></li></ul></article><section id='comments'>"
     "<p>{24}</p><p>{3}</p></section><footer>{5}</footer></body></html>",
+    # Without telling names: bare bodies, nested boxes, tables for layout, a page inside one form.
+    "<html><head><title>{3}</title></head><body data-main><h1>{5}</h1><p>{25}</p><p>{18}</p><p>{30}</p></body></html>",
+    _HEAD.replace("<body>", "<body data-main>") + "<div data-not>" + _MENU + "</div><h1>{4}</h1><p>{32}</p><h2>{2}</h2><p>{20}</p>"
+    "<ul><li>{7}</li><li>{9}</li></ul><footer data-not>{6}</footer></body></html>",
+    _HEAD + "<div class='wrap'><div class='col' data-main><h1>{5}</h1><p>{28}</p><p>{22}</p></div><div class='col'><h4>{2}</h4>"
+    + _MENU + "</div></div><div class='bottom'><p>{4} <a href='/i'>{2}</a></p></div></body></html>",
+    _HEAD + "<div class='outer'><div class='inner'><div class='box' data-main><h1>{6}</h1><div><p>{30}</p><p>{14}</p></div></div></div>"
+    "</div></body></html>",
+    _HEAD + "<table><tr><td>" + _MENU + "</td><td data-main><h1>{5}</h1><p>{26}</p><p>{31}</p></td></tr><tr><td>{2}</td><td>"
+    "<a href='/y'>{1}</a></td></tr></table></body></html>",
+    _HEAD + "<article data-main><h1>{6}</h1><p>{33}</p><p>{21}</p><div class='remarks' data-not><h3>{1}</h3><div><b>{1}</b><p>{12}</p>"
+    "</div><div><b>{1}</b><p>{7}</p></div></div></article><footer>{5}</footer></body></html>",
+    _HEAD + "<main data-main><h1>{5}</h1><p>{24}</p><form data-not><label>{2}</label><p>{6}</p><input></form><p>{29}</p></main>"
+    "<footer>{7}</footer></body></html>",
+    _HEAD + "<article data-main><h2>{4}</h2><p>{22}</p><p>{35}</p><form data-not><p>{3}</p><input><p>{4}</p><div>{8}</div></form>"
+    "</article></body></html>",
+    _HEAD + "<form action='/page' id='aspnet'><div>" + _MENU + "</div><div data-main><h1>{5}</h1><p>{27}</p><p>{19}</p></div>"
+    "<div class='footer'>{6}</div></form></body></html>",
 )
 
 
