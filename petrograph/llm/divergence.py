@@ -7,12 +7,13 @@ divergence of p from q at a term is floor((p - q)^2 / q).  All of it is integer
 
 Strings are materialized late:
 
-1. One pass counts the terms of each task's documents.  A term travels as its 64-bit digest; the string
-   stays behind in the saved counts.
-2. Digests with enough documents in some language are candidates.  Only their strings are looked at: the
-   smallest and the largest string of a digest.  Where these differ, several terms share the digest and
-   it is split: those terms, and no others, carry their string beside the digest from there on.
-3. Counts are summed by (lang, term) and source in one shuffle of digests, which also settles V and N.
+1. One pass counts the terms of each task's documents: a row per language and term, with its string
+   and the counts of its sources.  Only the 64-bit digest of the term and the counts are shuffled, once,
+   to be summed by source and by language, which also settles V and N; the strings stay behind.
+2. Of the digests kept, the strings are looked at: the smallest and the largest of each digest.  Where they
+   differ, several terms share the digest and it is split: a second pass counts the terms of such
+   digests alone, and these carry their string from there on.  (Without such digests there is none.)
+3. The terms of split digests are summed and judged one by one, in place of their digest.
 4. ``term``: each group's highest values are found on digests, with all ties at the border; only
    these rows meet their strings, which decide the ties.
 5. ``pair``: the sum over all V terms is put together without touching a term that neither source has,
@@ -40,9 +41,9 @@ from pyspark.sql import functions as F
 from petrograph.llm.common import batch, columns, discard, likely_among, saved
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
-#: Distinct terms a task counts before it hands them on; kept entries looked at together.
-TERMS_HELD, ENTRIES_HELD, CELLS = 300_000, 100_000, 1 << 21
-#: Split digests up to this many are broadcast (8 bytes each); beyond it they are joined in a shuffle.
+#: Distinct (group, term) counts of a task before it hands them on; kept entries looked at together.
+TERMS_HELD, ENTRIES_HELD, CELLS = 500_000, 100_000, 1 << 21
+#: Split digests up to this many are sent to the tasks (8 bytes each); beyond it they are joined in a shuffle.
 FEW = 100_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -53,30 +54,59 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()),
-                    ("n", pa.int64()), ("docs", pa.int64())])
+ENTRY = pa.struct([("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("digest", pa.int64()), ("word", pa.string()), ("entries", pa.list_(ENTRY))])
+COUNTS_DDL = "lang string, digest bigint, word string, entries array<struct<source: string, n: bigint, docs: bigint>>"
+#: Rows of a batch that is handed on.
+OUT_ROWS = 50_000
 
 
-def counting(bits: int):
-    """Counts by (lang, source, term) of a task's documents; digests of ``bits`` bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+def digests(names: list[bytes], bits: int) -> np.ndarray:
+    """64-bit hashes of the terms, cut to their first ``bits`` bits."""
+    from xxhash import xxh3_64_intdigest
+
+    whole = np.fromiter(map(xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
+    return (whole >> np.uint64(64 - bits)).view(np.int64)
 
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+def counting(bits: int, only: np.ndarray | None = None):
+    """Counts by language, term and source of a task's documents; digests of ``bits`` bits, of ``only`` if given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs) in held.items():
-                hashed = np.fromiter(map(xxh3_64_intdigest, n), dtype=np.uint64, count=len(n))
-                yield batch(COUNTS, [[lang] * len(n), [source] * len(n),
-                                     pa.array((hashed >> np.uint64(64 - bits)).view(np.int64)),
-                                     [t.decode("utf-8", "surrogatepass") for t in n],
-                                     list(n.values()), [docs[t] for t in n]])
+            for lang, sources in held.items():
+                names = list(set().union(*(n for n, _ in sources.values())))
+                digest = digests(names, bits)
+                if only is not None:
+                    keep = np.flatnonzero(np.isin(digest, only))
+                    names, digest = [names[i] for i in keep.tolist()], digest[keep]
+                if not names:
+                    continue
+                place = {t: i for i, t in enumerate(names)}
+                at, code, ns, ds = [], [], [], []
+                for c, (n, docs) in enumerate(sources.values()):
+                    mine = n if only is None else [t for t in n if t in place]
+                    at.append(np.fromiter(map(place.__getitem__, mine), np.int64, len(mine)))
+                    code.append(np.full(len(mine), c, dtype=np.int32))
+                    ns.append(np.fromiter(map(n.__getitem__, mine), np.int64, len(mine)))
+                    ds.append(np.fromiter(map(docs.__getitem__, mine), np.int64, len(mine)))
+                rows = np.concatenate(at)
+                order = np.argsort(rows, kind="stable")
+                source = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(code)[order]), pa.array(list(sources), pa.string()))
+                entry = pa.StructArray.from_arrays([source.cast(pa.string()), pa.array(np.concatenate(ns)[order]),
+                                                    pa.array(np.concatenate(ds)[order])], fields=list(ENTRY))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(names))))).astype(np.int32)
+                whole = batch(COUNTS, [pa.repeat(pa.scalar(lang, pa.string()), len(names)), pa.array(digest),
+                                       pa.array(names, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends), entry)])
+                for begin in range(0, len(names), OUT_ROWS):
+                    yield whole.slice(begin, OUT_ROWS)
             held.clear()
 
         size = 0
         for b in batches:
             for lang, source, text in zip(*columns(b, "lang", "source", "text"), strict=True):
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                n, docs = held.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
                 found = terms(text)
                 size -= len(n)
                 n.update(found)
@@ -100,35 +130,44 @@ def share(count: str, total: str, size: str) -> Column:
                   f" div cast(nullif({total} + {size}, 0) AS decimal(20,0))").cast("bigint")
 
 
-def kept_counts(documents: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, digest, split, n, total, first) of the kept terms, and (digest, word) of unsplit digests.
-
-    split is '' or, where terms share a digest, the term; total is the language's count of the term;
-    first marks one source of each term.
-    """
-    docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = saved(docs.mapInArrow(counting(bits), "lang string, source string, digest bigint, term string, n bigint, "
-                                   "docs bigint"), "terms")
-    candidates = (counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
-                  .filter(F.col("docs") >= min_docs).select("digest").distinct())
-    words = saved(likely_among(counts.select("digest", "term"), "digest", candidates).groupBy("digest")
-                  .agg(F.min("term").alias("word"), F.max("term").alias("last")), "words")
-    shared = words.filter("word <> last").select(F.col("digest").alias("_d"))
-    shared = F.broadcast(shared) if shared.count() <= FEW else shared
-    split = F.when(F.col("_d").isNull(), F.lit("")).otherwise(F.col("term"))
-    tagged = (counts.join(shared, F.col("digest") == F.col("_d"), "left")
-              .select("lang", "source", "digest", split.alias("split"), "n", "docs"))
+def summed(counts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, digest, split, n, total, first) of terms with enough documents, from rows of counts with split."""
     # Dealt by term alone: the sums by source and the sums by term need no further shuffle.
     by_term = W.partitionBy("lang", "digest", "split")
-    kept = (tagged.repartition("lang", "digest", "split").groupBy("lang", "digest", "split", "source")
-            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    each = (counts.select("lang", "digest", "split", "entries").repartition("lang", "digest", "split")
+            .select("lang", "digest", "split", F.inline("entries")))
+    return (each.groupBy("lang", "digest", "split", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
             .withColumn("_docs", F.sum("docs").over(by_term)).withColumn("total", F.sum("n").over(by_term))
             .withColumn("first", F.col("source") == F.min("source").over(by_term))
             .filter(F.col("_docs") >= min_docs)
             .select("lang", "source", "digest", "split", "n", "total", "first"))
-    out = saved(kept, "kept")
+
+
+def kept_counts(documents: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, digest, split, n, total, first) of the kept terms, and (digest, split, word).
+
+    split is '' or, where terms share a digest, the term; total is the language's count of the term;
+    first marks one source of each term.
+    """
+    docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    counts = saved(docs.mapInArrow(counting(bits), COUNTS_DDL), "terms")
+    # A digest has at least as many documents as any of its terms, so no kept term is missed here.
+    kept = saved(summed(counts.withColumn("split", F.lit("")), min_docs), "kept")
+    spelt = saved(likely_among(counts.select("digest", "word"), "digest", kept.filter("first").select("digest"))
+                  .groupBy("digest").agg(F.min("word").alias("word"), F.max("word").alias("last")), "words")
     discard(counts)
-    return out, words
+    shared = spelt.filter("word <> last").select("digest")
+    words = spelt.filter("word = last").select("digest", F.lit("").alias("split"), "word")
+    n_shared = shared.count()
+    if n_shared:
+        few = n_shared <= FEW       # the list is 8 bytes a digest; beyond that it stays a table
+        only = np.array([r["digest"] for r in shared.collect()], dtype=np.int64) if few else None
+        shared = F.broadcast(shared) if few else shared
+        again = saved(docs.mapInArrow(counting(bits, only), COUNTS_DDL).join(shared, "digest", "left_semi"), "split")
+        again = again.withColumn("split", F.col("word"))
+        kept = saved(kept.join(shared, "digest", "left_anti").select(*kept.columns).unionByName(summed(again, min_docs)), "kept")
+        words = words.unionByName(again.select("digest", "split", "word").distinct())
+    return kept, words
 
 
 def groups(documents: DataFrame, kept: DataFrame) -> DataFrame:
@@ -157,8 +196,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
         return batch(BOTH, [list(c) for c in zip(*rows, strict=True)])
 
-    def add(lang: str, term: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
-        names, at = np.unique(source, return_inverse=True)
+    def add(lang: str, every: list[str], term: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
+        codes, at = np.unique(source, return_inverse=True)
+        names = [every[c] for c in codes]
         base = np.zeros(len(names), dtype=np.int64)
         base[at] = p0
         step = max(1, CELLS // len(names))
@@ -175,18 +215,20 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 met = (rows > 0).any(axis=0)
                 for h in np.flatnonzero(met):
                     if h != g:
-                        total = sums.setdefault((lang, str(name), str(names[h])), [0, 0])
+                        total = sums.setdefault((lang, name, names[h]), [0, 0])
                         total[0] += int((f[:, h] >> 32).sum())
                         total[1] += int((f[:, h] & 0xFFFFFFFF).sum())
 
     def whole(t: pa.Table) -> None:
-        lang, digest, split = (t.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "digest", "split"))
+        coded = {c: t.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source")}
+        lang, source = (coded[c].indices.to_numpy() for c in ("lang", "source"))
+        names = {c: coded[c].dictionary.to_pylist() for c in coded}
+        digest, split, p, p0 = (t.column(c).to_numpy() for c in ("digest", "split", "p", "p0"))
         new = np.ones(len(lang), dtype=bool)
         new[1:] = (digest[1:] != digest[:-1]) | (lang[1:] != lang[:-1]) | (split[1:] != split[:-1])
         edge = np.flatnonzero(np.concatenate(([True], lang[1:] != lang[:-1], [True])))
-        source, p, p0 = (t.column(c).to_numpy(zero_copy_only=False) for c in ("source", "p", "p0"))
         for a, z in zip(edge[:-1], edge[1:], strict=True):
-            add(lang[a], np.cumsum(new[a:z]) - 1, source[a:z].astype(str), p[a:z], p0[a:z])
+            add(names["lang"][lang[a]], names["source"], np.cumsum(new[a:z]) - 1, source[a:z], p[a:z], p0[a:z])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -244,8 +286,7 @@ def term_values(entries: DataFrame, words: DataFrame, top: int = TOP) -> DataFra
     group = W.partitionBy("lang", "source")
     high = (above.withColumn("_rank", F.rank().over(group.orderBy(F.desc("value")))).filter(F.col("_rank") <= top)
             .drop("_rank"))
-    named = high.join(words.select("digest", "word"), "digest").select(
-        "lang", "source", F.when(F.col("split") == "", F.col("word")).otherwise(F.col("split")).alias("item"), "value")
+    named = high.join(words, ["digest", "split"]).select("lang", "source", F.col("word").alias("item"), "value")
     return (named.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "item")))
             .filter(F.col("rank") <= top))
 
