@@ -131,16 +131,20 @@ def share(count: str, total: str, size: str) -> Column:
 
 
 def summed(counts: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, digest, split, n, total, first) of terms with enough documents, from rows of counts with split."""
+    """(lang, source, digest, split, n, total, first) of terms with enough documents, from rows of counts.
+
+    Rows without a column split are of digests that aren't split.
+    """
     # Dealt by term alone: the sums by source and the sums by term need no further shuffle.
-    by_term = W.partitionBy("lang", "digest", "split")
-    each = (counts.select("lang", "digest", "split", "entries").repartition("lang", "digest", "split")
-            .select("lang", "digest", "split", F.inline("entries")))
-    return (each.groupBy("lang", "digest", "split", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = [c for c in ("lang", "digest", "split") if c in counts.columns]
+    by_term = W.partitionBy(*term)
+    each = counts.select(*term, "entries").repartition(*term).select(*term, F.inline("entries"))
+    split = "split" if "split" in term else F.lit("").alias("split")
+    return (each.groupBy(*term, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
             .withColumn("_docs", F.sum("docs").over(by_term)).withColumn("total", F.sum("n").over(by_term))
             .withColumn("first", F.col("source") == F.min("source").over(by_term))
             .filter(F.col("_docs") >= min_docs)
-            .select("lang", "source", "digest", "split", "n", "total", "first"))
+            .select("lang", "source", "digest", split, "n", "total", "first"))
 
 
 def kept_counts(documents: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +156,7 @@ def kept_counts(documents: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64)
     docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counts = saved(docs.mapInArrow(counting(bits), COUNTS_DDL), "terms")
     # A digest has at least as many documents as any of its terms, so no kept term is missed here.
-    kept = saved(summed(counts.withColumn("split", F.lit("")), min_docs), "kept")
+    kept = saved(summed(counts, min_docs), "kept")
     spelt = saved(likely_among(counts.select("digest", "word"), "digest", kept.filter("first").select("digest"))
                   .groupBy("digest").agg(F.min("word").alias("word"), F.max("word").alias("last")), "words")
     discard(counts)
