@@ -17,6 +17,7 @@ model quality figures only show the pipeline runs.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,67 +327,92 @@ def forecast_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- M5: tree paths --------------------------------------------------------------------------
-def _walk(node, visit, path: tuple = ()) -> F.Column:
-    """visit(path) of every leaf; path: (feature, change of the node mean) per split."""
-    if node.subtreeDepth() == 0:
-        return visit(path)
-    split, here = node.split(), node.prediction()
-    f, at = split.featureIndex(), split.threshold()
-    left, right = node.leftChild(), node.rightChild()
-    yes = _walk(left, visit, (*path, (f, left.prediction() - here)))
-    no = _walk(right, visit, (*path, (f, right.prediction() - here)))
-    return F.when(F.col(FEATURES[f]).cast("double") <= at, yes).otherwise(no)
-
-
-def tree_paths(model) -> tuple[float, list[F.Column]]:
-    """(bias, an array<double> per tree): how the splits on a row's path change its forecast, by feature.
+def tree_paths(model) -> tuple[float, list[tuple]]:
+    """(bias, a node table per tree): how the splits on a row's path change its forecast, by feature.
 
     The bias is the weighted mean of the roots.  What a split on feature f changes is the step from the
     node's mean to the child's; a tree's steps add up to its leaf, so bias and steps add up to the forecast.
+    A table has each node's feature, threshold, left and right child (a leaf's are itself) and the steps on
+    the path down to it, by feature.
     """
+    import numpy as np
+
     gbt = model.stages[-1]
     bias, out = 0.0, []
     for tree, weight in zip(gbt.trees, gbt.treeWeights, strict=True):
-        root = tree._call_java("rootNode")
-
-        def leaf(path: tuple, weight: float = weight) -> F.Column:
-            steps = [0.0] * len(FEATURES)
-            for f, change in path:
-                steps[f] += weight * change
-            return F.array(*map(F.lit, steps))
+        rows: list[list] = []
+
+        def add(node, steps: list[float], rows: list = rows, weight: float = weight) -> int:
+            me = len(rows)
+            rows.append([0, 0.0, me, me, steps])
+            if node.subtreeDepth():
+                split, here = node.split(), node.prediction()
+                f = split.featureIndex()
+                rows[me][:2] = f, split.threshold()
+                for side, child in ((2, node.leftChild()), (3, node.rightChild())):
+                    below = list(steps)
+                    below[f] += weight * (child.prediction() - here)
+                    rows[me][side] = add(child, below)
+            return me
 
+        root = tree._call_java("rootNode")
         bias += weight * root.prediction()
-        out.append(_walk(root, leaf))
+        add(root, [0.0] * len(FEATURES))
+        out.append((tree.depth, *map(np.array, zip(*rows, strict=True))))
     return bias, out
 
 
+def path_factors(tables: list[tuple], names: list[str], top: int):
+    """Column function of the features: struct of steps (by feature, added up over the trees) and primary_factors."""
+    def factors(*features: pa.Array) -> pa.Array:
+        import numpy as np
+
+        # A missing feature is NaN, which is below no threshold.
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
+        n, every = x.shape[0], np.arange(x.shape[0])
+        total, up, down = np.zeros(x.shape), np.zeros(x.shape, int), np.zeros(x.shape, int)
+        for depth, feature, at, left, right, steps in tables:
+            node = np.zeros(n, int)
+            for _ in range(depth):
+                node = np.where(x[every, feature[node]] <= at[node], left[node], right[node])
+            step = steps[node]
+            total += step
+            up += step > 0
+            down += step < 0
+        size = np.abs(total)
+        whole = np.zeros(n)
+        for own in size.T:
+            whole += own
+        # Largest first, ties by name.
+        by_name = np.broadcast_to(np.argsort(np.argsort(names)), x.shape)
+        chosen = np.lexsort((by_name, -size), axis=1)[:, :top]
+        row, place = np.nonzero(np.take_along_axis(size, chosen, 1) > 0)
+        f = chosen[row, place]
+        own = total[row, f]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+            [pa.array(names, pa.string()).take(pa.array(f)), pa.array(own / whole[row]),
+             pa.array(np.where(own > 0, up[row, f], down[row, f]) / (up + down)[row, f])], ["factor", "impact", "confidence"]))
+        starts = np.arange(n + 1, dtype=np.int32) * x.shape[1]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(total.ravel())), listed],
+                                          ["steps", "primary_factors"])
+
+    return F.arrow_udf(factors, "steps array<double>, "
+                                "primary_factors array<struct<factor: string, impact: double, confidence: double>>")
+
+
 def explained(scored: DataFrame, model, top: int = 3) -> DataFrame:
     """scored plus bias, contributions (map of feature to price units) and primary_factors.
 
     A factor's impact is its share of all contributions' size, signed, so it lies in [-1, 1]; its confidence
-    is the share of the trees that use it on this row and agree with that sign.
+    is the share of the trees that use it on this row and agree with that sign.  Batches of rows walk the
+    trees' node tables together.
     """
-    bias, paths = tree_paths(model)
-    walked = scored.withColumn("_paths", F.array(*paths))
-    total = F.aggregate("_paths", F.array(*[F.lit(0.0)] * len(FEATURES)), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
-    summed = walked.withColumn("_steps", total)
-    size = F.aggregate("_steps", F.lit(0.0), lambda a, x: a + F.abs(x))
-    names = F.array(*map(F.lit, FEATURES))
-
-    def factor(name: F.Column, i: F.Column) -> F.Column:
-        own = F.get("_steps", i)
-        used = F.filter("_paths", lambda p: F.get(p, i) != 0)
-        agree = F.filter(used, lambda p: F.signum(F.get(p, i)) == F.signum(own))
-        return F.struct(F.abs(own).alias("size"), name.alias("factor"), F.try_divide(own, size).alias("impact"),
-                        F.try_divide(F.size(agree), F.size(used)).alias("confidence"))
-
-    # Largest first, ties by name.
-    order = lambda a, b: (F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1)
-                          .when(a["factor"] < b["factor"], -1).otherwise(1))
-    ranked = F.array_sort(F.filter(F.transform(names, factor), lambda f: f["size"] > 0), order)
-    chosen = F.transform(F.slice(ranked, 1, top), lambda f: F.struct(f["factor"], f["impact"], f["confidence"]))
-    return summed.select(*scored.columns, F.lit(bias).alias("bias"), F.map_from_arrays(names, "_steps").alias("contributions"),
-                         chosen.alias("primary_factors"))
+    bias, tables = tree_paths(model)
+    walked = scored.withColumn("_paths", path_factors(tables, FEATURES, top)(*[F.col(f).cast("double") for f in FEATURES]))
+    return walked.select(*scored.columns, F.lit(bias).alias("bias"),
+                         F.map_from_arrays(F.array(*map(F.lit, FEATURES)), "_paths.steps").alias("contributions"),
+                         F.col("_paths.primary_factors").alias("primary_factors"))
 
 
 @query("forecast_explanation", "M5")

@@ -131,3 +131,17 @@ def test_no_hub_is_a_shuffle_key(spark):
         assert "partial_sum" in last.split("hashpartitioning(node#")[-1]
     finally:
         spark.conf.set(key, old)
+
+
+def test_explanation_walks_rows_in_batches(spark, fit):
+    data, model, _ = fit
+    blank = data.limit(50).withColumn("impact_sum", F.when(F.col("horizon") == "1h", F.lit(None)).otherwise(F.col("impact_sum")))
+    got = M.explained(model.transform(blank), model)
+    plan = plan_text(got)
+    # Trees are data for the tasks: as expressions, each row evaluated 300 nested conditions and its factors one by one.
+    assert "ArrowEvalPython" in plan and "lambda" not in plan and "CASE WHEN (cast(price" not in plan
+    rows = got.collect()
+    assert any(r.impact_sum is None for r in rows)
+    assert all(abs(r.bias + sum(r.contributions.values()) - r.prediction) < 1e-9 for r in rows)
+    assert [f.dataType.simpleString() for f in got.schema if f.name in ("contributions", "primary_factors")] == [
+        "map<string,double>", "array<struct<factor:string,impact:double,confidence:double>>"]
