@@ -347,7 +347,7 @@ def rolling_origin(data: DataFrame, starts: tuple[float, ...] = FOLD_STARTS) ->
 @query("forecast_backtest", "M3")
 def forecast_backtest(spark: SparkSession, d: str) -> DataFrame:
     """Rolling-origin errors of the forecast by fold and horizon."""
-    return rolling_origin(fitted(spark, d)[0])
+    return rolling_origin(frame(spark, d))
 
 
 # -- M5: tree paths --------------------------------------------------------------------------

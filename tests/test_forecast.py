@@ -157,3 +157,11 @@ def test_every_part_holds_rows_of_every_period(spark):
         counts = [r["count"] for r in period.groupBy(F.spark_partition_id()).count().collect()]
         assert len(counts) == parts and sum(counts) == n and max(counts) < 1.5 * n / parts
     assert data.collect() == data.collect()
+
+
+def test_backtest_fits_its_folds_only(spark, fit, monkeypatch):
+    monkeypatch.setattr(M, "_FITTED", {})
+    fits, real = [], M.fit_gbt
+    monkeypatch.setattr(M, "fit_gbt", lambda train: fits.append(1) or real(train))
+    assert M.forecast_backtest(spark, SF001).count() == len(M.FOLD_STARTS) * len(M.HORIZON_SECONDS)
+    assert len(fits) == len(M.FOLD_STARTS)
